@@ -168,26 +168,43 @@ TABLES: dict[str, tuple[list[str], str]] = {
         FROM weeks WHERE signal_date < (SELECT max(session_date) FROM session_days)"""),
     "accounts": (["customer", "last_signals"], """
         SELECT cast(c_custkey AS string) AS account, s.signal_date,
-               CASE WHEN c_custkey % 97 = 5 THEN -1.0 ELSE 0.0 END
-               + cast(cast(abs(c_acctbal) AS decimal(18,2)) * 10000 AS double) AS cash
+               CASE WHEN c_custkey % 97 = 5 THEN cast(-1 AS double)
+                    ELSE cast(cast(abs(c_acctbal) AS decimal(18,2)) * 10000 AS double) END AS cash
         FROM customer JOIN last_signals s ON s.back = 2 + c_custkey % 4"""),
     "holdings": (["customer", "orders", "lineitem"], """
         SELECT cast(c_custkey AS string) AS account, lpad(cast(l_suppkey AS string), 6, '0') AS code,
-               cast(sum(cast(l_quantity AS decimal(18,2))) AS double) AS quantity
+               cast(sum(cast(l_quantity AS decimal(18,2))) AS double)
+               + CASE WHEN (c_custkey + l_suppkey) % 701 = 1 THEN 0.5 ELSE 0.0 END AS quantity
         FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey
         GROUP BY c_custkey, l_suppkey"""),
     "open_prices": (["bars", "last_signals"], """
         SELECT s.signal_date, b.code, max_by(b.open, b.trade_date) AS price
         FROM bars b JOIN last_signals s ON s.back BETWEEN 2 AND 5 AND b.trade_date <= s.signal_date
         GROUP BY s.signal_date, b.code"""),
-    "trades": (["orders", "lineitem"], """
-        SELECT cast(o_custkey AS string) AS portfolio, lpad(cast(l_suppkey AS string), 6, '0') AS code,
+    "board": (["snapshots", "open_prices"], """
+        SELECT s.signal_date, s.code, s.name, s.sector, p.price,
+               cast(row_number() OVER (PARTITION BY s.signal_date ORDER BY s.marcap DESC, s.code) AS int) AS rank
+        FROM snapshots s JOIN open_prices p ON p.signal_date = s.signal_date AND p.code = s.code"""),
+    "trades": (["customer", "orders", "lineitem"], """
+        SELECT c_mktsegment AS portfolio, lpad(cast(l_suppkey AS string), 6, '0') AS code,
                cast(l_shipdate AS date) AS trade_date,
                CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side,
                cast(l_quantity AS double) AS quantity,
                floor(l_extendedprice / l_quantity * 100) / 100 AS price,
                o_orderkey * 10 + l_linenumber AS seq
-        FROM orders JOIN lineitem ON l_orderkey = o_orderkey"""),
+        FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey"""),
+    "cashflows": (["orders", "customer"], """
+        SELECT c_mktsegment AS portfolio, CASE WHEN o_orderkey % 211 = 0 THEN 'soon'
+                    ELSE replace(cast(cast(o_orderdate AS date) AS string), '-', '/') END AS date,
+               CASE WHEN o_orderkey % 223 = 0 THEN 'NaN'
+                    ELSE cast(cast(o_totalprice AS decimal(18,2)) AS string) END AS amount,
+               'deposit' AS kind, cast(NULL AS string) AS code
+        FROM orders JOIN customer ON c_custkey = o_custkey"""),
+    "nav_rows": (["orders", "customer"], """
+        SELECT cast(c_nationkey AS string) AS portfolio, cast(o_orderdate AS date) AS date,
+               cast(sum(cast(o_totalprice AS decimal(18,2))) AS double)
+               - CASE WHEN c_nationkey = 3 AND min(o_orderkey) % 50 = 0 THEN 1e9 ELSE 0 END AS equity
+        FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY c_nationkey, cast(o_orderdate AS date)"""),
     # ---- identity ---------------------------------------------------------------------------
     "first_orders": (["orders"], """
         SELECT o_custkey, min(o_orderdate) AS first_date, max(o_orderdate) AS last_date,
