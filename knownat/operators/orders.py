@@ -34,9 +34,9 @@ class Proposal:
 
     def fills(self) -> DataFrame:
         """One row per account and name held or targeted."""
-        return self._sound().select("account", "signal_date", "equity", F.explode("fills").alias("_f")).select(
-            "account", "signal_date", "equity", "_f.*"
-        )
+        # explode_outer: the plain form adds a size filter that Spark would evaluate below the array pipeline again.
+        lines = self._sound().select("account", "signal_date", "equity", F.explode_outer("fills").alias("_f"))
+        return lines.filter("_f.code IS NOT NULL").select("account", "signal_date", "equity", "_f.*")
 
     def orders(self) -> DataFrame:
         amount = F.col("filled") * F.col("price")
@@ -157,8 +157,8 @@ def select_targets(
         .withColumn("_fill", F.when(free > 0, F.slice(fill, F.lit(1), F.greatest(free, F.lit(0)))).otherwise(empty))
     )
     return chosen.select(
-        "account", "signal_date", F.size("_keep").alias("_n"), F.posexplode(F.concat("_keep", "_fill"))
-    ).select(
+        "account", "signal_date", F.size("_keep").alias("_n"), F.posexplode_outer(F.concat("_keep", "_fill"))
+    ).filter("pos IS NOT NULL").select(
         "account", "signal_date", (F.col("pos") + 1).alias("position"), F.col("col.code").alias("code"),
         F.col("col.rank").alias("rank"), (F.col("pos") < F.col("_n")).alias("kept"),
     )

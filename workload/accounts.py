@@ -161,11 +161,11 @@ def _(t):
 
 @query("rebalance_orders", *TABLES, oracle=LIVE + """
     SELECT account, signal_date, code, name, side, filled AS quantity, price, round(filled * price, 4) AS gross_amount,
-           round(filled * price * 0.003::double, 6) AS cost_total FROM fills WHERE filled > 0""")
+           round(filled * price * 0.003::double, 8) AS cost_total FROM fills WHERE filled > 0""")
 def _(t):
     return live(t).orders().select(
         "account", "signal_date", "code", "name", "side", "quantity", "price", F.round("gross_amount", 4).alias("gross_amount"),
-        F.round("cost_total", 6).alias("cost_total"),
+        F.round("cost_total", 8).alias("cost_total"),
     )
 
 
