@@ -151,23 +151,20 @@ def _(t):
 
 
 MARKET_ROWS = """mk AS (
-    SELECT cast(o_orderdate AS date) AS trade_date, lpad(cast(o_custkey AS varchar), 6, '0') AS code,
-           'corp ' || o_custkey || '-' || min(o_orderkey) % 3 AS name,
+    SELECT w.signal_date AS trade_date, lpad(cast(o_custkey AS varchar), 6, '0') AS code,
+           'corp ' || cast(o_custkey AS varchar) || '-' || cast(min(o_orderkey) % 3 AS varchar) AS name,
            CASE WHEN min(o_orderkey) % 2 = 0 THEN 'KOSPI' ELSE 'KOSDAQ' END AS market, cast(1 AS bigint) AS raw_version_id
-    FROM orders WHERE day(o_orderdate) = 15 GROUP BY ALL)"""
+    FROM orders JOIN weeks w ON cast(date_trunc('week', cast(o_orderdate AS date) + 2) AS date) = w.week_key
+    GROUP BY w.signal_date, o_custkey)"""
 
 
 def market_rows(t: Inputs):
-    return t.orders.filter(F.dayofmonth("o_orderdate") == 15).groupBy(
-        F.col("o_orderdate").cast("date").alias("trade_date"), F.lpad(F.col("o_custkey").cast("string"), 6, "0").alias("code"),
-        F.col("o_custkey").alias("_c"),
-    ).agg(F.min("o_orderkey").alias("_k")).select(
-        "trade_date", "code", F.concat(F.lit("corp "), F.col("_c").cast("string"), F.lit("-"), (F.col("_k") % 3).cast("string")).alias("name"),
-        F.when(F.col("_k") % 2 == 0, "KOSPI").otherwise("KOSDAQ").alias("market"), F.lit(1).cast("long").alias("raw_version_id"),
-    )
+    """One market row per customer and week with an order, dated with the week's last session."""
+    text = MARKET_ROWS.replace("varchar", "string")
+    return t.sql(["orders", "weeks"], f", {text} SELECT * FROM mk")
 
 
-@query("reconcile_market", "lifecycle_rows", "orders", oracle=f"""WITH {INTERVALS}, {MARKET_ROWS},
+@query("reconcile_market", "lifecycle_rows", "orders", "weeks", oracle=f"""WITH {INTERVALS}, {MARKET_ROWS},
     act AS (SELECT d.trade_date, i.* FROM intervals i JOIN (SELECT DISTINCT trade_date FROM mk) d
             ON valid_from <= d.trade_date AND (valid_to IS NULL OR valid_to > d.trade_date)
             QUALIFY row_number() OVER (PARTITION BY d.trade_date, short_code ORDER BY market DESC, security_id DESC) = 1),
