@@ -10,7 +10,6 @@ YES_WORDS = ["Y", "YES", "1", "TRUE", "해당", "예"]
 NO_WORDS = ["N", "NO", "0", "FALSE", "미해당", "아니오"]
 COMMON_WORDS = ["보통주", "common", "common stock"]
 PREFERRED_WORDS = ["우선주", "preferred", "preferred stock"]
-DATE_FORMATS = ["yyyy-MM-dd", "yyyyMMdd", "yyyy/MM/dd"]
 
 
 def clean(col: Column) -> Column:
@@ -24,7 +23,8 @@ def blank_to_null(col: Column) -> Column:
 
 def pad_code(col: Column) -> Column:
     """Six-character code: a trailing ``.0`` is dropped, zeroes are added, nothing is cut off."""
-    text = F.regexp_replace(clean(col), r"^([0-9]+)\.0$", "$1")
+    raw = clean(col)
+    text = F.when(raw.endswith(".0"), F.regexp_replace(raw, r"^([0-9]+)\.0$", "$1")).otherwise(raw)
     return F.when(F.length(text) < 6, F.lpad(text, 6, "0")).otherwise(text)
 
 
@@ -41,18 +41,23 @@ def market_name(col: Column) -> Column:
 
 def number(col: Column) -> Column:
     """Double from text with thousands commas; anything else becomes null."""
-    return F.regexp_replace(clean(col), ",", "").try_cast("double")
+    return F.translate(clean(col), ",", "").try_cast("double")
 
 
 def amount(col: Column) -> Column:
     """Finite decimal from text with thousands commas; anything else becomes null."""
-    return F.regexp_replace(clean(col), ",", "").try_cast("decimal(24,4)")
+    return F.translate(clean(col), ",", "").try_cast("decimal(24,4)")
 
 
 def parse_date(col: Column) -> Column:
-    """Date from the formats seen in official files; anything else becomes null."""
-    text = clean(col)
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(fmt)).cast("date") for fmt in DATE_FORMATS])
+    """Date from ``yyyyMMdd``, ``yyyy-MM-dd`` or ``yyyy/MM/dd``; anything else becomes null.
+
+    The digits are put in ISO order and cast: trying formats one after another is slow on rows that need the last.
+    """
+    digits = F.regexp_extract(clean(col), r"^(\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{8})$", 1)
+    plain = F.translate(digits, "-/", "")
+    iso = F.concat_ws("-", F.substring(plain, 1, 4), F.substring(plain, 5, 2), F.substring(plain, 7, 2))
+    return iso.try_cast("date")
 
 
 def flag(col: Column) -> Column:

@@ -129,7 +129,7 @@ def value_positions(
         stale = F.col("price_date") < F.col("seed_date")
         priced = priced.withColumn("close", F.when(~F.coalesce(stale, F.lit(False)), F.col("close")))
     worth = priced.groupBy("portfolio", "date").agg(
-        F.sum((F.col("quantity") * F.col("close")).cast(MONEY)).cast("double").alias("positions_value"),
+        F.sum(F.col("quantity") * F.col("close")).alias("positions_value"),
         F.count_if(F.col("close").isNotNull() & (F.col("price_date") < F.col("date"))).alias("carried_prices"),
         F.count_if(F.col("close").isNull()).alias("_unpriced"),
     )

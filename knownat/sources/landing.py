@@ -27,7 +27,7 @@ FILE_ROWS = T.StructType([
 
 
 def read_landing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Landed files as ``(path, content, length, modificationTime)``."""
+    """Landed files as ``(path, content, length, modificationTime)``; Spark does not list files of zero bytes."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
 
 

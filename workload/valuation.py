@@ -223,7 +223,7 @@ open_days AS (
     ON d.session_date >= h.from_date AND (h.to_date IS NULL OR d.session_date < h.to_date) WHERE h.quantity <> 0),
 priced AS (SELECT o.*, u.close, u.price_date FROM open_days o LEFT JOIN usable u ON u.code = o.code AND u.date = o.date),
 worth AS (
-    SELECT portfolio, date, cast(sum(cast(quantity * close AS decimal(38,10))) AS double) AS positions_value,
+    SELECT portfolio, date, sum(quantity * close) AS positions_value,
            count(*) FILTER (price_date < date) AS carried_prices, count(*) FILTER (close IS NULL) AS unpriced
     FROM priced GROUP BY portfolio, date),
 nav AS (
