@@ -56,10 +56,10 @@ def _(t):
 
 
 @query("requested_days", "orders", oracle="""
-    SELECT cast(unnest AS date) AS trade_date FROM (
-        SELECT unnest(generate_series(a, b, INTERVAL 1 DAY)) FROM (
-            SELECT min(o_orderdate)::timestamp AS a, max(o_orderdate)::timestamp AS b FROM orders))
-    WHERE isodow(unnest) < 6""")
+    SELECT cast(d AS date) AS trade_date FROM (
+        SELECT unnest(generate_series(a, b, INTERVAL 1 DAY)) AS d FROM (
+            SELECT cast(min(o_orderdate) AS timestamp) AS a, cast(max(o_orderdate) AS timestamp) AS b FROM orders))
+    WHERE isodow(d) < 6""")
 def _(t):
     span = t.orders.agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b"))
     return cal.requested_days(span, "a", "b")
