@@ -127,6 +127,22 @@ def test_streamed_days_are_judged_promoted_and_replayed(spark, tmp_path):
     assert sorted(map(str, spark.read.parquet(table).collect())) == before
 
 
+def test_streamed_assertions_are_appended_once(spark, tmp_path):
+    landing, target, check = (str(tmp_path / n) for n in ("in", "out", "c"))
+    for start in (0, 3):
+        spark.range(start, start + 3).write.mode("append").parquet(landing)
+        for _ in range(2):
+            ingest.status_stream(spark, landing, "id long", target, check).awaitTermination(120)
+    assert sorted(r["id"] for r in spark.read.parquet(target).collect()) == list(range(6))
+
+
+def test_lineage_is_cut_in_the_checkpoint_folder(spark):
+    from knownat.session import cut_lineage
+
+    assert cut_lineage(spark.range(5).filter("id > 1")).count() == 3
+    assert spark.sparkContext.getCheckpointDir()
+
+
 def test_missing_headers_and_strict_mode(spark):
     with pytest.raises(MissingColumns):
         normalize_daily_market(spark.range(1).toDF("basDt"))
