@@ -49,7 +49,10 @@ def export_csv(df: DataFrame, path: str, headers: Mapping[str, str]) -> None:
 
 
 def save_run(spark: SparkSession, path: str, run_id: int, header: Mapping[str, str], tables: Mapping[str, DataFrame]) -> None:
-    """Store the tables of one run; the header row goes last and makes the run visible."""
+    """Store the tables of one run; the header row goes last and makes the run visible.  A finished run is not replaced."""
+    finished = read_if_present(spark, f"{path}/header")
+    if finished is not None and finished.filter(F.col("run_id") == run_id).limit(1).count():
+        raise FileExistsError(f"run {run_id} is stored already")
     for name, table in tables.items():
         table.write.mode("overwrite").parquet(f"{path}/{name}/run_id={run_id}")
     row = {"run_id": run_id, **{key: str(value) for key, value in header.items()}}

@@ -90,6 +90,8 @@ def test_runs_journal_and_export(spark, tmp_path):
     assert tb.load_run(spark, path, 2, ["nav"])["nav"].count() == 2
     with pytest.raises(KeyError):
         tb.load_run(spark, path, 3, ["nav"])
+    with pytest.raises(FileExistsError):
+        tb.save_run(spark, path, 2, {"status": "complete"}, {"nav": spark.range(9).toDF("x")})
     for note in ("first", "second"):
         tb.append_journal(spark.range(1).toDF("x"), str(tmp_path / "j"), note, "{}")
     assert [r["note"] for r in tb.journal(spark, str(tmp_path / "j")).collect()] == ["second", "first"]
