@@ -2,9 +2,59 @@
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from knownat.llm import exact, nearcopies, packing, quality, toxicity
+from knownat.llm.common import stored, table
+from knownat.llm.queries import BYTE_BPE, configured
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below 0.5."""
+    configured(spark)
+    found = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.judged(docs, found, threshold=0.5).where("_predicted = 0").select(*docs.columns)
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is 0.3 or more."""
+    configured(spark)
+    network = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.judged(docs, network, threshold=0.3).where("_predicted = 1").select(*docs.columns)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of texts that are equal up to white space."""
+    return exact.keep_one(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near copies."""
+    configured(spark)
+    return nearcopies.keep_one(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document stands in sequences of 2048 tokens."""
+    configured(spark)
+    return packing.pack(docs, BYTE_BPE, capacity=2048, end_id=0)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality", drop_poor),
+    ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("packing", pack),
+]
+
+#: Two stages learn a classifier and one runs a tokenizer, which SQL cannot express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``; each result is written as Parquet and read back for the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,11 +6,13 @@ import os
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space as the contracts define it.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -71,6 +73,25 @@ def lower_table() -> bytes:
     return bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+def with_scores(docs: DataFrame, scorer, threshold: float) -> DataFrame:
+    """All columns of ``docs``, then ``_score`` double and ``_predicted`` int; ``scorer`` maps a column of texts to an array.
+
+    Columns of these two names are replaced.
+    """
+    docs = docs.drop("_score", "_predicted")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.asarray(scorer(batch.column(at)), np.float64)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(found), pa.array((found >= threshold).astype(np.int32))],
+                [*batch.schema.names, "_score", "_predicted"])
+
+    at = docs.columns.index("text")
+    fields = [*docs.schema.fields, T.StructField("_score", T.DoubleType()), T.StructField("_predicted", T.IntegerType())]
+    return docs.mapInArrow(run, T.StructType(fields))
+
+
 def bounded_sample(df: DataFrame, key: str, rows: int, chars: int, text: str = "text") -> list:
     """At most ``rows`` rows, of at most ``chars`` characters in all, in the order of a hash of the key.
 

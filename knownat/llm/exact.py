@@ -135,3 +135,11 @@ def exact_duplicates(docs: DataFrame, bits: int = 24, width: int = 0) -> DataFra
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (F.when(single, F.lit(True)).otherwise(F.col("doc_id").eqNullSafe(F.col("keep_id"))) & (F.col("_row") == 1)).alias("kept"),
         "text_sha256")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay: the smallest doc_id of each group of equal texts, once."""
+    kept = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
+    marked = docs.withColumn("_sha", F.sha2(normalised(), 256))
+    same = (F.col("_sha") == F.col("_kept_sha")) & F.col("doc_id").eqNullSafe(F.col("_kept_id"))
+    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_sha"]).drop("_sha")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from knownat.llm import bpe, exact, packing, tokens, warc
+from knownat.llm import bpe, exact, nearcopies, packing, quality, tokens, toxicity, warc
 from knownat.llm.common import new_folder, table
 from knownat.session import prepare
 
@@ -21,11 +21,15 @@ MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 BATCH = "512"
 
 
+def configured(spark: SparkSession) -> SparkSession:
+    prepare(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+    return spark
+
+
 def query(name: str, oracle: str | None = None):
     def register(function: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            prepare(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
-            return function(spark, folder)
+            return function(configured(spark), folder)
 
         QUERIES[name] = run
         if oracle is not None:
@@ -56,17 +60,34 @@ def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.describe(warc.read_records(spark, archive), kind).drop("record_sha256")
 
 
+@query("op2_quality")
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, folder, "labels")), threshold=0.3)
+
+
 @query("op3_tokens")
 def op3_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_table(table(spark, folder, "documents"), BYTE_BPE, end_id=2)
 
 
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")), threshold=0.5)
+
+
 @query("op7_bpe")
 def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return bpe.encode_documents(docs, MULTI_RANKS, public_tokenizers.PATTERN, with_ids=False)
 
 
+@query("op8_nearcopies")
+def op8_nearcopies(spark: SparkSession, folder: str) -> DataFrame:
+    return nearcopies.near_duplicates(table(spark, folder, "documents"), percent=75)
+
+
 @query("op9_packing")
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), BYTE_BPE, capacity=2048, end_id=0)
