@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from knownat.llm import bpe, exact, nearcopies, packing, quality, tokens, toxicity, warc
+from knownat.llm import bpe, ctw, exact, nearcopies, packing, quality, tokens, toxicity, warc
 from knownat.llm.common import new_folder, table
 from knownat.session import prepare
 
@@ -71,6 +71,11 @@ def op3_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_table(table(spark, folder, "documents"), BYTE_BPE, end_id=2)
 
 
+@query("op4_ctw")
+def op4_ctw(spark: SparkSession, folder: str) -> DataFrame:
+    return ctw.score(table(spark, folder, "documents"), held_out=1)
+
+
 @query("op6_toxicity")
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
