@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from knownat.llm import bpe, ctw, exact, nearcopies, packing, quality, tokens, toxicity, warc
+from knownat.llm import bpe, ctw, exact, forest, nearcopies, packing, quality, tokens, toxicity, warc
 from knownat.llm.common import new_folder, table
 from knownat.session import prepare
 
@@ -76,6 +76,11 @@ def op4_ctw(spark: SparkSession, folder: str) -> DataFrame:
     return ctw.score(table(spark, folder, "documents"), held_out=1)
 
 
+@query("op5_forest")
+def op5_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return forest.near_vectors(table(spark, folder, "embeddings"), least=0.93)
+
+
 @query("op6_toxicity")
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
