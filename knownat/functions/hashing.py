@@ -31,19 +31,19 @@ def evidence_id(dataset: Column, requested_date: Column, raw_version_id: Column,
 
 
 def _canonical(field: T.StructField) -> Column:
-    """Text of one value: equal values give equal text, null differs from empty."""
+    """Text of one value after its length: equal values give equal text, null differs from empty.
+
+    Doubles are written with all digits that tell them from their neighbours; -0.0 counts as 0.0, NaN as null.
+    """
     column = F.col(f"`{field.name}`")
     if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
         value = column.cast("double")
-        text = F.when(value.isNull() | F.isnan(value), F.lit("")).otherwise(
-            F.format_string("%.9e", value + F.lit(0.0))
-        )
-        return F.when(value.isNull() | F.isnan(value), F.lit("~")).otherwise(text)
-    if isinstance(field.dataType, (T.StructType, T.ArrayType, T.MapType)):
-        text = F.to_json(F.struct(column))
+        text = F.when(~F.isnan(value), (value + F.lit(0.0)).cast("string"))
+    elif isinstance(field.dataType, (T.StructType, T.ArrayType, T.MapType)):
+        text = F.when(column.isNotNull(), F.to_json(F.struct(column)))
     else:
         text = column.cast("string")
-    return F.when(column.isNull(), F.lit("~")).otherwise(F.concat(F.lit("="), text))
+    return F.coalesce(F.concat(F.lit("="), F.length(text).cast("string"), F.lit(":"), text), F.lit("~"))
 
 
 def row_digest(df: DataFrame) -> Column:
@@ -53,30 +53,33 @@ def row_digest(df: DataFrame) -> Column:
     return F.sha2(F.concat_ws("\u001f", *parts), 256)
 
 
-def table_fingerprint(df: DataFrame) -> DataFrame:
-    """One row ``(row_count, fingerprint)``.
+def _summed(digests: DataFrame, *keys: str) -> DataFrame:
+    """``row_count, fingerprint`` of row digests, per key.
 
-    Four 60-bit words of each row digest are summed as decimals and the sums are hashed.
-    Sums do not depend on row order, count duplicates, and combine before the
-    shuffle, so the cost is one pass and a few numbers per task.
+    Four 60-bit words of each row digest are summed as decimals and the sums are hashed.  Sums do not depend on row order, count
+    duplicates, and combine before the shuffle, so the cost is one pass and a few numbers per task.
     """
-    digest = df.select(row_digest(df).alias("digest"))
     words = [
         F.conv(F.substring("digest", 1 + 15 * index, 15), 16, 10).cast("decimal(20,0)") for index in range(4)
     ]
     sums = [F.coalesce(F.sum(word), F.lit(0)).cast("string").alias(f"w{index}") for index, word in enumerate(words)]
-    return digest.agg(F.count(F.lit(1)).alias("row_count"), *sums).select(
-        "row_count",
+    return digests.groupBy(*keys).agg(F.count("digest").alias("row_count"), *sums).select(
+        *keys, "row_count",
         F.sha2(F.concat_ws(":", F.col("row_count").cast("string"), "w0", "w1", "w2", "w3"), 256).alias("fingerprint"),
     )
 
 
+def table_fingerprint(df: DataFrame) -> DataFrame:
+    """One row ``(row_count, fingerprint)``, whatever the order of the rows."""
+    return _summed(df.select(row_digest(df).alias("digest")))
+
+
 def model_fingerprint(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """One row ``(fingerprint)`` over the fingerprints of named tables."""
-    parts = None
+    """One row ``(fingerprint)`` over named tables: all their row digests go through one aggregate."""
+    spark = next(iter(tables.values())).sparkSession
+    # A row without digest for each name, so that an empty table has a fingerprint too.
+    digests = spark.createDataFrame([(name, None) for name in sorted(tables)], "table_name string, digest string")
     for name in sorted(tables):
-        part = table_fingerprint(tables[name]).select(
-            F.lit(name).alias("table_name"), F.concat_ws("=", F.lit(name), "fingerprint").alias("part")
-        )
-        parts = part if parts is None else parts.unionByName(part)
+        digests = digests.unionByName(tables[name].select(F.lit(name).alias("table_name"), row_digest(tables[name]).alias("digest")))
+    parts = _summed(digests, "table_name").select(F.concat_ws("=", "table_name", "fingerprint").alias("part"))
     return parts.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("part")), ";"), 256).alias("fingerprint"))

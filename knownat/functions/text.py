@@ -40,8 +40,9 @@ def market_name(col: Column) -> Column:
 
 
 def number(col: Column) -> Column:
-    """Double from text with thousands commas; anything else becomes null."""
-    return F.translate(clean(col), ",", "").try_cast("double")
+    """Finite double from text with thousands commas; anything else becomes null."""
+    value = F.translate(clean(col), ",", "").try_cast("double")
+    return F.when(F.abs(value) < F.lit(float("inf")), value)
 
 
 def amount(col: Column) -> Column:

@@ -31,7 +31,10 @@ def day_facts(rows: DataFrame) -> DataFrame:
         return ~F.coalesce((F.col(name) > 0) & ~F.isnan(name), F.lit(False))
 
     wrong_day = ~F.coalesce(F.col("trade_date") == F.col("requested_date"), F.lit(False))
-    negative = ~F.coalesce((F.col("volume") >= 0) & (F.col("amount") >= 0), F.lit(False))
+    def not_negative(name: str) -> Column:
+        return (F.col(name) >= 0) & ~F.isnan(name)
+
+    negative = ~F.coalesce(not_negative("volume") & not_negative("amount"), F.lit(False))
     optional = F.coalesce(F.least("open", "high", "low") <= 0, F.lit(False))
     bad_code = ~F.coalesce(F.col("code").rlike(r"^[0-9A-Z]{6}$"), F.lit(False))
     per_code = rows.groupBy("requested_date", "code").agg(

@@ -106,3 +106,21 @@ ranked AS (
 
 RANKING_TABLES = ["session_days", "bars", "snapshots", "statements", "statement_accounts", "companies"]
 RANKING = ", ".join([SCHEDULE, FACTORS, CANDIDATES, CHOSEN, METRICS, JOINED, RANKED])
+
+
+# ---- fingerprints ---------------------------------------------------------------------------
+COUNTED = "count(h)"
+FINGERPRINT = "sha256(count(h) || " + " || ".join(
+    f"':' || coalesce(sum(cast('0x' || substr(h, {1 + 15 * k}, 15) AS hugeint)), 0)" for k in range(4)) + ")"
+
+
+def digests(table: str, columns: str) -> str:
+    """Row digests ``h`` over columns named in alphabetical order, each value after its length."""
+    texts = [f"'{c}' || coalesce('=' || length(cast({c} AS varchar)) || ':' || cast({c} AS varchar), '~')" for c in columns.split()]
+    return f"SELECT sha256({' || chr(31) || '.join(texts)}) AS h FROM {table}"
+
+
+def model_fingerprint(tables: dict[str, str]) -> str:
+    """One fingerprint over named digest queries."""
+    parts = [f"SELECT '{name}=' || {FINGERPRINT} AS part FROM ({text})" for name, text in sorted(tables.items())]
+    return f"SELECT sha256(string_agg(part, ';' ORDER BY part)) AS fingerprint FROM ({' UNION ALL '.join(parts)})"

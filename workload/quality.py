@@ -8,6 +8,7 @@ from knownat.functions import text as tx
 from knownat.functions.hashing import table_fingerprint
 from knownat.operators import normalize as nm
 from knownat.operators import quality as qu
+from workload import parts
 from workload.registry import Inputs, query
 
 MARKET = """CASE WHEN upper(trim({c})) LIKE 'KOSPI%' THEN 'KOSPI' WHEN upper(trim({c})) LIKE 'KOSDAQ%' THEN 'KOSDAQ'
@@ -355,13 +356,8 @@ def _(t):
     return qu.missing_evidence({"events": rows}, rows.filter("event_type <> 'merger'"), kept)
 
 
-@query("table_fingerprint", "orders", oracle="""
-    WITH d AS (SELECT sha256('o_custkey=' || o_custkey || chr(31) || 'o_orderkey=' || o_orderkey || chr(31)
-                             || 'o_orderpriority=' || o_orderpriority || chr(31) || 'o_orderstatus=' || o_orderstatus) AS h
-               FROM orders),
-    s AS (SELECT count(*) AS n, sum(cast('0x' || substr(h, 1, 15) AS hugeint)) AS a,
-                 sum(cast('0x' || substr(h, 16, 15) AS hugeint)) AS b, sum(cast('0x' || substr(h, 31, 15) AS hugeint)) AS c,
-                 sum(cast('0x' || substr(h, 46, 15) AS hugeint)) AS e FROM d)
-    SELECT n AS row_count, sha256(n || ':' || a || ':' || b || ':' || c || ':' || e) AS fingerprint FROM s""")
+@query("table_fingerprint", "orders", oracle=f"""
+    WITH d AS ({parts.digests('orders', 'o_custkey o_orderkey o_orderpriority o_orderstatus o_totalprice')})
+    SELECT {parts.COUNTED} AS row_count, {parts.FINGERPRINT} AS fingerprint FROM d""")
 def _(t):
-    return table_fingerprint(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+    return table_fingerprint(t.orders.drop("o_orderdate"))

@@ -367,7 +367,7 @@ def _(t):
 
 @query("position_sheet", "snapshots", "holdings", "accounts", "bars", oracle=f"""
     WITH {parts.CANDIDATES},
-    h AS (SELECT a.signal_date, h.code, sum(cast(h.quantity AS bigint)) AS quantity
+    h AS (SELECT a.signal_date, h.code, sum(cast(trunc(h.quantity) AS bigint)) AS quantity
           FROM holdings h JOIN accounts a ON a.account = h.account GROUP BY a.signal_date, h.code),
     c AS (SELECT * FROM candidates WHERE signal_date IN (SELECT signal_date FROM accounts)),
     p AS (SELECT code, max_by(close, trade_date) AS price FROM bars WHERE trade_date <= DATE '2001-12-31' GROUP BY code)

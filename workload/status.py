@@ -11,8 +11,8 @@ from workload.lifecycle import INTERVALS, model as lifecycle_model
 from workload.registry import Inputs, query
 
 ASSERTIONS = f"""{INTERVALS},
-cov AS (SELECT DISTINCT requested_date FROM status_rows),
-listed AS (SELECT c.requested_date, i.* FROM intervals i JOIN cov c
+cov AS MATERIALIZED (SELECT DISTINCT requested_date FROM status_rows),
+listed AS MATERIALIZED (SELECT c.requested_date, i.* FROM intervals i JOIN cov c
            ON valid_from <= c.requested_date AND (valid_to IS NULL OR valid_to > c.requested_date)),
 tagged AS (
     SELECT r.*, 'inv_' || left(sha256('investability-v1:' || dataset || ':' || requested_date || ':' || raw_version_id || ':'
@@ -23,7 +23,7 @@ matched AS (
          AND CASE WHEN t.standard_code IS NOT NULL THEN l.standard_code = t.standard_code ELSE l.short_code = t.short_code END),
 nexts AS (SELECT d.day, (SELECT min(session_date) FROM status_days WHERE session_date > d.day) AS next_day
           FROM (SELECT effective_date AS day FROM status_rows UNION SELECT requested_date FROM status_rows) d),
-asserted AS (
+asserted AS MATERIALIZED (
     SELECT evidence_id, security_id, requested_date, effective_date AS effective_from,
            coalesce(published_at, cast(x.next_day AS timestamp) - INTERVAL 9 HOUR) AS known_at, m AS market, k AS security_kind,
            management_designation, trading_suspension, liquidation_trading, raw_version_id, source_row_number
@@ -92,12 +92,19 @@ def _(t):
 
 
 DECIDED = """asks AS (SELECT *, cast(as_of + INTERVAL 9 HOUR AS date) AS day FROM requests),
+uncovered AS MATERIALIZED (SELECT session_date AS d FROM status_days WHERE session_date NOT IN (SELECT requested_date FROM cov)),
+gaps_to AS MATERIALIZED (
+    SELECT day, count(u.d) AS gaps FROM (SELECT DISTINCT day FROM asks) x LEFT JOIN uncovered u ON u.d <= x.day GROUP BY day),
+gaps_before AS MATERIALIZED (
+    SELECT requested_date, count(u.d) AS gaps FROM (SELECT DISTINCT requested_date FROM asserted) x
+    LEFT JOIN uncovered u ON u.d < x.requested_date GROUP BY requested_date),
 pairs AS (
-    SELECT q.security_id AS sid, q.as_of, q.day, a.* EXCLUDE (security_id) FROM asks q JOIN asserted a ON a.security_id = q.security_id
+    SELECT q.security_id AS sid, q.as_of, q.day, a.* EXCLUDE (security_id) FROM asks q
+    JOIN gaps_to t ON t.day = q.day JOIN asserted a ON a.security_id = q.security_id
          AND a.effective_from <= q.day AND a.requested_date <= q.day AND a.known_at <= q.as_of
-    WHERE NOT EXISTS (SELECT 1 FROM status_days s WHERE s.session_date BETWEEN a.requested_date AND q.day
-                      AND s.session_date NOT IN (SELECT requested_date FROM cov))),
-best AS (SELECT * FROM pairs QUALIFY rank() OVER (PARTITION BY sid, as_of ORDER BY requested_date DESC, known_at DESC) = 1),
+    JOIN gaps_before g ON g.requested_date = a.requested_date AND g.gaps = t.gaps),
+best AS MATERIALIZED (
+    SELECT * FROM pairs QUALIFY rank() OVER (PARTITION BY sid, as_of ORDER BY requested_date DESC, known_at DESC) = 1),
 sums AS (
     SELECT sid, as_of, count(DISTINCT (management_designation, trading_suspension, liquidation_trading)) AS kinds,
            string_agg(evidence_id, ',' ORDER BY evidence_id) AS ids,
@@ -161,10 +168,10 @@ MARKET = """mkt AS (
            cast(1 AS bigint) AS raw_version_id, max(value) AS close FROM events GROUP BY cast(ts AS date), user_id)"""
 RECONCILED = f"""{ASSERTIONS}, {MARKET},
 days AS (SELECT session_date AS requested_date FROM status_days),
-open AS (SELECT d.requested_date, i.* FROM intervals i JOIN days d
+open AS MATERIALIZED (SELECT d.requested_date, i.* FROM intervals i JOIN days d
          ON valid_from <= d.requested_date AND (valid_to IS NULL OR valid_to > d.requested_date)),
-allowed AS (SELECT * FROM open WHERE market IN ('KOSPI', 'KOSDAQ') AND security_kind = 'common'),
-said AS (SELECT DISTINCT requested_date, security_id FROM asserted),
+allowed AS MATERIALIZED (SELECT * FROM open WHERE market IN ('KOSPI', 'KOSDAQ') AND security_kind = 'common'),
+said AS MATERIALIZED (SELECT DISTINCT requested_date, security_id FROM asserted),
 requests AS (SELECT a.security_id, cast(a.requested_date AS timestamp) + INTERVAL 53999 SECOND AS as_of
              FROM allowed a SEMI JOIN said s ON s.requested_date = a.requested_date AND s.security_id = a.security_id),
 {DECIDED},
