@@ -74,6 +74,11 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
     return _summed(df.select(row_digest(df).alias("digest")))
 
 
+def fingerprints_by(df: DataFrame, key: str) -> DataFrame:
+    """``(key, row_count, fingerprint)`` of the rows of each key."""
+    return _summed(df.select(key, row_digest(df).alias("digest")), key)
+
+
 def model_fingerprint(tables: Mapping[str, DataFrame]) -> DataFrame:
     """One row ``(fingerprint)`` over named tables: all their row digests go through one aggregate."""
     spark = next(iter(tables.values())).sparkSession

@@ -8,9 +8,11 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from knownat.findings import STOPPING, findings, union_all
 from knownat.functions import calendar as cal
+from knownat.functions import text as tx
 from knownat.functions.hashing import evidence_id
 from knownat.functions.ordered import running, small_side
 from knownat.operators.lifecycle import listed_on
@@ -35,15 +37,37 @@ class StatusModel:
     findings: DataFrame
 
     def tables(self) -> dict[str, DataFrame]:
-        return {name: getattr(self, name) for name in ("assertions", "intervals", "coverage", "sessions", "findings")}
+        return {name: getattr(self, name) for name in ("assertions", "intervals", "coverage", "lifecycle", "sessions", "findings")}
 
 
 def with_known_at(rows: DataFrame, sessions: DataFrame | cal.DateList) -> DataFrame:
-    """Add ``known_at``: the publication time, else midnight in Seoul of the session after the effective date."""
+    """Add ``known_at``: the publication time, else midnight in Seoul of the session after the effective date.
+
+    Publication text without an offset is Seoul time.  Text that is no time leaves ``known_at`` null: the row is never used.
+    """
     dated = cal.with_next_session(rows, F.col("effective_date"), sessions, "_next")
-    return dated.withColumn(
-        "known_at", F.coalesce(F.col("published_at").cast("timestamp"), cal.at_seoul(F.col("_next")))
-    ).drop("_next")
+    if isinstance(rows.schema["published_at"].dataType, T.StringType):
+        published, given = published_time(F.col("published_at")), tx.clean(F.col("published_at")) != ""
+    else:
+        published, given = F.col("published_at").cast("timestamp"), F.col("published_at").isNotNull()
+    return dated.withColumn("known_at", F.when(given, published).otherwise(cal.at_seoul(F.col("_next")))).drop("_next")
+
+
+def published_time(text: Column) -> Column:
+    """Instant of publication text: its own offset, else Seoul's; null where it is no time."""
+    plain = F.replace(tx.clean(text), F.lit("T"), F.lit(" "))
+    return F.when(tx.has_offset(text), tx.offset_timestamp(text)).otherwise(F.concat(plain, F.lit("+09:00")).try_cast("timestamp"))
+
+
+def unreadable_times(tied: DataFrame) -> DataFrame:
+    """Findings for rows whose publication text is no time."""
+    if not isinstance(tied.schema["published_at"].dataType, T.StringType):
+        tied = tied.withColumn("published_at", F.lit(None).cast("string"))
+    bad = tied.filter((tx.clean(F.col("published_at")) != "") & published_time(F.col("published_at")).isNull())
+    return findings(
+        bad, source="status", severity="blocking", rule="bad_published_at", subject=F.col("security_id"),
+        date=F.col("requested_date"), evidence=F.array("evidence_id"), observed=F.col("published_at"),
+    )
 
 
 def resolve_identity(rows: DataFrame, lifecycle: DataFrame, coverage: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -95,6 +119,15 @@ def _flag_mask() -> Column:
     return mask
 
 
+def _combinations(mask: str, flags: tuple[str, ...]) -> Column:
+    """How many combinations of the given flags a mask of all flags' combinations holds."""
+    seen = sum(1 << position for position, flag in enumerate(FLAGS) if flag in flags)
+    groups: dict[int, int] = {}
+    for value in range(1 << len(FLAGS)):
+        groups[value & seen] = groups.get(value & seen, 0) | 1 << value
+    return sum(((F.col(mask).bitwiseAND(F.lit(group)) != 0).cast("int") for group in groups.values()), F.lit(0))
+
+
 def contradictions(assertions: DataFrame) -> DataFrame:
     """Securities and days whose rows disagree about the flags of one effective date."""
     grouped = assertions.groupBy("security_id", "requested_date", "effective_from").agg(
@@ -119,7 +152,7 @@ def build_model(rows: DataFrame, lifecycle: DataFrame, sessions: DataFrame) -> S
     )
     return StatusModel(
         assertions=assertions, intervals=status_intervals(assertions, dates), coverage=coverage, lifecycle=lifecycle,
-        sessions=sessions, findings=union_all([ambiguous, contradictions(assertions)]),
+        sessions=sessions, findings=union_all([ambiguous, contradictions(assertions), unreadable_times(tied)]),
     )
 
 
@@ -209,7 +242,7 @@ def decide(model: StatusModel, requests: DataFrame, policy: Policy = V1, model_f
         F.when(~F.col("_newest.security_kind").isin(list(policy.allowed_security_kinds)), "security_kind_not_allowed"),
         *[F.when(F.col(f"_newest.{flag}"), flag) for flag in policy.blocking_flags],
     ))
-    clash = F.bit_count("_mask") > 1
+    clash = _combinations("_mask", policy.blocking_flags) > 1
     none = F.array().cast("array<string>")
     state = (
         F.when(~covered, "unknown").when(~listed, "not_listed").when(~evidence, "unknown").when(clash, "unknown")

@@ -116,11 +116,14 @@ def schema_drift(versions: DataFrame) -> DataFrame:
 def resolve_day_states(days: DataFrame) -> DataFrame:
     """Verdict per day, with history made of promoted days only.
 
-    ``days`` (trade_date, row_count, total_marcap, hard_errors, changed, empty, attempts, evidence): one row per day.
+    ``days`` (trade_date, row_count, total_marcap, hard_errors, changed, empty, attempts, evidence): one row per day.  Where
+    ``days`` has a true ``settled``, the day was promoted earlier and stays so.
     The verdict of a day depends on the verdicts before it, so the day rows - one per
     calendar day - are folded in order inside one expression.
     """
-    day = F.struct("trade_date", "row_count", "total_marcap", "hard_errors", "changed", "empty", "attempts", "evidence")
+    settled = F.coalesce("settled", F.lit(False)) if "settled" in days.columns else F.lit(False)
+    day = F.struct("trade_date", "row_count", "total_marcap", "hard_errors", "changed", "empty", "attempts", "evidence",
+                   settled.alias("settled"))
     ordered = days.agg(F.sort_array(F.collect_list(day)).alias("_days"))
     kind = (
         "struct<counts:array<double>,cap:double,"
@@ -139,7 +142,8 @@ def resolve_day_states(days: DataFrame) -> DataFrame:
         move = F.when(acc["cap"] == 0, F.lit(float("inf"))).otherwise(F.abs(d["total_marcap"] / acc["cap"] - 1))
         odd_cap = F.coalesce(move >= CAP_CHANGE, F.lit(False))
         state = (
-            F.when(d["empty"] & (F.trim(F.coalesce(d["evidence"], F.lit(""))) != ""), "non_session")
+            F.when(d["settled"], "promoted")
+            .when(d["empty"] & (F.trim(F.coalesce(d["evidence"], F.lit(""))) != ""), "non_session")
             .when(d["empty"] & (d["attempts"] >= ATTEMPTS), "calendar_unresolved")
             .when(d["empty"] | (d["hard_errors"] > 0), "failed")
             .when(odd_rows | odd_cap | d["changed"], "quarantined")

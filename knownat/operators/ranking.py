@@ -7,11 +7,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from knownat.findings import findings, first_reason, union_all
 from knownat.functions import calendar as cal
 from knownat.functions.ordered import latest_by, small_side, top_by
-from knownat.functions.text import finite
+from knownat.functions.text import finite, offset_timestamp
 from knownat.operators.fundamentals import company_reason
 from knownat.schemas import FACTORS, RankingRules
 
@@ -55,8 +56,9 @@ def price_factors(
     that bar, and the bar then serves the signals up to the next bar.  A code has one
     row per day here, so its window is bounded by the calendar.
 
-    With ``splits`` (code, effective_date, ratio) closes are made comparable across events: the cumulative ratio
-    multiplies each close, and the price at the signal is divided by events after its day.
+    With ``splits`` (code, effective_date, ratio, published_at) closes are made comparable across events: the cumulative ratio
+    multiplies each close, and the price at the signal is divided by events after its day.  A code with an event in
+    force that was not public at 15:30 in Seoul of the signal day has no factors, for the reason ``split_not_public``.
     """
     if history < 2:
         raise ValueError("history must be at least 2")
@@ -94,23 +96,33 @@ def _split_price_factors(
     bars: DataFrame, signals: DataFrame | cal.DateList, history: int, splits: DataFrame
 ) -> DataFrame:
     dates = cal.DateList.of(signals, "signal_date")
-    clean = usable_bars(bars).select("code", "trade_date", "close", F.lit(1.0).alias("_ratio"), F.lit(1).alias("_side"))
+    text = isinstance(splits.schema["published_at"].dataType, T.StringType)
+    public = offset_timestamp(F.col("published_at")) if text else F.col("published_at").cast("timestamp")
+    # An event without a readable time never becomes public.
+    public = F.coalesce(public, F.to_timestamp(F.lit("9999-12-31")))
+    clean = usable_bars(bars).select(
+        "code", "trade_date", "close", F.lit(1.0).alias("_ratio"), F.lit(1).alias("_side"), F.lit(None).cast("timestamp").alias("_public"))
     events = splits.select(
         "code", F.col("effective_date").alias("trade_date"), F.lit(None).cast("double").alias("close"),
-        F.col("ratio").cast("double").alias("_ratio"), F.lit(0).alias("_side"),
+        F.col("ratio").cast("double").alias("_ratio"), F.lit(0).alias("_side"), public.alias("_public"),
     )
     upto = Window.partitionBy("code").orderBy("trade_date", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    factored = clean.unionByName(events).withColumn("_factor", F.product("_ratio").over(upto))
+    factored = clean.unionByName(events).withColumns(
+        {"_factor": F.product("_ratio").over(upto), "_all_public": F.max("_public").over(upto)})
     panel = _factor_frames(factored.filter("_side = 1"), dates, history, F.col("close") * F.col("_factor"))
-    at_signal = dates.carry_forward(panel, ["code"], "_from_no", "signal_date")
+    at_signal = dates.carry_forward(panel, ["code"], "_from_no", "signal_date").drop("_public", "_all_public")
     points = dates.with_next_no(factored.filter("_side = 0"), F.col("trade_date"), "_from_no")
     factors = dates.carry_forward(
-        points.groupBy("code", "_from_no").agg(F.max_by("_factor", "trade_date").alias("_signal_factor")),
+        points.groupBy("code", "_from_no").agg(
+            F.max_by("_factor", "trade_date").alias("_signal_factor"), F.max("_all_public").alias("_all_public")),
         ["code"], "_from_no", "signal_date",
-    )
+    ).select("code", "signal_date", "_signal_factor", "_all_public")
+    hidden = F.coalesce(F.col("_all_public") > cal.at_seoul(F.col("signal_date"), cal.SIGNAL_TIME), F.lit(False))
     price = F.col("close") / (F.coalesce("_signal_factor", F.lit(1.0)) / F.col("_factor"))
     return at_signal.join(factors, ["code", "signal_date"], "left").select(
-        "code", "signal_date", price.alias("price"), "momentum", "volatility", "price_date", "history", "reason"
+        "code", "signal_date", F.when(~hidden, price).alias("price"), F.when(~hidden, F.col("momentum")).alias("momentum"),
+        F.when(~hidden, F.col("volatility")).alias("volatility"), "price_date", "history",
+        F.when(hidden, "split_not_public").otherwise(F.col("reason")).alias("reason"),
     )
 
 

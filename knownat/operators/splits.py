@@ -107,13 +107,13 @@ def convert_positions(positions: DataFrame, events: DataFrame, *, fractional: bo
     joined = positions.join(
         events.select("code", "effective_date", "published_at", "ratio", "source_fingerprint"), ["code", "effective_date"]
     ).withColumn("new_quantity", converted)
-    reasons = {"published_late": late, "bad_quantity": ~(F.col("quantity") > 0)}
+    reasons = {"published_late": late, "bad_quantity": ~F.coalesce(F.col("quantity") > 0, F.lit(False))}
     if not fractional:
         reasons["position_not_whole"] = F.col("quantity") != F.floor("quantity")
         reasons["fractional_entitlement"] = F.col("new_quantity") != F.floor("new_quantity")
     failed = F.lit(False)
     for condition in reasons.values():
-        failed = failed | condition
+        failed = failed | F.coalesce(condition, F.lit(False))
     columns = ["portfolio", "code", "effective_date", "quantity", "ratio"]
     good = joined.filter(~failed).select(*columns, F.col("new_quantity").cast("double").alias("new_quantity"))
     return good, explode_reasons(joined, reasons).select(*columns[:4], "rule_id")

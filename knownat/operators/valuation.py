@@ -137,7 +137,8 @@ def value_positions(
     nav = balance.join(worth, ["portfolio", "date"], "left").withColumn(
         "positions_value", F.coalesce("positions_value", F.lit(0.0))
     )
-    complete = nav.filter(F.coalesce("_unpriced", F.lit(0)) == 0).select(
+    bad_cash = ~finite(F.col("cash")) | (F.col("cash") < 0)
+    complete = nav.filter((F.coalesce("_unpriced", F.lit(0)) == 0) & ~F.coalesce(bad_cash, F.lit(True))).select(
         "portfolio", "date", "cash", "positions_value", (F.col("cash") + F.col("positions_value")).alias("equity"),
         F.when(F.col("date") == F.col("from_date"), F.col("external_flow")).otherwise(0.0).alias("external_flow"),
         F.coalesce("carried_prices", F.lit(0)).alias("carried_prices"),
@@ -146,7 +147,11 @@ def value_positions(
         priced.filter("close IS NULL"), source="valuation", severity="blocking", rule="no_close", subject=F.col("code"),
         date=F.col("date"), observed=F.col("portfolio"),
     )
-    return complete, missing
+    negative = findings(
+        nav.filter(F.coalesce(bad_cash, F.lit(True))), source="valuation", severity="blocking", rule="bad_cash", subject=F.col("portfolio"),
+        date=F.col("date"), observed=F.col("cash"),
+    )
+    return complete, missing.unionByName(negative)
 
 
 def performance(nav: DataFrame, risk_free: float = 0.0) -> DataFrame:
@@ -198,8 +203,12 @@ def compare(nav: DataFrame, benchmark: DataFrame, indices: DataFrame) -> DataFra
     """Returns since the start per strategy day, beside benchmark and indices.
 
     ``nav`` (portfolio, date, equity), ``benchmark`` (date, equity), ``indices`` (symbol, trade_date, close).  An index is aligned
-    backward to each strategy day and rebased to its first aligned value.
+    backward to each strategy day and rebased to its first aligned value.  A portfolio with a repeated day or with an equity that
+    is missing or not positive has no comparison.
     """
+    sound = finite(F.col("equity")) & (F.col("equity") > 0)
+    per_day = nav.groupBy("portfolio", "date").agg(F.count(F.lit(1)).alias("_n"), F.count_if(~F.coalesce(sound, F.lit(False))).alias("_bad"))
+    nav = nav.join(per_day.filter((F.col("_n") > 1) | (F.col("_bad") > 0)).select("portfolio").distinct(), "portfolio", "left_anti")
     order = Window.partitionBy("portfolio").orderBy("date")
     strategy = nav.select("portfolio", "date", (F.col("equity") / F.first("equity").over(order) - 1).alias("strategy"))
     base = benchmark.agg(F.min_by("equity", "date")).scalar()
@@ -228,7 +237,8 @@ def equal_weight_index(
     """Zero-cost equal-weight index of the weekly universe: ``(date, equity)`` and the weeks that block it.
 
     Value at an execution multiplies by the mean open-to-open growth of the names held;
-    between executions by the mean of close over entry open.  A missing open stops the index there.
+    between executions by the mean of close over entry open, the last valid close being carried.  A missing open stops the index
+    there; a day on which a name has no price yet has no value.
     """
     weeks = schedule.withColumn("next_execution", F.lead("execution_date").over(Window.orderBy("signal_date")))
     opens = bars.filter("open > 0").select("code", "trade_date", "open")
@@ -255,14 +265,16 @@ def equal_weight_index(
     dates = cal.DateList.of(sessions, "session_date")
     daily = cal.expand_intervals(held, F.col("execution_date"), F.col("next_execution"), dates, "date")
     closes = bars.filter("close > 0").select("code", F.col("trade_date").alias("date"), "close")
-    seeds = closes.withColumnsRenamed({"date": "signal_date", "close": "_seed"})
+    seeds = carried_closes(bars, cal.DateList(schedule, "signal_date")).select(
+        "code", F.col("date").alias("signal_date"), F.col("close").alias("_seed"))
     path = Window.partitionBy("signal_date", "code").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     valued = (
         daily.join(closes, ["code", "date"], "left")
         .join(seeds, ["code", "signal_date"], "left")
         .withColumn("_price", F.coalesce(F.last("close", ignorenulls=True).over(path), "_seed"))
         .groupBy("signal_date", "date")
-        .agg(F.avg(F.col("_price") / F.col("entry")).alias("_move"))
+        .agg(F.avg(F.col("_price") / F.col("entry")).alias("_move"), F.count_if(F.col("_price").isNull()).alias("_unpriced"))
+        .filter("_unpriced = 0")
         .join(live, "signal_date")
         .select("date", (F.col("_level") * F.col("_move")).alias("equity"))
     )
@@ -304,7 +316,8 @@ def reconcile_nav(nav: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     stepped = nav.withColumn("_before", F.lag("cash").over(order))
     gap = F.abs(F.col("equity") - F.col("cash") - F.col("positions_value"))
     drift = F.abs(F.col("cash") - F.col("_before") - F.col("cash_change"))
-    rule = F.when(gap > tolerance, "equity_mismatch").when(drift > tolerance, "cash_mismatch")
+    whole = finite(F.col("equity")) & finite(F.col("cash")) & finite(F.col("positions_value"))
+    rule = F.when(~F.coalesce(whole, F.lit(False)), "value_missing").when(gap > tolerance, "equity_mismatch").when(drift > tolerance, "cash_mismatch")
     return findings(
         stepped.withColumn("_rule", rule).filter("_rule IS NOT NULL"), source="nav", severity="blocking",
         rule=F.col("_rule"), subject=F.col("portfolio"), date=F.col("date"), observed=F.col("equity"),

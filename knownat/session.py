@@ -1,10 +1,8 @@
-"""Session settings the operators rely on, and the shared checkpoint folder."""
+"""Session settings the operators rely on."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 #: Settings that change results (time zone) or keep skewed keys cheap (adaptive execution).
 REQUIRED = {
@@ -23,18 +21,3 @@ def prepare(spark: SparkSession) -> SparkSession:
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     return spark
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder the cluster names, so lost executors do not lose the data.
-
-    ``spark.checkpoint.dir`` is read from the session.  Only where it is unset (a
-    test on one machine) is a scratch folder used.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="knownat-checkpoint-")
-        )
-    return df.checkpoint()

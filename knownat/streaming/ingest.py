@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from knownat.functions.hashing import fingerprints_by
 from knownat.operators import normalize as nm
 from knownat.operators import quality as qu
 from knownat.sources.tables import promote_days, read_if_present
@@ -18,24 +19,36 @@ from knownat.sources.tables import promote_days, read_if_present
 def judge_days(rows: DataFrame, history: DataFrame | None) -> DataFrame:
     """Verdicts of the days in ``rows`` (requested_date and canonical columns), after the promoted ``history`` days.
 
-    Days already promoted that are not in this batch come first and keep their verdict.
+    Promoted days are never judged again: they are history for later days, whatever lands.  A day that lands once more stays
+    promoted if its rows are the same and is quarantined if they are not, so the half of a day that comes later changes nothing.
     """
     hard = qu.validate_days(rows).groupBy("requested_date").agg(F.sum("n").alias("hard_errors"))
     facts = qu.day_facts(rows).join(hard, "requested_date", "left").select(
         F.col("requested_date").alias("trade_date"), "row_count", F.col("total_marcap").cast("double").alias("total_marcap"),
-        F.coalesce("hard_errors", F.lit(0)).alias("hard_errors"), F.lit(False).alias("changed"),
+        F.coalesce("hard_errors", F.lit(0)).alias("hard_errors"), F.lit(False).alias("settled"),
     )
     if history is None:
         return _judge(facts)
-    days = qu.day_summaries(history).join(facts.select("trade_date"), "trade_date", "left_anti")
-    known = days.select("trade_date", "row_count", "total_marcap", F.lit(0).cast("long").alias("hard_errors"), F.lit(False).alias("changed"))
-    return _judge(facts.unionByName(known)).join(facts.select("trade_date"), "trade_date", "left_semi")
+    known = qu.day_summaries(history).select(
+        "trade_date", "row_count", F.col("total_marcap").cast("double").alias("total_marcap"), F.lit(0).cast("long").alias("hard_errors"),
+        F.lit(True).alias("settled"),
+    )
+    fresh = facts.join(known.select("trade_date"), "trade_date", "left_anti")
+    judged = _judge(fresh.unionByName(known)).join(fresh.select("trade_date"), "trade_date", "left_semi")
+    columns = sorted(set(rows.columns) & set(history.columns) - {"trade_date"})
+    landed = fingerprints_by(rows.select(F.col("requested_date").alias("trade_date"), *columns), "trade_date")
+    before = fingerprints_by(history.select("trade_date", *columns), "trade_date").withColumnRenamed("fingerprint", "_before")
+    again = landed.join(before, "trade_date").select(
+        "trade_date", F.when(F.col("fingerprint") == F.col("_before"), "promoted").otherwise("quarantined").alias("state"),
+        F.lit(False).alias("row_anomaly"), F.lit(False).alias("cap_anomaly"),
+    )
+    return judged.unionByName(again)
 
 
 def _judge(facts: DataFrame) -> DataFrame:
-    return qu.resolve_day_states(
-        facts.withColumns({"empty": F.lit(False), "attempts": F.lit(1), "evidence": F.lit(None).cast("string")})
-    )
+    return qu.resolve_day_states(facts.withColumns(
+        {"changed": F.lit(False), "empty": F.lit(False), "attempts": F.lit(1), "evidence": F.lit(None).cast("string")}
+    ))
 
 
 def ingest_batch(batch: DataFrame, batch_id: int, market_path: str, verdict_path: str) -> None:

@@ -138,13 +138,6 @@ def test_streamed_assertions_are_appended_once(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.parquet(target).collect()) == list(range(6))
 
 
-def test_lineage_is_cut_in_the_checkpoint_folder(spark):
-    from knownat.session import cut_lineage
-
-    assert cut_lineage(spark.range(5).filter("id > 1")).count() == 3
-    assert spark.sparkContext.getCheckpointDir()
-
-
 def test_missing_headers_and_strict_mode(spark):
     with pytest.raises(MissingColumns):
         normalize_daily_market(spark.range(1).toDF("basDt"))

@@ -197,22 +197,31 @@ def _(t):
 
 @query("price_factors_with_splits", "bars", "split_events", "session_days", oracle=f"""
     WITH {parts.SCHEDULE},
-    g AS (SELECT s.signal_date, b.code, b.trade_date, b.close,
-                 row_number() OVER (PARTITION BY s.signal_date, b.code ORDER BY b.trade_date DESC) AS k
-          FROM sched s JOIN bars b ON b.trade_date <= s.signal_date
-          WHERE s.signal_date BETWEEN DATE '1999-01-01' AND DATE '1999-03-31'),
-    e AS (SELECT g.*, close / coalesce((SELECT product(cast(ratio AS double)) FROM split_events v
-                WHERE v.code = g.code AND v.effective_date > g.trade_date AND v.effective_date <= g.signal_date), 1)
-                AS adj FROM g WHERE k <= 252)
-    SELECT code, signal_date, round(max(adj) FILTER (k = 1), 6) AS price,
-           CASE WHEN count(*) >= 252 THEN round((max(adj) FILTER (k = 1) / max(adj) FILTER (k = 252) - 1) * 100, 6)
-           END AS momentum, max(trade_date) AS price_date
-    FROM e GROUP BY code, signal_date""")
+    ev AS (SELECT code, effective_date AS d, product(cast(ratio AS double)) AS r,
+                  max(cast(left(published_at, 19) AS timestamp) - INTERVAL 9 HOUR) AS public
+           FROM split_events GROUP BY code, effective_date),
+    upto AS (SELECT code, d, product(r) OVER w AS f, max(public) OVER w AS public FROM ev WINDOW w AS (PARTITION BY code ORDER BY d)),
+    adj AS (SELECT b.code, b.trade_date, b.close, coalesce(u.f, 1) AS f, b.close * coalesce(u.f, 1) AS c
+            FROM bars b ASOF LEFT JOIN upto u ON u.code = b.code AND b.trade_date >= u.d),
+    steps AS (SELECT *, c / lag(c) OVER w - 1 AS r, row_number() OVER w AS n, lag(c, 251) OVER w AS c0
+              FROM adj WINDOW w AS (PARTITION BY code ORDER BY trade_date)),
+    spread AS (SELECT *, stddev_samp(r) OVER (PARTITION BY code ORDER BY trade_date
+                                              ROWS BETWEEN 250 PRECEDING AND CURRENT ROW) AS sd FROM steps),
+    seen AS (SELECT g.code, g.signal_date, s.* EXCLUDE (code)
+             FROM (SELECT DISTINCT bars.code, sched.signal_date FROM bars, sched) g
+             ASOF JOIN spread s ON s.code = g.code AND g.signal_date >= s.trade_date),
+    told AS (SELECT s.*, coalesce(u.f, 1) AS sf, coalesce(u.public > cast(s.signal_date AS timestamp) + INTERVAL 390 MINUTE, false) AS hidden
+             FROM seen s ASOF LEFT JOIN upto u ON u.code = s.code AND s.signal_date >= u.d)
+    SELECT code, signal_date, CASE WHEN NOT hidden THEN round(close / (sf / f), 6) END AS price,
+           CASE WHEN n >= 252 AND NOT hidden THEN round((c / c0 - 1) * 100, 6) END AS momentum,
+           CASE WHEN n >= 252 AND NOT hidden THEN round(sd * sqrt(252) * 100, 5) END AS volatility, trade_date AS price_date,
+           CASE WHEN hidden THEN 'split_not_public' WHEN n < 252 THEN 'short_history' END AS reason
+    FROM told""")
 def _(t):
-    window = cal.weekly_schedule(sessions(t), "1999-01-01", "1999-03-31")
-    found = rk.price_factors(t.bars, window, splits=t.split_events)
+    found = rk.price_factors(t.bars, schedule(t), splits=t.split_events)
     return found.select(
-        "code", "signal_date", F.round("price", 6).alias("price"), F.round("momentum", 6).alias("momentum"), "price_date"
+        "code", "signal_date", F.round("price", 6).alias("price"), F.round("momentum", 6).alias("momentum"),
+        F.round("volatility", 5).alias("volatility"), "price_date", "reason"
     )
 
 

@@ -311,8 +311,10 @@ def _(t):
 
 @query("compare", "nav_rows", "index_bars", oracle="""
     WITH bench AS (SELECT date, equity FROM nav_rows WHERE portfolio = '0'),
+    unsound AS (SELECT portfolio FROM nav_rows GROUP BY portfolio, date
+                HAVING count(*) > 1 OR bool_or(equity IS NULL OR isnan(equity) OR isinf(equity) OR equity <= 0)),
     s AS (SELECT portfolio, date, equity / first_value(equity) OVER (PARTITION BY portfolio ORDER BY date) - 1 AS strategy
-          FROM nav_rows),
+          FROM nav_rows WHERE portfolio NOT IN (SELECT portfolio FROM unsound)),
     a AS (SELECT s.portfolio, s.date, y.symbol, i.close FROM s
           JOIN (SELECT DISTINCT symbol FROM index_bars) y ON true
           ASOF JOIN index_bars i ON i.symbol = y.symbol AND s.date >= i.trade_date),
