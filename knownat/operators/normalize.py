@@ -207,10 +207,7 @@ def check_actions(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return typed.filter(~failed), found
 
 
-def market_for_days(daily_market: DataFrame, days: DataFrame) -> DataFrame:
-    """Market rows of the given days, each with the sorted list of raw versions behind all of them."""
+def market_for_days(daily_market: DataFrame, days: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Market rows of the given days, and the raw versions behind them, one row each."""
     rows = daily_market.join(days.select("trade_date").distinct(), "trade_date", "left_semi")
-    versions = rows.select(F.col("raw_version_id").cast("string").alias("v")).distinct()
-    # One entry per day file: bounded by the number of days asked for.
-    joined = versions.agg(F.array_join(F.sort_array(F.collect_list("v")), ",")).scalar()
-    return rows.withColumn("raw_versions", joined)
+    return rows, rows.select("raw_version_id").distinct()

@@ -165,13 +165,25 @@ def read_paged_json(pages: DataFrame, columns: list[str], content: str = "conten
     return rows.filter(filled).select(*carried, "page", F.col("pos").alias("item"), *[f"col.{c}" for c in columns]), broken
 
 
+COMPANY = "stock_code string, corp_code string, corp_name string"
+
+
 def read_company_master(spark: SparkSession, path: str) -> DataFrame:
     """Companies of the unpacked master file; of repeated stocks the last in the file wins."""
-    schema = "stock_code string, corp_code string, corp_name string"
-    rows = spark.read.format("xml").option("rowTag", "list").schema(schema).load(path)
+    rows = spark.read.format("xml").option("rowTag", "list").schema(COMPANY).load(path)
+    return _companies(rows.withColumn("_place", F.monotonically_increasing_id()))
+
+
+def parse_company_master(contents: DataFrame, order: str, content: str = "content") -> DataFrame:
+    """Companies of master files held as text, one file a row; of repeated stocks the last of the last file wins."""
+    parsed = contents.select(F.col(order).alias("_file"), F.from_xml(content, f"list array<struct<{COMPANY}>>").alias("_x"))
+    rows = parsed.select("_file", F.posexplode("_x.list")).select(F.struct("_file", "pos").alias("_place"), "col.*")
+    return _companies(rows)
+
+
+def _companies(rows: DataFrame) -> DataFrame:
     placed = rows.select(
-        F.trim("stock_code").alias("stock"), F.trim("corp_code").alias("corp_code"), F.trim("corp_name").alias("name"),
-        F.monotonically_increasing_id().alias("_place"),
+        F.trim("stock_code").alias("stock"), F.trim("corp_code").alias("corp_code"), F.trim("corp_name").alias("name"), "_place",
     ).filter(F.col("stock").rlike("^[0-9A-Z]{6}$") & F.col("corp_code").rlike(r"^\d{8}$"))
     return latest_by(placed, ["stock"], [F.col("_place").desc()]).drop("_place")
 

@@ -24,7 +24,8 @@ def promote_days(df: DataFrame, path: str, states: DataFrame | None = None) -> N
     ready = [state for state, targets in TRANSITIONS.items() if "promoted" in targets]
     if states is not None:
         df = df.join(states.filter(F.col("state").isin(ready)).select("trade_date").distinct(), "trade_date", "left_semi")
-    (df.repartition("trade_date").sortWithinPartitions("trade_date", "code").write.mode("overwrite")
+    # Rebalancing gathers a day's rows into few files but splits a day that is too large for one task.
+    (df.hint("rebalance", "trade_date").sortWithinPartitions("trade_date", "code").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("trade_date").parquet(path))
 
 

@@ -191,14 +191,20 @@ def _(t):
         "code", "effective_date", "action_type", "seq")
 
 
+def asked_market(t: Inputs):
+    return nm.market_for_days(t.daily_market, t.weeks.select(F.col("signal_date").alias("trade_date")))
+
+
 @query("market_for_days", "daily_market", "weeks", oracle="""
-    WITH r AS (SELECT * FROM daily_market WHERE trade_date IN (SELECT signal_date FROM weeks
-               WHERE signal_date >= DATE '2001-06-01'))
-    SELECT trade_date, code, close, (SELECT string_agg(v, ',' ORDER BY v) FROM (
-        SELECT DISTINCT cast(raw_version_id AS varchar) AS v FROM r)) AS raw_versions FROM r""")
+    SELECT trade_date, code, close, raw_version_id FROM daily_market WHERE trade_date IN (SELECT signal_date FROM weeks)""")
+def _(t):
+    return asked_market(t)[0].select("trade_date", "code", "close", "raw_version_id")
+
+
+@query("market_day_versions", "daily_market", "weeks", oracle="""
+    SELECT DISTINCT raw_version_id FROM daily_market WHERE trade_date IN (SELECT signal_date FROM weeks)""")
 def _(t):
-    days = t.weeks.filter("signal_date >= DATE '2001-06-01'").select(F.col("signal_date").alias("trade_date"))
-    return nm.market_for_days(t.daily_market, days).select("trade_date", "code", "close", "raw_versions")
+    return asked_market(t)[1]
 
 
 # ---- promotion ------------------------------------------------------------------------------

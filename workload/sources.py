@@ -114,6 +114,65 @@ def _(t):
     return qu.verify_rebuild(again, stored).unionByName(qu.verify_rebuild(lacking, stored))
 
 
+@query("verify_archive", "documents", oracle="""
+    SELECT 'raw/page-' || name || '.json' AS path, name AS expected, sha256(text) AS actual,
+           CASE WHEN doc_id % 11 = 0 THEN 'bad_name' WHEN doc_id % 7 = 0 THEN 'checksum_mismatch' END AS reason
+    FROM (SELECT *, CASE WHEN doc_id % 11 = 0 THEN 'n' || doc_id WHEN doc_id % 7 = 0 THEN sha256('x' || text) ELSE sha256(text) END AS name
+          FROM documents)""")
+def _(t):
+    name = F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("n"), F.col("doc_id").cast("string"))).when(
+        F.col("doc_id") % 7 == 0, F.sha2(F.concat(F.lit("x"), "text"), 256)).otherwise(F.sha2("text", 256))
+    path = F.concat(F.lit("raw/page-"), name, F.lit(".json"))
+    return la.verify_archive(t.documents.select(path.alias("path"), F.encode("text", "UTF-8").alias("content")))
+
+
+#: The word for a code, as a file in code page 949 writes it.
+CODE_949 = bytes.fromhex("c1beb8f1c4dab5e5")
+
+
+def order_files(t: Inputs):
+    """One file of orders per customer: plain, marked, in code page 949, ragged, or an error page."""
+    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), F.concat(F.lit('"'), F.col("o_orderpriority"), F.lit('"')))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line")))), lambda x: x["line"]), "\r\n")
+    text = t.orders.groupBy("o_custkey").agg(lines.alias("lines"))
+    kind = F.col("o_custkey") % 5
+    body = F.encode(F.concat(F.lit(",note\r\n"), F.col("lines"), F.when(kind == 3, "\r\nx").otherwise("")), "UTF-8")
+    head = F.when(kind == 1, F.lit(CODE_949)).when(kind == 2, F.encode(F.lit("\ufeff종목코드"), "UTF-8")).otherwise(
+        F.encode(F.lit("종목코드"), "UTF-8"))
+    content = F.when(kind == 0, F.encode(F.lit("<html>busy</html>"), "UTF-8")).otherwise(F.concat(head, body))
+    return text.select(F.col("o_custkey").cast("string").alias("path"), content.alias("content"))
+
+
+@query("read_official_csv", "orders", oracle="""
+    SELECT cast(o_custkey AS varchar) AS path, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS source_row_number,
+           cast(o_orderkey AS varchar) AS code, o_orderpriority AS note FROM orders WHERE o_custkey % 5 NOT IN (0, 3)""")
+def _(t):
+    return la.read_official_csv(order_files(t), ["종목코드", "note"])[0].withColumnRenamed("종목코드", "code")
+
+
+@query("unusable_files", "orders", oracle="""
+    SELECT DISTINCT cast(o_custkey AS varchar) AS path, CASE o_custkey % 5 WHEN 0 THEN 'html_response' ELSE 'ragged_row' END AS rule_id
+    FROM orders WHERE o_custkey % 5 IN (0, 3)""")
+def _(t):
+    return la.read_official_csv(order_files(t), ["종목코드", "note"])[1]
+
+
+@query("company_master", "customer", oracle="""
+    SELECT stock, lpad(cast(max(c_custkey) AS varchar), 8, '0') AS corp_code, max_by(c_name, c_custkey) AS name
+    FROM (SELECT *, lpad(cast(c_custkey // 2 AS varchar), 6, '0') AS stock FROM customer) WHERE c_custkey % 13 <> 0 GROUP BY stock""")
+def _(t):
+    key = F.col("c_custkey")
+    stock = F.lpad(F.floor(key / 2).cast("string"), 6, "0")
+    code = F.when(key % 13 == 0, "none").otherwise(F.lpad(key.cast("string"), 8, "0"))
+    entry = F.concat(F.lit("<list><corp_code> "), code, F.lit("</corp_code><corp_name>"), F.col("c_name"),
+                     F.lit("</corp_name><stock_code>"), stock, F.lit(" </stock_code></list>"))
+    # A file for each hundred customers.
+    files = t.customer.groupBy(F.floor(key / 100).alias("file")).agg(
+        F.array_sort(F.collect_list(F.struct(key.alias("k"), entry.alias("e")))).alias("entries"))
+    body = F.array_join(F.transform("entries", lambda x: x["e"]), "")
+    return la.parse_company_master(files.select("file", F.concat(F.lit("<result>"), body, F.lit("</result>")).alias("content")), "file")
+
+
 @query("judge_landed_days", "raw_daily", oracle="""
     SELECT requested_date AS trade_date, 'failed' AS state FROM raw_daily
     WHERE upper(trim(mrktCtg)) LIKE 'KOSPI%' OR upper(trim(mrktCtg)) LIKE 'KOSDAQ%' GROUP BY requested_date
