@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 #: Settings that change results (time zone) or keep skewed keys cheap (adaptive execution).
@@ -15,9 +20,27 @@ REQUIRED = {
 }
 
 
+def ship_package(context: SparkContext) -> None:
+    """Send this package to the executors once, so that functions in tasks can import it whatever their path is."""
+    if getattr(context, "_knownat_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="knownat-package-")
+    path = os.path.join(folder, "knownat-package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for place, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(place, name)
+                    archive.write(full, os.path.relpath(full, os.path.dirname(root)))
+    context.addPyFile(path)
+    context._knownat_shipped = True
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin the session settings; safe to call for every query."""
     for key, value in REQUIRED.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    ship_package(spark.sparkContext)
     return spark
