@@ -25,6 +25,7 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of texts that are equal up to white space."""
+    configured(spark)
     return exact.keep_one(docs)
 
 

@@ -92,22 +92,29 @@ def with_scores(docs: DataFrame, scorer, threshold: float) -> DataFrame:
     return docs.mapInArrow(run, T.StructType(fields))
 
 
-def bounded_sample(df: DataFrame, key: str, rows: int, chars: int, text: str = "text") -> list:
-    """At most ``rows`` rows, of at most ``chars`` characters in all, in the order of a hash of the key.
+def bounded_sample(docs: DataFrame, labels: DataFrame, rows: int, chars: int) -> list[tuple[str, float]]:
+    """Text and label of at most ``rows`` labelled documents, of at most ``chars`` characters in all.
 
-    A deterministic sample; ties in the hash are broken by the text's own hash.
+    ``labels`` has ``doc_id, _label``, one row per id.  Documents come in the order of a hash of their id; one that is longer than
+    an eighth of ``chars`` is passed over.  Ids and lengths are chosen first, at most ``rows`` of them, and only the chosen texts
+    are read for the driver.
     """
-    first = (
-        df.withColumn("_order", F.xxhash64(F.col(key), F.lit(7))).withColumn("_size", F.length(normal_text(text)))
-        .where(F.col("_size") <= chars // 8).orderBy("_order", F.xxhash64(text)).limit(rows)
-    )
-    kept, used = [], 0
-    for row in first.toLocalIterator():
+    lengths = docs.select("doc_id", F.length(normal_text()).alias("_size")).where(F.col("_size") <= chars // 8)
+    order = lengths.join(labels, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(7)), "_size").limit(rows)
+    chosen: dict = {}
+    used = 0
+    for row in order.collect():
         used += row["_size"]
-        if used > chars and kept:
+        if used > chars and chosen:
             break
-        kept.append(row)
-    return kept
+        chosen[row["doc_id"]] = float(row["_label"])
+    if not chosen:
+        return []
+    # Bounded by ``rows`` ids, so the list may go along with the scan.
+    texts = docs.select("doc_id", "text").where(F.col("doc_id").isin(list(chosen)) & (F.length(normal_text()) <= chars // 8))
+    found = texts.limit(rows).collect()
+    place = {key: k for k, key in enumerate(chosen)}
+    return [(r["text"] or "", chosen[r["doc_id"]]) for r in sorted(found, key=lambda r: (place[r["doc_id"]], r["text"] or ""))]
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:

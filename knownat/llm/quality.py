@@ -72,9 +72,10 @@ def symbols(padded: np.ndarray) -> np.ndarray:
 def layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The texts one after another, each filled with zeros to whole halves, and the first half of each.
 
-    A zero byte has no weight in any filter; an empty text is one half of zeros.
+    A zero byte has no weight in any filter; an empty text is one half of zeros.  Enough zeros stand between two texts that no repeat
+    reaches from one into the other.
     """
-    halves = np.array([-(-(len(t) + WIDTH - 1) // HALF) for t in texts], np.int64)
+    halves = np.array([-(-(len(t) + max(LAGS)) // HALF) for t in texts], np.int64)
     first = np.concatenate([[0], np.cumsum(halves)])
     padded = np.zeros(int(first[-1]) * HALF + WIDTH - 1 + max(LAGS), np.uint8)
     for begin, text in zip(first * HALF, texts):
@@ -82,8 +83,12 @@ def layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return symbols(padded)[:len(padded) - max(LAGS)], first
 
 
-def pool(network: Network, padded: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-    """Maximum (and its place) of each filter in each half, before bias and rectifier; blocks bound the memory."""
+def pool(network: Network, padded: np.ndarray, first: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """Maximum (and its place) of each filter in each half, before bias and rectifier; blocks bound the memory.
+
+    The last places of a text's last half are left out: filters there would reach into the next text.
+    """
+    ends = first[1:] - 1
     halves = (len(padded) - WIDTH + 1) // HALF
     best = np.empty((halves, FILTERS), np.float32)
     where = np.empty((halves, FILTERS), np.int64) if places else None
@@ -91,6 +96,7 @@ def pool(network: Network, padded: np.ndarray, places: bool = False) -> tuple[np
     for a in range(0, halves, step):
         b = min(halves, a + step)
         found = network.convolve(padded[a * HALF:b * HALF + WIDTH - 1]).reshape(b - a, HALF, FILTERS)
+        found[ends[(ends >= a) & (ends < b)] - a, HALF - WIDTH + 1:] = -np.inf
         found.max(1, out=best[a:b])
         if where is not None:
             where[a:b] = found.argmax(1) + (np.arange(a, b) * HALF)[:, None]
@@ -110,7 +116,7 @@ def chunks(best: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def features(network: Network, texts: list[bytes]) -> np.ndarray:
     padded, first = layout(texts)
-    best, _ = pool(network, padded)
+    best, _ = pool(network, padded, first)
     active, _, begins = chunks(best, first)
     active = np.maximum(active + network.bias, 0)
     mean = np.add.reduceat(active, begins[:-1], 0) / np.diff(begins)[:, None]
@@ -128,7 +134,7 @@ def predict(network: Network, texts: list[bytes]) -> np.ndarray:
 def gradients(network: Network, texts: list[bytes], labels: np.ndarray) -> list[np.ndarray]:
     """Gradients of the mean log loss; through a maximum only the place of the maximum is moved."""
     padded, first = layout(texts)
-    best, where = pool(network, padded, places=True)
+    best, where = pool(network, padded, first, places=True)
     active, source, begins = chunks(best, first)
     active = np.maximum(active + network.bias, 0)
     counts = np.diff(begins)
@@ -179,9 +185,8 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 6, batch: int =
 def fit(docs: DataFrame, labels: DataFrame, held_out: int = 0) -> Network:
     """Train on a bounded sample of labelled rows outside the held-out fold."""
     known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("_label"))
-    rows = docs.select("doc_id", "text").where(fold() != held_out).join(known, "doc_id")
-    sample = bounded_sample(rows, "doc_id", SAMPLE_ROWS, SAMPLE_CHARS)
-    return train([(r["text"] or "").encode() for r in sample], np.array([r["_label"] for r in sample], np.float64))
+    sample = bounded_sample(docs, known.where(fold() != held_out), SAMPLE_ROWS, SAMPLE_CHARS)
+    return train([text.encode() for text, _ in sample], np.array([label for _, label in sample], np.float64))
 
 
 def judged(docs: DataFrame, network: Network, threshold: float = 0.3) -> DataFrame:

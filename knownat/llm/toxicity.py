@@ -214,9 +214,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float,
 def fit(docs: DataFrame, labels: DataFrame, held_out: int = 0) -> Grammar:
     """Learn on a bounded sample of labelled rows outside the held-out fold."""
     known = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("_label"))
-    rows = docs.select("doc_id", "text").where(fold() != held_out).join(known, "doc_id")
-    sample = bounded_sample(rows, "doc_id", SAMPLE_ROWS, SAMPLE_CHARS)
-    return learn([r["text"] for r in sample], np.array([r["_label"] for r in sample], np.float64))
+    sample = bounded_sample(docs, known.where(fold() != held_out), SAMPLE_ROWS, SAMPLE_CHARS)
+    return learn([text for text, _ in sample], np.array([label for _, label in sample], np.float64))
 
 
 def judged(docs: DataFrame, found: Grammar, threshold: float = 0.5) -> DataFrame:
