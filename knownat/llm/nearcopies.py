@@ -7,7 +7,8 @@ trials.
 
 Links are found in two passes over the bands.  First every member of a band meets the band's least document; true links become
 components.  Then only bands that still hold different components compare, by sketch and in blocks, members of different
-components.  Links within a component need no check: they cannot change it.
+components; a document that may be similar to one of another component meets that component's whole texts, pack by pack.
+Links within a component need no check: they cannot change it.
 """
 
 from __future__ import annotations
@@ -173,33 +174,77 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int, together: int = 25
 
 
 def across(members: DataFrame, percent: int, block: int = 2048) -> DataFrame:
-    """Pairs of different components that share a band and may reach the similarity.
+    """``x, comp``: a document and another component that may hold a text similar to it, in a band they share.
 
-    ``members`` has ``band, rep, comp, n, sketch, size`` (rows of the band).  A large band is cut into blocks by a hash, and pairs
-    of blocks are separate tasks.
+    ``members`` has ``band, rep, comp, of, n, sketch, size`` (``of``: documents of the component, ``size``: rows of the band).  A
+    large band is cut into blocks by a hash, and pairs of blocks are separate tasks.  Of two components the smaller one's
+    documents are named, and each once per component, so a large group does not multiply the rows.
     """
     blocks = F.ceil(F.col("size") / block).cast("int")
     own = F.pmod(F.xxhash64("rep", "band"), blocks).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("own", own).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "n", "sketch")
+        "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "of", "n", "sketch")
 
     def run(group: pa.Table) -> pa.Table:
-        rep, comp, n, own = (np.asarray(group.column(c).combine_chunks()) for c in ("rep", "comp", "n", "own"))
+        rep, comp, of, n, own = (np.asarray(group.column(c).combine_chunks()) for c in ("rep", "comp", "of", "n", "own"))
         signatures = _signatures(group.column("sketch"))
         within = group.column("i")[0].as_py() == group.column("j")[0].as_py()
-        a, b = [], []
+        found: set[tuple[int, int]] = set()
         for row in range(len(rep)):
             later = np.arange(row + 1, len(rep)) if within else np.flatnonzero(own > own[row])
             later = later[comp[later] != comp[row]]
-            if len(later):
-                near = later[alike(n[later], signatures[later], n[row], signatures[row], percent)]
-                a.append(np.minimum(rep[near], rep[row]))
-                b.append(np.maximum(rep[near], rep[row]))
-        empty = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate(a or [empty]), "b": np.concatenate(b or [empty])})
+            near = later[alike(n[later], signatures[later], n[row], signatures[row], percent)]
+            smaller = (of[near] < of[row]) | ((of[near] == of[row]) & (comp[near] > comp[row]))
+            found.update((int(x), int(comp[row])) for x in rep[near[smaller]])
+            found.update((int(rep[row]), int(c)) for c in np.unique(comp[near[~smaller]]))
+        x, c = zip(*sorted(found)) if found else ((), ())
+        return pa.table({"x": pa.array(x, pa.int64()), "comp": pa.array(c, pa.int64())})
 
-    return dealt.groupBy("band", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return dealt.groupBy("band", "i", "j").applyInArrow(run, "x long, comp long").distinct()
+
+
+def meetings(named: DataFrame, places: DataFrame, docs: DataFrame, percent: int, pack: int = 256, together: int = 1024) -> DataFrame:
+    """Links ``a, b`` between the documents ``x`` and the components ``comp`` that ``named`` puts together.
+
+    ``places`` has ``rep, comp, of`` of every document.  A component is cut into packs of about ``pack`` texts; a task holds one
+    pack and at most about ``together`` of the documents that it meets.  One link of a document with a pack is enough: it joins
+    the components.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    packs = F.ceil(F.col("of") / pack).cast("int")
+    wanted = named.groupBy("comp").agg((F.ceil(F.count("*") / together)).cast("int").alias("salts"))
+    sides = places.join(wanted, "comp").withColumn("packs", packs)
+    counted = sides.select("comp", "packs", "salts").distinct()
+    held = sides.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(
+        "comp", F.pmod(F.xxhash64("rep"), F.col("packs")).cast("int").alias("pack"), "salt", F.lit(True).alias("held"),
+        F.col("rep").alias("id"))
+    met = named.join(counted, "comp").withColumn("pack", F.explode(F.sequence(F.lit(0), F.col("packs") - 1))).select(
+        "comp", "pack", F.pmod(F.xxhash64("x"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("held"),
+        F.col("x").alias("id"))
+    dealt = held.union(met).join(texts, "id")
+
+    def run(group: pa.Table) -> pa.Table:
+        own = Shingler()
+        ids, held = group.column("id").to_pylist(), group.column("held").to_pylist()
+        sets = [own.shingles(t) for t in utf8(group.column("text").combine_chunks())]
+        inner = [k for k, h in enumerate(held) if h]
+        if not inner:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        whole = np.concatenate([sets[k] for k in inner])
+        sizes = np.array([len(sets[k]) for k in inner])
+        owner = np.repeat(np.arange(len(inner)), sizes)
+        links = []
+        for k, h in enumerate(held):
+            if not h:
+                common = np.bincount(owner[np.isin(whole, sets[k])], minlength=len(inner))
+                good = np.flatnonzero((common > 0) & (100 * common >= percent * (sizes + len(sets[k]) - common)))
+                if len(good):
+                    links.append((ids[k], ids[inner[good[0]]]))
+        a, b = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("comp", "pack", "salt").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -223,12 +268,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     stars = in_bands.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
     first = stored(verified(plausible(stars, classes, percent), docs, percent), "verified")
     groups = connected(first)
+    in_group = groups.join(groups.groupBy("component").agg(F.count("*").alias("of")), "component")
+    places = classes.select("rep").distinct().join(in_group.withColumnRenamed("id", "rep"), "rep", "left").select(
+        "rep", F.coalesce("component", "rep").alias("comp"), F.coalesce("of", F.lit(1)).alias("of"))
+    places = stored(places, "places")
     # Bands of two had their only pair checked above.
-    placed = in_bands.where("size > 2").join(groups.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "band", "rep", "size", F.coalesce("component", "rep").alias("comp"))
+    placed = in_bands.where("size > 2").join(places, "rep").select("band", "rep", "size", "comp", "of")
     mixed = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band")
     members = placed.join(mixed, "band", "left_semi").join(classes.select("rep", "n", "sketch"), "rep")
-    second = stored(verified(across(members, percent), docs, percent), "verified")
+    named = stored(across(members, percent), "named")
+    second = stored(meetings(named, places, docs, percent), "verified")
     # Classes of one set join their documents; links join classes.
     same = known.select("doc_id", "digest").join(classes.select("digest", "rep"), "digest").select(
         F.col("doc_id").alias("a"), F.col("rep").alias("b"))
