@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
@@ -10,10 +11,20 @@ from functools import lru_cache
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 from tokenizers import Tokenizer  # noqa: E402
 
-#: A space before a visible character always begins a new match of the byte-level pattern, whatever precedes it:
-#: words, numbers and signs take at most one leading space, and a run of white space gives its last space up to them.
+#: A space before a visible character always begins a new match of the byte-level pattern, whatever precedes it: words, numbers
+#: and signs take at most one leading space, and a run of white space gives its last space up to them.
 BOUNDARY = re.compile(r" (?=\S)")
-NOT_PLAIN = re.compile(r" (?:\s|$)")
+#: Elsewhere a line end between two visible characters is a match of its own, so a text can be cut before it as well.
+OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: A chunk that is one word of Latin letters, perhaps after a line end or before a full stop or comma.
+SIMPLE = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+
+
+def byte_letters() -> dict[int, str]:
+    """How the byte-level alphabet writes the Latin letters beyond ASCII: each of their bytes is itself a printed character."""
+    shifted = iter(range(256, 512))
+    printed = {b: chr(b) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else chr(next(shifted)) for b in range(256)}
+    return {code: "".join(printed[b] for b in chr(code).encode()) for code in range(0xC0, 0x100)}
 
 
 class Encoder:
@@ -22,51 +33,85 @@ class Encoder:
     Chunks seen lately come from a cache of at most about two times ``kept`` short chunks; it changes no result.
     """
 
-    def __init__(self, path: str, kept: int = 400_000, longest: int = 48):
+    def __init__(self, path: str, kept: int = 450_000, longest: int = 48):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kept, self.longest = kept, longest
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.letters = byte_letters()
+        self.model = self.tokenizer.model
+        self.fixed = dict(zip(("\n", ".", ","), self._ids(["\n", ".", ","])))
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers; nothing for a null or empty text."""
+        """Ids of each text as little-endian unsigned 32-bit integers; nothing for a null or empty text.
+
+        Lists of chunks hold no cycles, so Python need not search them for any meanwhile.
+        """
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.recent) > self.kept:
             self.recent, self.older = {}, self.recent
         heads, tails, wanted = [], [], set()
         for text in texts:
-            head, *rest = (BOUNDARY if NOT_PLAIN.search(text) else SPACE).split(text) if text else ("",)
+            head, *rest = self._chunks(text) if text else ("",)
             heads.append(head)
             ids = list(map(self.recent.get, rest))
             if None in ids:
-                wanted.update(chunk for chunk, known in zip(rest, ids) if known is None)
-                tails.append(rest)
+                wanted.update([chunk for chunk, known in zip(rest, ids) if known is None])
+                tails.append((rest, ids))
             else:
                 tails.append(b"".join(ids))
-        fresh = {chunk: self.older[chunk] for chunk in wanted if chunk in self.older}
-        missing = [chunk for chunk in wanted if chunk not in fresh]
-        fresh.update(zip(missing, self._ids([" " + chunk for chunk in missing])))
+        fresh = self._fresh(wanted)
         self.recent.update(item for item in fresh.items() if len(item[0]) <= self.longest)
-        return [first + (tail if isinstance(tail, bytes) else self._join(tail, fresh))
+        return [first + (tail if isinstance(tail, bytes) else self._join(*tail, fresh))
                 for first, tail in zip(self._ids(heads), tails)]
 
+    @staticmethod
+    def _chunks(text: str) -> list[str]:
+        """The first chunk, then chunks that follow a space (left out) or begin with a line end.
+
+        Where white space stands alone, every space and every line end is a boundary; else only the certain ones are.
+        """
+        together = "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1] in " \n"
+        return BOUNDARY.split(text) if together or OTHER_SPACE.search(text) else text.replace("\n", " \n").split(" ")
+
+    def _fresh(self, wanted: set[str]) -> dict[str, bytes]:
+        found: dict[str, bytes] = {}
+        others = []
+        for chunk in wanted:
+            if (known := self.older.get(chunk)) is not None:
+                found[chunk] = known
+            elif simple := SIMPLE.fullmatch(chunk):
+                line, word, end = simple.groups()
+                base = line + word
+                ids = found.get(base) or self.recent.get(base) or self.older.get(base) or self._word(line, word)
+                found[base] = ids
+                if end:
+                    found[chunk] = ids + self.fixed[end]
+            else:
+                others.append(chunk)
+        found.update(zip(others, self._ids([c if c[:1] == "\n" else " " + c for c in others])))
+        return found
+
+    def _word(self, line: str, word: str) -> bytes:
+        """A word is one match of the pattern: its merges need no splitting before."""
+        written = word if word.isascii() else word.translate(self.letters)
+        ids = array("I", [token.id for token in self.model.tokenize(written if line else "Ġ" + written)]).tobytes()
+        return self.fixed["\n"] + ids if line else ids
+
     def _ids(self, chunks: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def _join(self, chunks: list[str], fresh: dict[str, bytes]) -> bytes:
-        recent = self.recent
-        return b"".join([recent[c] if c in recent else fresh[c] for c in chunks])
-
-
-class _Space:
     @staticmethod
-    def split(text: str) -> list[str]:
-        return text.split(" ")
-
-
-#: Where no space stands before white space or at the end, every space is such a boundary.
-SPACE = _Space()
+    def _join(chunks: list[str], known: list[bytes | None], fresh: dict[str, bytes]) -> bytes:
+        return b"".join([fresh[chunk] if ids is None else ids for chunk, ids in zip(chunks, known)])
 
 
 @lru_cache(maxsize=2)
