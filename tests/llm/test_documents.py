@@ -12,6 +12,7 @@ from functools import lru_cache
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -281,7 +282,7 @@ def test_dominating_sets_keep_the_optimum():
 
 def test_context_trees_by_hand():
     texts, training = [b"abracadabra", b"abba", b"zz\xc3\xa9"], np.array([True, True, False])
-    keys, counts = ctw.block_entries(texts, training)[0][1:]
+    keys, counts = ctw.block_entries(pa.chunked_array([texts], pa.binary()), training)[0][1:]
     below, seen, top = ctw.subtree(keys, counts)
     upper = (((top.keys >> np.uint64(8)) & np.uint64(0xFF)) << np.uint64(8)) | (top.keys & np.uint64(0xFF))
     distinct, place = np.unique(upper, return_inverse=True)
