@@ -370,6 +370,13 @@ def test_scores_of_whole_texts(odd):
     assert all(r["score"] < 0 for r in found)
 
 
+def test_scores_use_the_seventh_byte_before(tiny):
+    same = [(i, text) for i in range(40) for text in ("xabcdefp", "yabcdefq")]
+    found = {r["doc_id"]: r["score"] for r in ctw.score(tiny(same + [(1001, "xabcdefp"), (1002, "xabcdefq")])).collect()}
+    # Only x or y, seven bytes before p or q, tells which of the two it is.
+    assert found[1001] > found[1002] + 1
+
+
 def test_scores_of_nothing(tiny):
     assert ctw.score(tiny([])).count() == 0
 
