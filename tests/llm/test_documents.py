@@ -377,6 +377,25 @@ def test_scores_use_the_seventh_byte_before(tiny):
     assert found[1001] > found[1002] + 1
 
 
+def test_no_id_owns_a_block_of_trees(tiny, monkeypatch):
+    texts = ["".join(random.Random(k).choices("abcde ", k=150)) for k in range(80)]
+    rows = [(None if k % 2 else 7, text) for k, text in enumerate(texts)] + [(8, "one text " * 20), (9, "and one " * 20)] * 40
+    docs = tiny(rows)
+
+    def scores():
+        return Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"],
+                        round(r["base_score"], 6), round(r["score"], 6)) for r in ctw.score(docs).collect())
+
+    one_block, read, held = scores(), ctw.read_blocks, []
+    monkeypatch.setattr(ctw, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(ctw, "read_blocks", lambda dealt: held.append(dealt) or read(dealt))
+    assert scores() == one_block and sum(one_block.values()) == len(rows)
+    largest = Counter()
+    for r in held[0].select("block", "text").collect():
+        largest[r["block"]] += len(r["text"])
+    assert len(largest) > 5 and max(largest.values()) < 2 * 3000
+
+
 def test_scores_of_nothing(tiny):
     assert ctw.score(tiny([])).count() == 0
 
