@@ -5,7 +5,9 @@ symbols of a clause: negation takes weight from what it denies, report from what
 insult that follows or precedes it, a threat counts where it meets a target.  They are composed into one machine that reads
 each clause once.  A document's evidence is the sum over its matched clauses, put on a scale from 0 to 1 by labelled rows.
 
-Insult words and stems are learned with their weights from a bounded labelled sample; the other classes are closed lists.
+Insult words and stems are learned from a bounded labelled sample with a weight each, their log-odds of toxic against clean
+over the usual one.  So is what a composed pattern (an insult alone, denied, quoted, with a target, a threat that met one)
+makes of a weight; a pattern that the sample hardly has keeps the factor of the machine.  The other classes are closed lists.
 """
 
 from __future__ import annotations
@@ -34,6 +36,9 @@ WORD = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[.!?;:\n]+")
 
 Arc = tuple[int, str, float]
+#: What was read, an insult or the target that a threat met, and the factor of the machine for what stands about it.
+Pattern = tuple[str, float]
+ALONE: Pattern = ("insult", 1.0)
 
 
 @dataclass
@@ -92,12 +97,13 @@ def grammar() -> Transducer:
 
 @dataclass
 class Grammar:
-    """Learned insult words and stems with weights, and the scale of the evidence."""
+    """Learned insult words and stems with weights, learned factors of patterns, and the scale of the evidence."""
 
     words: dict[str, float]
     stems: dict[str, float]
     slope: float = 3.0
     offset: float = -3.0
+    patterns: dict[Pattern, float] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.machine = grammar()
@@ -106,7 +112,7 @@ class Grammar:
         self.known: dict[str, tuple[str, float]] = {}
 
     def __reduce__(self):
-        return Grammar, (self.words, self.stems, self.slope, self.offset)
+        return Grammar, (self.words, self.stems, self.slope, self.offset, self.patterns)
 
     def symbol(self, word: str) -> tuple[str, float]:
         if word in self.words:
@@ -127,14 +133,18 @@ class Grammar:
             found = [self.known[w] for w in words]
         return found
 
-    def clause(self, words: list[str]) -> float:
-        """Weight of one clause: each insult or threat with the factors of what stands about it."""
-        state, total = 0, 0.0
+    def matches(self, words: list[str]) -> list[tuple[Pattern, float]]:
+        """Pattern and weight of each insult or threat of one clause."""
+        state, found = 0, []
         for symbol, weight in self.symbols(words):
             state, out, factor = self.machine.step(state, symbol)
             if out == "insult":
-                total += factor * (weight if symbol == "insult" else 1.0)
-        return total
+                found.append(((symbol, round(factor, 6)), weight if symbol == "insult" else 1.0))
+        return found
+
+    def clause(self, words: list[str]) -> float:
+        """Weight of one clause: each insult or threat with the factors of what stands about it."""
+        return sum(weight * self.patterns.get(pattern, pattern[1]) for pattern, weight in self.matches(words))
 
     def evidence(self, text: str | None) -> float:
         """Sum over the clauses that hold an insult or a threat; nothing for a null or empty text."""
@@ -154,8 +164,33 @@ def surprise(toxic: int, clean: int, share: float) -> float:
     return 2 * (part(toxic, share) + part(clean, 1 - share))
 
 
+def log_odds(toxic: int, clean: int, share: float) -> float:
+    """How much more often than by the share of toxic documents; half a count is added to either side."""
+    return float(np.log((toxic + 0.5) / (clean + 0.5)) - np.log(share / (1 - share)))
+
+
+def learn_patterns(found: Grammar, texts: list[str | None], labels: np.ndarray, share: float, doubt: float = 20.0) -> dict[Pattern, float]:
+    """Factor of each pattern: its log-odds over those of an insult alone, drawn to the machine's factor where documents are few.
+
+    Only documents that hold no other pattern are witnesses, so that none inherits what another says.
+    """
+    seen: dict[Pattern, Counter] = defaultdict(Counter)
+    for text, label in zip(texts, labels):
+        held = {pattern for part in CLAUSE.split((text or "").lower()) for pattern, _ in found.matches(WORD.findall(part))}
+        if len(held) == 1:
+            seen[held.pop()][bool(label)] += 1
+    usual = log_odds(seen[ALONE][True], seen[ALONE][False], share)
+    if usual <= 0:
+        return {}
+    learned = {}
+    for pattern, n in seen.items():
+        trust = n.total() / (n.total() + doubt)
+        learned[pattern] = (1 - trust) * pattern[1] + trust * max(log_odds(n[True], n[False], share), 0.0) / usual
+    return learned
+
+
 def learn(texts: list[str | None], labels: np.ndarray, needed: float = 25.0, contexts: int = 4) -> Grammar:
-    """Words and stems that mark toxic documents, then the scale by logistic regression.
+    """Words and stems that mark toxic documents and their weights, patterns, then the scale by logistic regression.
 
     A word counts once for each pair of neighbours, so that copies of one document are one witness.  Stems of four to six
     letters stand for the forms of a word that the sample lacks; they need three forms and no clean word.
@@ -183,13 +218,17 @@ def learn(texts: list[str | None], labels: np.ndarray, needed: float = 25.0, con
             if len(word) > k and word[:k] not in clean_stems:
                 forms[word[:k]].add(word)
         if len(seen) >= contexts and len(seen) > 4 * clean and surprise(len(seen), clean, share) >= needed:
-            words[word] = 1.0
+            words[word] = log_odds(len(seen), clean, share)
     stems: dict[str, float] = {}
     for stem, members in sorted(forms.items(), key=lambda item: (len(item[0]), item[0])):
         seen = set().union(*(toxic_at[w] for w in members))
         if len(members) >= 3 and surprise(len(seen), 0, share) >= needed and not any(stem[:k] in stems for k in (4, 5)):
-            stems[commonprefix(sorted(members))] = 1.0
+            stems[commonprefix(sorted(members))] = log_odds(len(seen), 0, share)
+    if words or stems:
+        usual = float(np.median([*words.values(), *stems.values()]))
+        words, stems = ({w: v / usual for w, v in part.items()} for part in (words, stems))
     found = Grammar(words, stems)
+    found.patterns = learn_patterns(found, texts, labels, share)
     evidence = np.log1p([found.evidence(t) for t in texts])
     if 0 < labels.sum() < len(labels):
         found.slope, found.offset = logistic(evidence, labels)

@@ -460,6 +460,18 @@ def test_grammar_scores_clauses():
     assert found.evidence("will not kill you") == 0 == found.evidence(None) == found.evidence("")
 
 
+def test_words_and_patterns_have_weights_of_their_own():
+    about = ["".join(chr(97 + i // 26 ** k % 26) for k in range(3)) for i in range(900)]
+    texts = [f"x{w} oaf y{w}" for w in about[:300]] + [f"x{w} lout y{w}" for w in about[:60]]
+    texts += [f"x{w} lout y{w}" for w in about[:12]] + [f"x{w} not oaf y{w}" for w in about[:20]] + [f"x{w} y{w}" for w in about]
+    found = toxicity.learn(texts, np.array([1.0] * 360 + [0.0] * 932))
+    # A word that clean documents hold too weighs less; what only clean documents deny weighs less than the machine says.
+    assert found.words["oaf"] > found.words["lout"] > 0
+    assert found.patterns["insult", 0.3] < 0.3 and found.evidence("an oaf") > found.evidence("a lout") > found.evidence("not a lout")
+    assert found.evidence("kill you") == 2.0
+    assert toxicity.Grammar(*found.__reduce__()[1]).evidence("not an oaf") == found.evidence("not an oaf")
+
+
 def test_toxicity_learns_and_scores_all_rows(spark, tiny, odd):
     insults = ["oaf", "lout", "gromwort", "gromworts", "gromwortish"]
     rows, marks = [], []
