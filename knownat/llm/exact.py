@@ -41,19 +41,26 @@ class CountingQuotientFilter:
     @classmethod
     def _runs(cls, distinct: np.ndarray, counts: np.ndarray, bits: int) -> CountingQuotientFilter:
         shift = np.uint64(64 - bits)
-        quotients, lengths = np.unique(distinct >> shift, return_counts=True)
-        return cls(bits, quotients, lengths, distinct & ((np.uint64(1) << shift) - np.uint64(1)), counts)
+        slots = distinct >> shift
+        first = np.flatnonzero(np.concatenate([[True], slots[1:] != slots[:-1]])) if len(slots) else np.zeros(0, int)
+        return cls(bits, slots[first], np.diff(first, append=len(slots)), distinct & ((np.uint64(1) << shift) - np.uint64(1)), counts)
 
     def fingerprints(self) -> np.ndarray:
         return (np.repeat(self.quotients, self.lengths) << np.uint64(64 - self.bits)) | self.remainders
 
     def merge(self, other: CountingQuotientFilter) -> CountingQuotientFilter:
-        """The filter of both inputs; each side is already in slot and remainder order."""
+        """The filter of both inputs: two runs in slot and remainder order become one, counts of equals are added."""
         if self.bits != other.bits:
             raise ValueError("filters of different shapes do not merge")
-        return self.build(
-            np.concatenate([self.fingerprints(), other.fingerprints()]), self.bits,
-            np.concatenate([self.counts, other.counts]))
+        small, large = sorted((self, other), key=lambda f: len(f.counts))
+        ours, theirs = large.fingerprints(), small.fingerprints()
+        place = np.searchsorted(ours, theirs)
+        equal = place < len(ours)
+        equal[equal] = ours[place[equal]] == theirs[equal]
+        counts = large.counts.copy()
+        counts[place[equal]] += small.counts[equal]
+        new = place[~equal]
+        return self._runs(np.insert(ours, new, theirs[~equal]), np.insert(counts, new, small.counts[~equal]), self.bits)
 
     def slices(self, width: int) -> Iterator[tuple[int, CountingQuotientFilter]]:
         """The filter cut at its top ``width`` quotient bits; each slice merges on its own."""
@@ -66,13 +73,26 @@ class CountingQuotientFilter:
                 self.bits, self.quotients[a:b], self.lengths[a:b], self.remainders[low:high], self.counts[low:high])
 
     def to_bytes(self) -> tuple[bytes, bytes, bytes, bytes]:
-        return (self.quotients.astype("<u8").tobytes(), self.lengths.astype("<u4").tobytes(),
-                self.remainders.astype("<u8").tobytes(), self.counts.astype("<i8").tobytes())
+        """Quotients and remainders in as many bytes as their bits need."""
+        return (packed(self.quotients, self.bits), self.lengths.astype("<u4").tobytes(),
+                packed(self.remainders, 64 - self.bits), self.counts.astype("<i8").tobytes())
 
     @classmethod
     def from_bytes(cls, bits: int, parts: tuple[bytes, bytes, bytes, bytes]) -> CountingQuotientFilter:
-        kinds = ("<u8", "<u4", "<u8", "<i8")
-        return cls(bits, *(np.frombuffer(part, kind) for part, kind in zip(parts, kinds)))
+        return cls(bits, unpacked(parts[0], bits), np.frombuffer(parts[1], "<u4"), unpacked(parts[2], 64 - bits),
+                   np.frombuffer(parts[3], "<i8"))
+
+
+def packed(values: np.ndarray, bits: int) -> bytes:
+    """Whole numbers below ``2 ** bits``, each in its lowest bytes."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :-(-bits // 8)].tobytes()
+
+
+def unpacked(raw: bytes, bits: int) -> np.ndarray:
+    size = -(-bits // 8)
+    whole = np.zeros((len(raw) // size, 8), np.uint8)
+    whole[:, :size] = np.frombuffer(raw, np.uint8).reshape(-1, size)
+    return whole.ravel().view("<u8")
 
 
 PARTS = ("quotients", "lengths", "remainders", "counts")

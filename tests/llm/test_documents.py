@@ -242,6 +242,21 @@ def assert_gapless(rows, capacity):
     return len(sequences)
 
 
+def test_filters_merge_in_order_and_pack_remainders(monkeypatch):
+    rng = np.random.default_rng(6)
+    a, b = (rng.integers(0, 1 << 64, n, dtype=np.uint64) for n in (3000, 500))
+    left, right = (exact.CountingQuotientFilter.build(x, 24) for x in (np.concatenate([a, a[:9]]), np.concatenate([b, a[:200], a[-1:]])))
+    wanted = Counter(np.concatenate([a, a[:9], b, a[:200], a[-1:]]).tolist())
+    # Merging is not counting anew.
+    monkeypatch.setattr(exact.CountingQuotientFilter, "build", None)
+    none = exact.CountingQuotientFilter._runs(a[:0], np.zeros(0, np.int64), 24)
+    for whole in (left.merge(right), right.merge(left), none.merge(left).merge(none).merge(right)):
+        assert dict(zip(whole.fingerprints().tolist(), whole.counts.tolist())) == wanted
+        assert (np.diff(whole.fingerprints()) > 0).all() and len(whole.to_bytes()[2]) == 5 * len(whole.counts)
+        again = exact.CountingQuotientFilter.from_bytes(24, whole.to_bytes())
+        assert (again.fingerprints() == whole.fingerprints()).all() and (again.counts == whole.counts).all()
+
+
 def test_packing_of_nothing(tiny):
     assert packing.pack(tiny([]), BYTE_BPE).count() == 0
 
