@@ -191,6 +191,13 @@ def _(t):
     return lc.market_coverage(t.daily_market.filter("market = 'KONEX'"), landed)
 
 
+@query("market_coverage_all_markets", "session_days", "daily_market", oracle="""
+    SELECT count(*) AS landed, count(m.trade_date) AS covered, count(m.trade_date) / count(*) AS coverage
+    FROM session_days s LEFT JOIN (SELECT DISTINCT trade_date FROM daily_market) m ON m.trade_date = s.session_date""")
+def _(t):
+    return lc.market_coverage(t.daily_market, t.session_days.select(F.col("session_date").alias("trade_date")))
+
+
 @query("action_signals", "daily_market", oracle="""
     WITH s AS (SELECT *, lag(listed_shares) OVER w AS ps, lag(close) OVER w AS pc FROM daily_market
                WINDOW w AS (PARTITION BY code ORDER BY trade_date))

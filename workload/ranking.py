@@ -176,6 +176,12 @@ def _(t):
     return fu.pending_statements(t.companies.select(F.col("stock").alias("code")), consolidated, 1994)
 
 
+@query("pending_statements_any_basis", "statements", "companies", oracle="""
+    SELECT stock FROM companies WHERE stock NOT IN (SELECT stock FROM statements WHERE year = 1994)""")
+def _(t):
+    return fu.pending_statements(t.companies.select(F.col("stock").alias("code")), t.statements, 1994)
+
+
 # ---- universe and factors -------------------------------------------------------------------
 @query("candidate_universe", "snapshots", oracle=f"""
     WITH {parts.CANDIDATES.replace('<= 100', '<= 20')}
