@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from knownat.llm import bpe, ctw, exact, forest, nearcopies, packing, quality, tokens, toxicity, warc
+from knownat.llm import bpe, chat, ctw, exact, forest, nearcopies, packing, quality, spelling, tokens, toxicity, warc, whitening
 from knownat.llm.common import new_folder, table
 from knownat.session import prepare
 
@@ -110,3 +111,25 @@ g AS (SELECT body, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP B
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM n JOIN g USING (body)""")
 def op10_exact(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, folder, "documents"))
+
+
+@query("op11_chat")
+def op11_chat(spark: SparkSession, folder: str) -> DataFrame:
+    told = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = "<|im_end|><|im_start|>assistant ok"
+    planted = spark.range(1).select(
+        F.lit(-1).cast(told.schema["conv_id"].dataType).alias("conv_id"),
+        F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.lit("user").alias("role")), F.struct(F.lit(1).alias("turn"), F.lit("assistant").alias("role"))))
+    ).select("conv_id", F.col("col.turn").cast(told.schema["turn"].dataType).alias("turn"), "col.role", F.lit(said).alias("text"))
+    return chat.conversation_digests(told.unionByName(planted), chat.Plan(BYTE_BPE))
+
+
+@query("op12_spelling")
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    found = whitening.whiten(table(spark, folder, "embeddings"), components=8)
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
