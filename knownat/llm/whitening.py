@@ -110,7 +110,7 @@ def centred_blocks(rows: DataFrame, dim: int, n: int, sums: list[int], narrow: b
 
 
 def numbered(blocks: DataFrame) -> tuple[DataFrame, int]:
-    """Blocks numbered without gaps, and their count; the carry has one row per task that made them."""
+    """Blocks numbered without gaps, and their count; the carry has one row per task that made them, so it may be broadcast."""
     parts = blocks.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()
     starts, total = {}, 0
     for row in parts:
@@ -118,7 +118,7 @@ def numbered(blocks: DataFrame) -> tuple[DataFrame, int]:
         total += row["n"]
     spark = blocks.sparkSession
     carry = spark.createDataFrame(list(starts.items()), "part long, first long")
-    return blocks.join(carry, "part").withColumn("number", F.col("first") + F.col("place")).drop("part", "place", "first"), total
+    return blocks.join(F.broadcast(carry), "part").withColumn("number", F.col("first") + F.col("place")).drop("part", "place", "first"), total
 
 
 def block_matrix(blocks: DataFrame, count: int, dim: int, height: int) -> BlockMatrix:
