@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator, Sequence
+from statistics import median
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from knownat.findings import explode_reasons, findings
 from knownat.functions.hashing import model_fingerprint
@@ -113,58 +120,65 @@ def schema_drift(versions: DataFrame) -> DataFrame:
     )
 
 
-def resolve_day_states(days: DataFrame) -> DataFrame:
-    """Verdict per day, with history made of promoted days only.
-
-    ``days`` (trade_date, row_count, total_marcap, hard_errors, changed, empty, attempts, evidence): one row per day.  Where
-    ``days`` has a true ``settled``, the day was promoted earlier and stays so.
-    The verdict of a day depends on the verdicts before it, so the day rows - one per
-    calendar day - are folded in order inside one expression.
+VERDICT = [("trade_date", T.DateType()), ("state", T.StringType()), ("row_anomaly", T.BooleanType()), ("cap_anomaly", T.BooleanType())]
+
+
+def _fold_days(days: pd.DataFrame) -> Iterator[tuple]:
+    """Verdicts of one source's days in order; remembers twenty counts and one total."""
+    counts: deque[float] = deque(maxlen=HISTORY)
+    cap: float | None = None
+    for day in days.sort_values("trade_date").itertuples(index=False):
+        odd_rows = odd_cap = False
+        if len(counts) == HISTORY:
+            middle = median(counts)
+            ratio = day.row_count / middle if middle else 0.0
+            odd_rows = ratio < LOW or ratio > HIGH
+        total = None if day.total_marcap is None else float(day.total_marcap)
+        if cap is not None and total is not None:
+            # A total that is no number is no total close to the one before.
+            odd_cap = cap == 0 or not abs(total / cap - 1) < CAP_CHANGE
+        if day.settled:
+            state = "promoted"
+        elif day.empty and (day.evidence or "").strip():
+            state = "non_session"
+        elif day.empty and day.attempts >= ATTEMPTS:
+            state = "calendar_unresolved"
+        elif day.empty or day.hard_errors > 0:
+            state = "failed"
+        elif odd_rows or odd_cap or day.changed:
+            state = "quarantined"
+        else:
+            state = "promoted"
+        if state == "promoted":
+            counts.append(float(day.row_count))
+            cap = total
+        yield day.trade_date, state, odd_rows and not day.empty, odd_cap and not day.empty
+
+
+def resolve_day_states(days: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Verdict per day, with history made of promoted days only; sources named by ``keys`` are judged side by side.
+
+    ``days`` (keys, trade_date, row_count, total_marcap, hard_errors, changed, empty, attempts, evidence): one row per source and
+    day.  Where ``days`` has a true ``settled``, the day was promoted earlier and stays so.
+    A day's verdict depends on the verdicts before it, so the day rows of a source - one per calendar day, whatever the number of its
+    market rows - are folded in order by one task, in time linear in the days.
     """
+    keys = list(keys)
+    fields = ["trade_date", "row_count", "total_marcap", "hard_errors", "changed", "empty", "attempts", "evidence", "settled"]
     settled = F.coalesce("settled", F.lit(False)) if "settled" in days.columns else F.lit(False)
-    day = F.struct("trade_date", "row_count", "total_marcap", "hard_errors", "changed", "empty", "attempts", "evidence",
-                   settled.alias("settled"))
-    ordered = days.agg(F.sort_array(F.collect_list(day)).alias("_days"))
-    kind = (
-        "struct<counts:array<double>,cap:double,"
-        "out:array<struct<trade_date:date,state:string,row_anomaly:boolean,cap_anomaly:boolean>>>"
-    )
-    start = F.struct(
-        F.array().cast("array<double>").alias("counts"), F.lit(None).cast("double").alias("cap"), F.array().alias("out")
-    ).cast(kind)
-
-    def step(acc: Column, d: Column) -> Column:
-        ranked = F.array_sort(acc["counts"])
-        size = F.size(acc["counts"])
-        middle = (F.get(ranked, F.lit(HISTORY // 2 - 1)) + F.get(ranked, F.lit(HISTORY // 2))) / 2
-        ratio = F.when(middle != 0, d["row_count"] / middle).otherwise(F.lit(0.0))
-        odd_rows = F.coalesce((size >= HISTORY) & ((ratio < LOW) | (ratio > HIGH)), F.lit(False))
-        move = F.when(acc["cap"] == 0, F.lit(float("inf"))).otherwise(F.abs(d["total_marcap"] / acc["cap"] - 1))
-        odd_cap = F.coalesce(move >= CAP_CHANGE, F.lit(False))
-        state = (
-            F.when(d["settled"], "promoted")
-            .when(d["empty"] & (F.trim(F.coalesce(d["evidence"], F.lit(""))) != ""), "non_session")
-            .when(d["empty"] & (d["attempts"] >= ATTEMPTS), "calendar_unresolved")
-            .when(d["empty"] | (d["hard_errors"] > 0), "failed")
-            .when(odd_rows | odd_cap | d["changed"], "quarantined")
-            .otherwise("promoted")
-        )
-        kept = state == "promoted"
-        more = F.concat(acc["counts"], F.array(d["row_count"].cast("double")))
-        counts = F.when(kept, F.slice(more, F.greatest(F.size(more) - HISTORY + 1, F.lit(1)), F.lit(HISTORY))).otherwise(
-            acc["counts"]
-        )
-        verdict = F.struct(
-            d["trade_date"].alias("trade_date"), state.alias("state"),
-            (odd_rows & ~d["empty"]).alias("row_anomaly"), (odd_cap & ~d["empty"]).alias("cap_anomaly"),
-        )
-        return F.struct(
-            counts.alias("counts"), F.when(kept, d["total_marcap"]).otherwise(acc["cap"]).alias("cap"),
-            F.concat(acc["out"], F.array(verdict)).alias("out"),
-        ).cast(kind)
-
-    verdicts = ordered.select(F.explode_outer(F.aggregate("_days", start, step, lambda acc: acc["out"])).alias("_v"))
-    return verdicts.filter("_v.trade_date IS NOT NULL").select("_v.*")
+    staged = days.filter("trade_date IS NOT NULL").withColumn("settled", settled).select(*keys, *fields)
+    names = [name for name, _ in VERDICT]
+
+    def fold(key: tuple, table: pa.Table) -> pa.Table:
+        plain = pd.DataFrame({name: pd.Series(table.column(name).to_pylist(), dtype=object) for name in fields})
+        found = list(_fold_days(plain))
+        columns = dict(zip(names, zip(*found))) if found else {name: [] for name in names}
+        kinds = {"trade_date": pa.date32(), "state": pa.string(), "row_anomaly": pa.bool_(), "cap_anomaly": pa.bool_()}
+        out = {name: table.column(name).take(pa.array([0] * len(found), pa.int64())) for name in keys}
+        return pa.table(out | {name: pa.array(columns[name], kinds[name]) for name in names})
+
+    schema = T.StructType([staged.schema[name] for name in keys] + [T.StructField(name, kind) for name, kind in VERDICT])
+    return staged.withColumn("_all", F.lit(0)).groupBy(*keys, "_all").applyInArrow(fold, schema)
 
 
 def invalid_transitions(log: DataFrame, rows_per_bucket: int = 1_000_000) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark import SparkContext
@@ -44,3 +45,16 @@ def prepare(spark: SparkSession) -> SparkSession:
             spark.conf.set(key, value)
     ship_package(spark.sparkContext)
     return spark
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new place for tables of one job, in the folder that ``spark.checkpoint.dir`` names.
+
+    Only a session on one machine may lack that setting; it then gets a folder of its own.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="knownat-")
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -123,12 +123,17 @@ def _decode_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"path": path, "source_row_number": range(1, len(rows) + 1), "values": rows, "rule_id": None})
 
 
+def decode_files(files: DataFrame) -> DataFrame:
+    """Rows of CSV files as maps of texts, and one row with its ``rule_id`` per file that cannot be used."""
+    return files.select("path", "content").mapInPandas(_decode_files, FILE_ROWS)
+
+
 def read_official_csv(files: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """Text rows of official CSV files (UTF-8 with or without mark, then CP949) and findings per unusable file.
 
     Files are decoded where they lie, one at a time: Spark's reader does not know CP949.
     """
-    decoded = files.select("path", "content").mapInPandas(_decode_files, FILE_ROWS)
+    decoded = decode_files(files)
     rows = decoded.filter("rule_id IS NULL").select(
         "path", "source_row_number", *[F.element_at("values", F.lit(c)).alias(c) for c in columns]
     )

@@ -4,7 +4,6 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 from test_identity import ROWS, STATUS, row, status
-from test_sources import raw_day
 
 from knownat.functions.hashing import model_fingerprint, table_fingerprint
 from knownat.functions.text import number
@@ -14,7 +13,6 @@ from knownat.operators import ranking as rk
 from knownat.operators import splits as sp
 from knownat.operators import valuation as va
 from knownat.schemas import Policy
-from knownat.streaming import ingest
 
 D = dt.date
 
@@ -74,25 +72,6 @@ def test_rows_clash_only_in_flags_of_the_policy(spark):
     assert iv.decide(model, asked, Policy(blocking_flags=("management_designation",))).first()["state"] == "eligible"
 
 
-def test_a_promoted_day_is_neither_replaced_nor_judged_again(spark, tmp_path):
-    table, verdicts = str(tmp_path / "market"), str(tmp_path / "verdicts")
-
-    def land(batch, *days):
-        rows = None
-        for day, close, cap in days:
-            own = raw_day(spark, day, close).withColumn("mrktTotAmt", F.lit(cap))
-            rows = own if rows is None else rows.unionByName(own)
-        ingest.ingest_batch(rows, batch, table, verdicts)
-        return {str(r["trade_date"])[-2:]: r["state"] for r in spark.read.parquet(f"{verdicts}/batch_id={batch}").collect()}
-
-    assert land(0, ("2025-01-08", "1,000", "10")) == {"08": "promoted"}
-    before = sorted(map(str, spark.read.parquet(table).collect()))
-    assert land(1, ("2025-01-08", "1,001", "10")) == {"08": "quarantined"}
-    assert sorted(map(str, spark.read.parquet(table).collect())) == before
-    assert land(2, ("2025-01-08", "1,000", "10"), ("2025-01-06", "1", "1"), ("2025-01-09", "1", "1")) == {
-        "08": "promoted", "06": "promoted", "09": "quarantined"}
-
-
 def test_positions_without_quantity_are_findings(spark):
     events = spark.createDataFrame([("1", D(2025, 1, 6), dt.datetime(2025, 1, 1), 2.0, "s")],
                                    "code string, effective_date date, published_at timestamp, ratio double, source_fingerprint string")

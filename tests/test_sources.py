@@ -10,7 +10,6 @@ from knownat.findings import BlockingFindings, findings, require_clean
 from knownat.operators.normalize import MissingColumns, normalize_daily_market
 from knownat.sources import landing as la
 from knownat.sources import tables as tb
-from knownat.streaming import ingest
 
 
 def test_csv_in_both_encodings_and_unusable_files(spark, tmp_path):
@@ -100,44 +99,6 @@ def test_runs_journal_and_export(spark, tmp_path):
     assert part.decode("utf-8").splitlines()[0] == "\ufeff종목코드"
 
 
-HEADERS = ["basDt", "srtnCd", "itmsNm", "mrktCtg", "mkp", "hipr", "lopr", "clpr", "trqu", "trPrc", "mrktTotAmt", "lstgStCnt"]
-SCHEMA = "requested_date date, " + ", ".join(f"{h} string" for h in HEADERS)
-
-
-def raw_day(spark, day, close="1,000"):
-    rows = [(day.replace("-", ""), "660", " A ", "kospi", "", "1", "1", close, "0", "0", "10", "5"),
-            (day.replace("-", ""), "1.0", "B", "KOSDAQ GLOBAL", "1", "1", "1", "2", "0", "0", "10", "5"),
-            (day.replace("-", ""), "2", "C", "KONEX", "1", "1", "1", "2", "0", "0", "10", "5")]
-    return spark.createDataFrame([(day, *r) for r in rows], SCHEMA.replace("date date", "date string")).withColumn(
-        "requested_date", F.col("requested_date").cast("date"))
-
-
-def test_streamed_days_are_judged_promoted_and_replayed(spark, tmp_path):
-    landing, table, verdicts = (str(tmp_path / n) for n in ("landing", "market", "verdicts"))
-    raw_day(spark, "2025-01-02").write.parquet(landing)
-    raw_day(spark, "2025-01-03", "0").write.mode("append").parquet(landing)
-    schema = spark.read.parquet(landing).schema.simpleString()[7:-1].replace(":", " ")
-    ingest.ingest_stream(spark, landing, schema, table, verdicts, str(tmp_path / "c1")).awaitTermination(120)
-    raw_day(spark, "2025-01-06").write.mode("append").parquet(landing)
-    ingest.ingest_stream(spark, landing, schema, table, verdicts, str(tmp_path / "c1")).awaitTermination(120)
-    got = {str(r["trade_date"]): r["n"] for r in spark.read.parquet(table).groupBy("trade_date").agg(F.count("*").alias("n")).collect()}
-    assert got == {"2025-01-02": 2, "2025-01-06": 2}
-    states = {str(r["trade_date"]): r["state"] for r in spark.read.parquet(verdicts).collect()}
-    assert states == {"2025-01-02": "promoted", "2025-01-03": "failed", "2025-01-06": "promoted"}
-    before = sorted(map(str, spark.read.parquet(table).collect()))
-    ingest.ingest_batch(spark.read.parquet(landing).filter("requested_date = '2025-01-06'"), 1, table, verdicts)
-    assert sorted(map(str, spark.read.parquet(table).collect())) == before
-
-
-def test_streamed_assertions_are_appended_once(spark, tmp_path):
-    landing, target, check = (str(tmp_path / n) for n in ("in", "out", "c"))
-    for start in (0, 3):
-        spark.range(start, start + 3).write.mode("append").parquet(landing)
-        for _ in range(2):
-            ingest.status_stream(spark, landing, "id long", target, check).awaitTermination(120)
-    assert sorted(r["id"] for r in spark.read.parquet(target).collect()) == list(range(6))
-
-
 def test_missing_headers_and_strict_mode(spark):
     with pytest.raises(MissingColumns):
         normalize_daily_market(spark.range(1).toDF("basDt"))

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from knownat.operators import lifecycle as lc
 from knownat.operators import quality as qu
 from knownat.functions.hashing import model_fingerprint
+from knownat.schemas import DAILY_MARKET_API
+from knownat.session import scratch_folder
 from knownat.sources import landing as la
 from knownat.sources import tables as tb
 from knownat.streaming import ingest
 from workload import parts
 from workload.lifecycle import INTERVALS
-from workload.quality import normalized
+from workload.quality import NORMALIZED, normalized
 from workload.registry import Inputs, query
 
 
@@ -173,10 +175,106 @@ def _(t):
     return la.parse_company_master(files.select("file", F.concat(F.lit("<result>"), body, F.lit("</result>")).alias("content")), "file")
 
 
-@query("judge_landed_days", "raw_daily", oracle="""
-    SELECT requested_date AS trade_date, 'failed' AS state FROM raw_daily
-    WHERE upper(trim(mrktCtg)) LIKE 'KOSPI%' OR upper(trim(mrktCtg)) LIKE 'KOSDAQ%' GROUP BY requested_date
-    HAVING count(*) > count(DISTINCT regexp_replace(srtnCd, '\\.0$', '')) OR bool_or(clpr = 'n/a')
-           OR count(DISTINCT left(upper(trim(mrktCtg)), 5)) < 2""")
+@query("judge_landed_days", "raw_daily", oracle=f"""WITH RECURSIVE {NORMALIZED},
+    d AS MATERIALIZED (
+        SELECT requested_date AS trade_date, count(*) AS n, sum(marcap) AS cap, row_number() OVER (ORDER BY requested_date) AS k,
+               count(*) > count(DISTINCT code) OR count(*) FILTER (close IS NULL) > 0 OR count(DISTINCT market) < 2 AS hard
+        FROM normal GROUP BY requested_date),
+    walk AS (
+        SELECT cast(0 AS bigint) AS k, cast(NULL AS date) AS trade_date, '' AS state, false AS row_anomaly, false AS cap_anomaly,
+               cast([] AS double[]) AS counts, cast(NULL AS double) AS cap
+        UNION ALL
+        SELECT k, trade_date, CASE WHEN hard THEN 'failed' WHEN odd OR jump THEN 'quarantined' ELSE 'promoted' END, odd, jump,
+               CASE WHEN hard OR odd OR jump THEN counts
+                    ELSE list_slice(list_append(counts, n), greatest(len(counts) - 18, 1), len(counts) + 1) END,
+               CASE WHEN hard OR odd OR jump THEN before ELSE cap END
+        FROM (SELECT d.*, w.counts, w.cap AS before, coalesce(abs(d.cap / w.cap - 1) >= 0.2 - 1e-12, false) AS jump,
+                     len(w.counts) >= 20 AND (d.n / list_median(w.counts) < 0.9 OR d.n / list_median(w.counts) > 1.1) AS odd
+              FROM walk w JOIN d ON d.k = w.k + 1))
+    SELECT trade_date, state, row_anomaly, cap_anomaly FROM walk WHERE k > 0""")
 def _(t):
-    return ingest.judge_days(normalized(t), None).filter("state = 'failed'").select("trade_date", "state")
+    return ingest.judge_days(normalized(t), None)
+
+
+LANDED = """item AS (
+    SELECT trade_date, code, name, market, CASE WHEN day(trade_date) = 30 THEN 'n/a' ELSE cast(close AS string) END AS clpr
+    FROM daily_market)"""
+
+
+def landed_files(t: Inputs):
+    """One payload a day: paged JSON, CSV on the 28th, no rows on the 31st (delivered three times), another header on the 20th, a bad
+    price on the 30th; the 15th and 16th land again in the last batch, the former with other content."""
+    items = t.sql(["daily_market"], f", {LANDED} SELECT * FROM item")
+    day, stamp = F.dayofmonth("trade_date"), F.date_format("trade_date", "yyyyMMdd")
+    value = {"basDt": stamp, "srtnCd": F.col("code"), "itmsNm": F.col("name"), "mrktCtg": F.col("market"), "clpr": F.col("clpr")}
+    one = F.lit("1")
+
+    def line(cap: str):
+        full = {h: value.get(h, F.lit(cap) if h == "mrktTotAmt" else one) for h in DAILY_MARKET_API}
+        return F.to_json(F.struct(*[c.alias(h) for h, c in full.items()]))
+
+    cells = [stamp, "code", "name", "market", one, one, one, "clpr", one, one, F.lit("1000000"), one]
+    row = F.struct("code", line("1000000").alias("json"), line("1000001").alias("other"), F.concat_ws(",", *cells).alias("csv"))
+    days = items.groupBy("trade_date").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+
+    def page(field: str):
+        text = F.array_join(F.transform("rows", lambda r: r[field]), ",")
+        text = F.when(day == 20, F.replace(text, F.lit('"basDt"'), F.lit('"note":"x","basDt"'))).otherwise(text)
+        text = F.when(day == 31, "").otherwise(text)
+        return F.concat(F.lit('{"pages":[{"response":{"body":{"items":{"item":['), text, F.lit("]}}}}]}"))
+
+    head = "기준일자,종목코드,종목명,시장구분,시가,고가,저가,종가,거래량,거래대금,시가총액,상장주식수\n"
+    table = F.concat(F.lit(head), F.array_join(F.transform("rows", lambda r: r["csv"]), "\n"))
+    own = F.when(F.year("trade_date") < 1995, 0).otherwise(1)
+    csv = day == 28
+    delivery = F.struct(F.col("k").alias("k"), F.col("batch").alias("batch"), F.col("text").alias("text"))
+    first = days.select("trade_date", F.lit(1).alias("k"), own.alias("batch"), F.when(csv, table).otherwise(page("json")).alias("text"))
+    second = days.filter(day == 31).select("trade_date", F.lit(2).alias("k"), own.alias("batch"), page("json").alias("text"))
+    last = days.filter(day.isin(15, 16, 31)).select("trade_date", F.lit(3).alias("k"), F.lit(2).alias("batch"), F.when(
+        day == 15, page("other")).otherwise(page("json")).alias("text"))
+    every = first.unionByName(second).unionByName(last).select("trade_date", delivery.alias("d"))
+    path = F.concat(F.lit("/landing/"), F.when(csv, "csv").otherwise("api"), F.lit("/"), F.col("trade_date").cast("string"), F.lit("/"),
+                    F.col("d.k").cast("string"), F.when(csv, ".csv").otherwise(".json"))
+    return every.select(
+        path.alias("path"), (F.col("trade_date").cast("timestamp") + F.make_dt_interval(mins=F.col("d.k"))).alias("modificationTime"),
+        F.encode("d.text", "UTF-8").alias("content"), F.col("d.batch").alias("batch"))
+
+
+@query("ingest_landing", "daily_market", oracle="""WITH RECURSIVE d AS MATERIALIZED (
+        SELECT trade_date, day(trade_date) AS dom, CASE WHEN day(trade_date) = 28 THEN 'csv' ELSE 'api' END AS dataset,
+               CASE WHEN year(trade_date) < 1995 THEN 0 ELSE 1 END AS batch,
+               CASE WHEN day(trade_date) = 31 THEN 0 ELSE count(*) FILTER (market IN ('KOSPI', 'KOSDAQ')) END AS n,
+               count(DISTINCT market) FILTER (market IN ('KOSPI', 'KOSDAQ')) < 2 OR day(trade_date) = 30 AS hard,
+               row_number() OVER (ORDER BY trade_date) AS k FROM daily_market GROUP BY trade_date),
+    told AS (SELECT *, coalesce((dom = 20) <> lag(dom = 20) OVER (PARTITION BY dataset ORDER BY k), false) AS drift FROM d WHERE dom <> 31),
+    f AS MATERIALIZED (SELECT d.*, coalesce(told.drift, false) AS drift FROM d LEFT JOIN told USING (trade_date)),
+    walk AS (
+        SELECT cast(0 AS bigint) AS k, cast(NULL AS date) AS trade_date, '' AS state, cast([] AS double[]) AS counts, cast(NULL AS double) AS cap
+        UNION ALL
+        SELECT k, trade_date, state, CASE WHEN state = 'promoted'
+                   THEN list_slice(list_append(counts, n), greatest(len(counts) - 18, 1), len(counts) + 1) ELSE counts END,
+               CASE WHEN state = 'promoted' THEN n ELSE cap END
+        FROM (SELECT f.*, w.counts, w.cap,
+                     CASE WHEN dom = 31 OR hard THEN 'failed'
+                          WHEN drift OR coalesce(abs(n / w.cap - 1) >= 0.2 - 1e-12, false)
+                               OR (len(w.counts) >= 20 AND (n / list_median(w.counts) < 0.9 OR n / list_median(w.counts) > 1.1))
+                          THEN 'quarantined' ELSE 'promoted' END AS state
+              FROM walk w JOIN f ON f.k = w.k + 1)),
+    j AS MATERIALIZED (SELECT f.*, w.state FROM f JOIN walk w USING (k)),
+    turns AS (
+        SELECT *, batch AS b, 1 AS turn, state AS s, false AS changed, drift AS moved, 1 AS attempts FROM j
+        UNION ALL SELECT *, batch, 2, 'failed', false, false, 2 FROM j WHERE dom = 31
+        UNION ALL SELECT *, 2, 1, 'calendar_unresolved', false, false, 3 FROM j WHERE dom = 31
+        UNION ALL SELECT *, 2, 1, state, false, false, 2 FROM j WHERE dom = 16
+        UNION ALL SELECT *, 2, 1, CASE WHEN state = 'failed' THEN 'failed' ELSE 'quarantined' END, true, false, 2 FROM j WHERE dom = 15)
+    SELECT cast(b AS int) AS batch_id, turn, trade_date, dataset, s AS state, changed, moved AS drift, attempts,
+           CASE WHEN s <> 'promoted' THEN 0 ELSE n END AS stored_rows FROM turns""")
+def _(t):
+    root = scratch_folder(t.spark, "ingest")
+    landed_files(t).write.parquet(f"{root}/landing")
+    files = t.spark.read.parquet(f"{root}/landing")
+    for batch in range(3):
+        ingest.ingest_files(files.filter(F.col("batch") == batch), batch, root)
+    stored = t.spark.read.parquet(f"{root}/market").groupBy("trade_date", "raw_version_id").agg(F.count("*").alias("stored_rows"))
+    return t.spark.read.parquet(f"{root}/verdicts").join(stored, ["trade_date", "raw_version_id"], "left").select(
+        "batch_id", "turn", "trade_date", "dataset", "state", "changed", "drift", "attempts", F.coalesce("stored_rows", F.lit(0)).alias("stored_rows"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from knownat.functions import calendar as cal
 from knownat.operators import histories as hi
 from knownat.operators import investability as iv
+from knownat.session import scratch_folder
+from knownat.streaming import status as st
 from workload.lifecycle import INTERVALS, model as lifecycle_model
 from workload.registry import Inputs, query
 
@@ -98,14 +100,14 @@ gaps_to AS MATERIALIZED (
 gaps_before AS MATERIALIZED (
     SELECT requested_date, count(u.d) AS gaps FROM (SELECT DISTINCT requested_date FROM asserted) x
     LEFT JOIN uncovered u ON u.d < x.requested_date GROUP BY requested_date),
-pairs AS (
+pairs AS MATERIALIZED (
     SELECT q.security_id AS sid, q.as_of, q.day, a.* EXCLUDE (security_id) FROM asks q
     JOIN gaps_to t ON t.day = q.day JOIN asserted a ON a.security_id = q.security_id
          AND a.effective_from <= q.day AND a.requested_date <= q.day AND a.known_at <= q.as_of
     JOIN gaps_before g ON g.requested_date = a.requested_date AND g.gaps = t.gaps),
 best AS MATERIALIZED (
     SELECT * FROM pairs QUALIFY rank() OVER (PARTITION BY sid, as_of ORDER BY requested_date DESC, known_at DESC) = 1),
-sums AS (
+sums AS MATERIALIZED (
     SELECT sid, as_of, count(DISTINCT (management_designation, trading_suspension, liquidation_trading)) AS kinds,
            string_agg(evidence_id, ',' ORDER BY evidence_id) AS ids,
            max_by({'m': market, 'k': security_kind, 'a': management_designation, 'b': trading_suspension,
@@ -118,7 +120,7 @@ whys AS (
                      CASE WHEN w.k <> 'common' THEN 'security_kind_not_allowed' END, CASE WHEN w.a THEN 'management_designation' END,
                      CASE WHEN w.b THEN 'trading_suspension' END, CASE WHEN w.c THEN 'liquidation_trading' END) AS against, s.ids
     FROM asks q LEFT JOIN sums s ON s.sid = q.security_id AND s.as_of = q.as_of),
-decided AS (
+decided AS MATERIALIZED (
     SELECT security_id, as_of, day, CASE WHEN stop = 'not_listed' THEN 'not_listed' WHEN stop IS NOT NULL THEN 'unknown'
            WHEN against <> '' THEN 'ineligible' ELSE 'eligible' END AS state, coalesce(stop, against) AS reasons,
            CASE WHEN stop IS NULL OR stop = 'contradictory_assertions' THEN ids ELSE '' END AS evidence FROM whys)"""
@@ -142,6 +144,36 @@ def _(t):
     return joined_text(iv.decide(built(t), t.decision_requests)).select("security_id", "as_of", "state", "reasons", "evidence")
 
 
+BATCHES = """batches AS MATERIALIZED (
+    SELECT *, CASE WHEN source_row_number % 11 = 0 THEN 2 WHEN raw_version_id <= 20 THEN 0 ELSE 1 END AS batch FROM status_rows),
+first_seen AS MATERIALIZED (SELECT requested_date AS day, min(batch) AS k FROM batches GROUP BY requested_date),
+opened AS MATERIALIZED (
+    SELECT DISTINCT d.day, n.k FROM first_seen d JOIN first_seen n ON n.day <= d.day AND d.k <= n.k
+    WHERE NOT EXISTS (SELECT 1 FROM status_days s LEFT JOIN first_seen c ON c.day = s.session_date
+                      WHERE s.session_date BETWEEN n.day AND d.day AND (c.k IS NULL OR c.k > n.k))),
+usable AS MATERIALIZED (
+    SELECT a.security_id, b.batch AS k, min(greatest(a.known_at, cast(a.effective_from AS timestamp) - INTERVAL 9 HOUR,
+                                                     cast(a.requested_date AS timestamp) - INTERVAL 9 HOUR)) AS since
+    FROM asserted a JOIN batches b USING (source_row_number) WHERE a.known_at IS NOT NULL GROUP BY a.security_id, b.batch),
+reached AS MATERIALIZED (
+    SELECT security_id, as_of, max(k) AS batch_id FROM (
+        SELECT q.security_id, q.as_of, u.k FROM asks q JOIN usable u ON u.security_id = q.security_id AND q.as_of >= u.since
+        UNION ALL SELECT q.security_id, q.as_of, o.k FROM asks q JOIN opened o ON o.day = q.day) GROUP BY security_id, as_of)"""
+
+
+@query("status_stream", *TABLES, "decision_requests", oracle=f"""WITH {ASSERTIONS}, {REQUESTS}, {DECIDED}, {BATCHES}
+    SELECT d.security_id, d.as_of, state, reasons, evidence, cast(batch_id AS int) AS batch_id FROM decided d
+    LEFT JOIN reached r ON r.security_id = d.security_id AND r.as_of = d.as_of""")
+def _(t):
+    root = scratch_folder(t.spark, "status")
+    standing = st.Standing(lifecycle_model(t).intervals, t.status_days, t.decision_requests)
+    late = F.col("source_row_number") % 11 == 0
+    for batch, rows in enumerate([~late & (F.col("raw_version_id") <= 20), ~late & (F.col("raw_version_id") > 20), late]):
+        st.status_batch(t.status_rows.filter(rows), batch, root, standing)
+    return joined_text(st.current_decisions(t.spark, root, standing)).select(
+        "security_id", "as_of", "state", "reasons", "evidence", F.col("batch_id").cast("int").alias("batch_id"))
+
+
 @query("decision_sheet", *TABLES, oracle=f"""WITH {ASSERTIONS}, {SHEET}, {DECIDED}
     SELECT d.day AS date, d.security_id, l.short_code, l.name, d.state, d.reasons FROM decided d
     JOIN listed l ON l.requested_date = d.day AND l.security_id = d.security_id""")
@@ -166,7 +198,7 @@ def _(t):
 MARKET = """mkt AS (
     SELECT cast(ts AS date) AS trade_date, lpad(cast(user_id * 2 AS varchar), 6, '0') AS code,
            cast(1 AS bigint) AS raw_version_id, max(value) AS close FROM events GROUP BY cast(ts AS date), user_id)"""
-RECONCILED = f"""{ASSERTIONS}, {MARKET},
+RECONCILED = f"""{ASSERTIONS},
 days AS (SELECT session_date AS requested_date FROM status_days),
 open AS MATERIALIZED (SELECT d.requested_date, i.* FROM intervals i JOIN days d
          ON valid_from <= d.requested_date AND (valid_to IS NULL OR valid_to > d.requested_date)),
@@ -175,11 +207,12 @@ said AS MATERIALIZED (SELECT DISTINCT requested_date, security_id FROM asserted)
 requests AS (SELECT a.security_id, cast(a.requested_date AS timestamp) + INTERVAL 53999 SECOND AS as_of
              FROM allowed a SEMI JOIN said s ON s.requested_date = a.requested_date AND s.security_id = a.security_id),
 {DECIDED},
-results AS (
+results AS MATERIALIZED (
     SELECT day AS requested_date, security_id, state, reasons FROM decided
     UNION ALL SELECT a.requested_date, a.security_id, 'unknown', 'missing_selected_daily_status' FROM allowed a
-    ANTI JOIN said s ON s.requested_date = a.requested_date AND s.security_id = a.security_id),
-ties AS (SELECT m.*, (SELECT count(*) FROM open o WHERE o.requested_date = m.trade_date AND o.short_code = m.code) AS n,
+    ANTI JOIN said s ON s.requested_date = a.requested_date AND s.security_id = a.security_id)"""
+FOUND = f"""{MARKET},
+ties AS MATERIALIZED (SELECT m.*, (SELECT count(*) FROM open o WHERE o.requested_date = m.trade_date AND o.short_code = m.code) AS n,
                 close / nullif(lag(close) OVER (PARTITION BY code ORDER BY trade_date), 0) AS gap FROM mkt m),
 found AS (
     SELECT 'missing_selected_daily_status' AS rule_id, 'blocking' AS severity, requested_date AS date, count(*) AS n FROM results
@@ -198,12 +231,12 @@ def _(t):
     return reconciled(t)[0].select("requested_date", "security_id", "state", F.array_join("reason_codes", ",").alias("reasons"))
 
 
-@query("reconcile_findings", *TABLES, "events", oracle=f"WITH {RECONCILED} SELECT * FROM found")
+@query("reconcile_findings", *TABLES, "events", oracle=f"WITH {RECONCILED}, {FOUND} SELECT * FROM found")
 def _(t):
     return reconciled(t)[1].groupBy("rule_id", "severity", "date").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("reconciliation_days", *TABLES, "events", oracle=f"""WITH {RECONCILED}
+@query("reconciliation_days", *TABLES, "events", oracle=f"""WITH {RECONCILED}, {FOUND}
     SELECT date, CASE max(l) WHEN 2 THEN 'blocked' WHEN 1 THEN 'unknown' ELSE 'passed' END AS status FROM (
         SELECT requested_date AS date, CASE state WHEN 'unknown' THEN 1 ELSE 0 END AS l FROM results
         UNION ALL SELECT date, CASE severity WHEN 'warning' THEN 0 ELSE 2 END FROM found) GROUP BY date""")
