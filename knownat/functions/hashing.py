@@ -53,20 +53,52 @@ def row_digest(df: DataFrame) -> Column:
     return F.sha2(F.concat_ws("\u001f", *parts), 256)
 
 
+WORDS = ["w0", "w1", "w2", "w3"]
+
+
+def digest_sums(digests: DataFrame, *keys: str) -> DataFrame:
+    """``row_count, w0..w3`` of row digests, per key: four 60-bit words of each digest, summed as decimals.
+
+    Sums do not depend on row order, count duplicates, combine before the shuffle, and can be added to and taken from: sums of parts add up
+    to the sums of the whole, so what is stored per part need not be read again when another part changes.
+    """
+    words = [F.conv(F.substring("digest", 1 + 15 * index, 15), 16, 10).cast("decimal(20,0)") for index in range(len(WORDS))]
+    sums = [F.coalesce(F.sum(word), F.lit(0)).cast("decimal(38,0)").alias(name) for name, word in zip(WORDS, words)]
+    return digests.groupBy(*keys).agg(F.count("digest").alias("row_count"), *sums)
+
+
+def add_sums(sums: DataFrame, *keys: str) -> DataFrame:
+    """Sums of parts added up per key."""
+    return sums.groupBy(*keys).agg(
+        F.coalesce(F.sum("row_count"), F.lit(0)).alias("row_count"),
+        *[F.coalesce(F.sum(w), F.lit(0)).cast("decimal(38,0)").alias(w) for w in WORDS])
+
+
+def fingerprint_of_sums() -> Column:
+    """The fingerprint that a count and four sums stand for."""
+    return F.sha2(F.concat_ws(":", F.col("row_count").cast("string"), *[F.col(w).cast("string") for w in WORDS]), 256)
+
+
 def _summed(digests: DataFrame, *keys: str) -> DataFrame:
-    """``row_count, fingerprint`` of row digests, per key.
+    """``row_count, fingerprint`` of row digests, per key: one pass and a few numbers per task."""
+    return digest_sums(digests, *keys).select(*keys, "row_count", fingerprint_of_sums().alias("fingerprint"))
 
-    Four 60-bit words of each row digest are summed as decimals and the sums are hashed.  Sums do not depend on row order, count
-    duplicates, and combine before the shuffle, so the cost is one pass and a few numbers per task.
+
+def day_sums(df: DataFrame, day: str = "trade_date") -> DataFrame:
+    """``(day, row_count, w0..w3)`` of the rows of each day."""
+    return digest_sums(df.select(day, row_digest(df).alias("digest")), day)
+
+
+def digest_tree(tables: Mapping[str, DataFrame], days: Mapping[str, str]) -> DataFrame:
+    """Leaves ``(table_name, day, bucket, row_count, w0..w3)`` of named tables: rows by the day in ``days[name]`` and by the first hex
+    digit of their digest.  Sums of leaves are the sums of days, tables and the model.
     """
-    words = [
-        F.conv(F.substring("digest", 1 + 15 * index, 15), 16, 10).cast("decimal(20,0)") for index in range(4)
-    ]
-    sums = [F.coalesce(F.sum(word), F.lit(0)).cast("string").alias(f"w{index}") for index, word in enumerate(words)]
-    return digests.groupBy(*keys).agg(F.count("digest").alias("row_count"), *sums).select(
-        *keys, "row_count",
-        F.sha2(F.concat_ws(":", F.col("row_count").cast("string"), "w0", "w1", "w2", "w3"), 256).alias("fingerprint"),
-    )
+    leaves = None
+    for name in sorted(tables):
+        rows = tables[name].select(
+            F.lit(name).alias("table_name"), F.col(days[name]).cast("date").alias("day"), row_digest(tables[name]).alias("digest"))
+        leaves = rows if leaves is None else leaves.unionByName(rows)
+    return digest_sums(leaves.withColumn("bucket", F.substring("digest", 1, 1)), "table_name", "day", "bucket")
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
@@ -86,5 +118,14 @@ def model_fingerprint(tables: Mapping[str, DataFrame]) -> DataFrame:
     digests = spark.createDataFrame([(name, None) for name in sorted(tables)], "table_name string, digest string")
     for name in sorted(tables):
         digests = digests.unionByName(tables[name].select(F.lit(name).alias("table_name"), row_digest(tables[name]).alias("digest")))
-    parts = _summed(digests, "table_name").select(F.concat_ws("=", "table_name", "fingerprint").alias("part"))
+    return _model_of(digest_sums(digests, "table_name"))
+
+
+def _model_of(sums: DataFrame) -> DataFrame:
+    parts = sums.select(F.concat_ws("=", "table_name", fingerprint_of_sums()).alias("part"))
     return parts.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("part")), ";"), 256).alias("fingerprint"))
+
+
+def tree_fingerprint(leaves: DataFrame) -> DataFrame:
+    """``(fingerprint)`` of the model whose digest tree is given: equal to ``model_fingerprint`` where every table has rows."""
+    return _model_of(add_sums(leaves, "table_name"))

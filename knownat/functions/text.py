@@ -45,9 +45,20 @@ def number(col: Column) -> Column:
     return F.when(F.abs(value) < F.lit(float("inf")), value)
 
 
+#: Decimals of an amount; 28 digits are left before the point.
+AMOUNT_SCALE = 10
+
+
 def amount(col: Column) -> Column:
-    """Finite decimal from text with thousands commas; anything else becomes null."""
-    return F.translate(clean(col), ",", "").try_cast("decimal(24,4)")
+    """Exact decimal from text with thousands commas; anything else becomes null.
+
+    So does an amount with more decimals than ``AMOUNT_SCALE``, trailing zeroes aside: it is refused rather than rounded, for two
+    different amounts must never become one.
+    """
+    text = F.translate(clean(col), ",", "")
+    decimals = F.length(F.regexp_extract(text, r"\.(\d*?)0*([eE].*)?$", 1))
+    power = F.coalesce(F.regexp_extract(text, r"[eE]([+-]?\d+)$", 1).try_cast("int"), F.lit(0))
+    return F.when(decimals - power <= AMOUNT_SCALE, text.try_cast(f"decimal(38,{AMOUNT_SCALE})"))
 
 
 def parse_date(col: Column) -> Column:

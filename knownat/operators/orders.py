@@ -25,6 +25,7 @@ class Proposal:
 
     book: DataFrame
     rules: TradingRules
+    execution: bool = False
 
     def _sound(self) -> DataFrame:
         return self.book.filter(F.size("reasons") == 0)
@@ -49,7 +50,19 @@ class Proposal:
         )
 
     def unfilled(self) -> DataFrame:
-        return self.fills().filter("reason IS NOT NULL").select("account", "signal_date", "code", "side", "reason")
+        """What was refused and why.
+
+        At execution a held target whose share of the account buys no whole share is sold and listed as a refused buy as well.
+        """
+        refused = F.when(F.col("reason").isNotNull(), F.struct("side", "reason"))
+        if self.execution:
+            sold_out = F.col("position").isNotNull() & (F.col("desired") == 0) & (F.col("gap") < 0)
+            small = F.struct(F.lit("buy").alias("side"), F.lit("allocation_too_small").alias("reason"))
+            lines = F.array_compact(F.array(refused, F.when(sold_out, small)))
+        else:
+            lines = F.array_compact(F.array(refused))
+        return self.fills().select("account", "signal_date", "code", F.explode(lines).alias("_r")).select(
+            "account", "signal_date", "code", "_r.*")
 
     def holdings_after(self) -> DataFrame:
         return self.fills().filter("after > 0").select(
@@ -358,7 +371,7 @@ def rebalance(
         .withColumn("_bought", _walk_buys(rules, execution))
         .withColumn("fills", F.transform("_lines", _finish_line))
     )
-    return Proposal(book.select("account", "signal_date", "cash", "equity", "reasons", "fills"), rules)
+    return Proposal(book.select("account", "signal_date", "cash", "equity", "reasons", "fills"), rules, execution)
 
 
 def execution_rejections(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from statistics import median
 
 import pandas as pd
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from knownat.findings import explode_reasons, findings
-from knownat.functions.hashing import model_fingerprint
+from knownat.functions.hashing import WORDS, digest_tree, model_fingerprint
 from knownat.functions.ordered import latest_by, previous_row
 from knownat.schemas import STATES, TRANSITIONS
 
@@ -293,3 +293,45 @@ def verify_rebuild(tables: dict[str, DataFrame], expected: DataFrame) -> DataFra
     stored = expected.agg(F.max("fingerprint")).scalar()
     status = F.when(F.col("expected").isNull(), "failed").when(F.col("expected") == F.col("actual"), "verified")
     return actual.withColumn("expected", stored).select("expected", "actual", status.otherwise("mismatch").alias("status"))
+
+
+def differing_places(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """Leaves of two digest trees that differ: ``(table_name, day, bucket, expected_rows, actual_rows)``.
+
+    Trees are compared leaf by leaf: a leaf holds a sixteenth of a table's rows of one day, so few rows need looking at.
+    """
+    leaf = ["table_name", "day", "bucket"]
+
+    def side(tree: DataFrame, prefix: str) -> DataFrame:
+        return tree.select(*[F.col(c).alias(f"{prefix}_{c}") for c in [*leaf, "row_count", *WORDS]])
+
+    same = F.lit(True)
+    for name in leaf:
+        same = same & F.col(f"e_{name}").eqNullSafe(F.col(f"a_{name}"))
+    both = side(expected, "e").join(side(actual, "a"), same, "full_outer")
+    equal = F.lit(True)
+    for name in ["row_count", *WORDS]:
+        equal = equal & F.col(f"e_{name}").eqNullSafe(F.col(f"a_{name}"))
+    return both.filter(~equal).select(
+        *[F.coalesce(f"e_{c}", f"a_{c}").alias(c) for c in leaf],
+        F.coalesce("e_row_count", F.lit(0)).alias("expected_rows"), F.coalesce("a_row_count", F.lit(0)).alias("actual_rows"))
+
+
+def rebuild(
+    rows: DataFrame, selections: DataFrame, build: Callable[[DataFrame], Mapping[str, DataFrame]], days: Mapping[str, str], expected: DataFrame,
+) -> tuple[DataFrame, DataFrame]:
+    """Build a model anew from the source rows of the selected versions and compare it with the stored digest tree.
+
+    ``build`` makes the named tables from rows.  Returns one verdict per table ``(table_name, status, differing_days, first_day)`` and
+    the differing places.  A selected version without any row leaves the rebuild ``failed``; else a table is ``verified`` or a ``mismatch``.
+    """
+    made = build(selected_rows(rows, selections))
+    places = differing_places(expected, digest_tree(made, days))
+    absent = selections.select("raw_version_id").distinct().join(
+        rows.select("raw_version_id").distinct(), "raw_version_id", "left_anti").agg(F.count(F.lit(1))).scalar()
+    names = expected.sparkSession.createDataFrame([(name,) for name in sorted(made)], "table_name string")
+    found = places.groupBy("table_name").agg(F.count_distinct("day").alias("differing_days"), F.min("day").alias("first_day"))
+    status = F.when(F.col("_absent") > 0, "failed").when(F.col("differing_days").isNotNull(), "mismatch").otherwise("verified")
+    verdicts = names.join(found, "table_name", "left").withColumn("_absent", absent).select(
+        "table_name", status.alias("status"), F.coalesce("differing_days", F.lit(0)).alias("differing_days"), "first_day")
+    return verdicts, places

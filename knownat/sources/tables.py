@@ -11,15 +11,16 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knownat.functions.hashing import model_fingerprint
+from knownat.functions.hashing import add_sums, day_sums, fingerprint_of_sums, model_fingerprint
 from knownat.functions.ordered import latest_by
 from knownat.schemas import TRANSITIONS
 
 
-def promote_days(df: DataFrame, path: str, states: DataFrame | None = None) -> None:
+def promote_days(df: DataFrame, path: str, states: DataFrame | None = None, sums: str | None = None) -> None:
     """Replace the partitions of the days in ``df``; other days stay.
 
-    With ``states`` (trade_date, state) only days that may step to promoted are written.
+    With ``states`` (trade_date, state) only days that may step to promoted are written.  With ``sums`` the digest sums of the same days
+    are added to the table there (one row a day), from which ``stored_fingerprint`` is read: promoting a day costs that day.
     """
     ready = [state for state, targets in TRANSITIONS.items() if "promoted" in targets]
     if states is not None:
@@ -27,6 +28,19 @@ def promote_days(df: DataFrame, path: str, states: DataFrame | None = None) -> N
     # Rebalancing gathers a day's rows into few files but splits a day that is too large for one task.
     (df.hint("rebalance", "trade_date").sortWithinPartitions("trade_date", "code").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("trade_date").parquet(path))
+    if sums is not None:
+        spark = df.sparkSession
+        # Read back what is stored for these days only: the days prune the partitions.
+        kept = spark.read.parquet(path).join(df.select("trade_date").distinct(), "trade_date", "left_semi")
+        before = read_if_present(spark, sums)
+        turn = 0 if before is None else before.agg(F.coalesce(F.max("turn"), F.lit(0))).first()[0]
+        day_sums(kept.select(*df.columns)).withColumn("turn", F.lit(turn + 1)).coalesce(1).write.mode("append").parquet(sums)
+
+
+def stored_fingerprint(spark: SparkSession, sums: str) -> DataFrame:
+    """``(row_count, fingerprint)`` of the promoted table, from the newest stored sums of each day: no market row is read."""
+    newest = latest_by(spark.read.parquet(sums), ["trade_date"], [F.col("turn").desc()])
+    return add_sums(newest).select("row_count", fingerprint_of_sums().alias("fingerprint"))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -224,7 +224,9 @@ def _(t):
 
 
 @query("execution_unfilled", *TABLES, oracle=EXECUTION + """
-    SELECT account, signal_date, code, side, reason FROM fills WHERE reason IS NOT NULL""")
+    SELECT account, signal_date, code, side, reason FROM fills WHERE reason IS NOT NULL
+    UNION ALL SELECT account, signal_date, code, 'buy', 'allocation_too_small' FROM fills
+    WHERE position IS NOT NULL AND NOT stopped AND desired = 0 AND gap < 0""")
 def _(t):
     return execution(t).unfilled()
 

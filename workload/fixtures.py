@@ -117,7 +117,8 @@ TABLES: dict[str, tuple[list[str], str]] = {
         SELECT stock, year, basis, receipt, filed_at, lpad(cast(l_suppkey * 7 + 1 AS string), 8, '0'),
                CASE WHEN basis = 'CFS' THEN 'ifrs-full_ProfitLossAttributableToOwnersOfParent'
                     ELSE 'ifrs-full_ProfitLoss' END,
-               'IS', cast(profit + CASE WHEN o_orderkey % 47 = 0 THEN 1 ELSE 0 END AS string),
+               'IS', CASE WHEN o_orderkey % 47 = 0 THEN cast(profit + 1 AS string) WHEN o_orderkey % 37 = 5
+                         THEN cast(profit AS string) || '001' ELSE cast(profit AS string) END,
                cast(NULL AS string), CASE WHEN o_orderkey % 43 = 0 THEN 'USD' ELSE 'KRW' END
         FROM statements WHERE o_orderkey % 53 <> 0 AND o_orderkey % 2 = 0"""),
     "candidates_listing": (["dim", "bars"], """

@@ -34,8 +34,8 @@ CHOSEN = """chosen AS (
         FROM statements s JOIN sched ON s.filed_at <= sched.signal_date) WHERE k = 1)"""
 
 METRICS = """acc AS (
-    SELECT *, try_cast(replace(thstrm_amount, ',', '') AS decimal(24,4)) AS a1,
-           try_cast(replace(frmtrm_amount, ',', '') AS decimal(24,4)) AS a2,
+    SELECT *, try_cast(replace(thstrm_amount, ',', '') AS decimal(38,10)) AS a1,
+           try_cast(replace(frmtrm_amount, ',', '') AS decimal(38,10)) AS a2,
            CASE WHEN sj_div IN ('IS', 'CIS') AND account_id IN (
                     'ifrs-full_ProfitLoss' || CASE basis WHEN 'CFS' THEN 'AttributableToOwnersOfParent' ELSE '' END,
                     'ifrs_ProfitLoss' || CASE basis WHEN 'CFS' THEN 'AttributableToOwnersOfParent' ELSE '' END)
@@ -124,3 +124,10 @@ def model_fingerprint(tables: dict[str, str]) -> str:
     """One fingerprint over named digest queries."""
     parts = [f"SELECT '{name}=' || {FINGERPRINT} AS part FROM ({text})" for name, text in sorted(tables.items())]
     return f"SELECT sha256(string_agg(part, ';' ORDER BY part)) AS fingerprint FROM ({' UNION ALL '.join(parts)})"
+
+
+def leaves(table: str, source: str, columns: str, day: str) -> str:
+    """Digest tree leaves of a table: counts and sums by day and first hex digit of the row digest."""
+    sums = ", ".join(f"sum(cast('0x' || substr(h, {1 + 15 * k}, 15) AS hugeint)) AS w{k}" for k in range(4))
+    body = digests(source, columns).replace("SELECT sha256", f"SELECT {day} AS day, sha256", 1)
+    return f"SELECT '{table}' AS table_name, day, left(h, 1) AS bucket, count(*) AS n, {sums} FROM ({body}) GROUP BY day, left(h, 1)"

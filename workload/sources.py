@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from knownat.operators import lifecycle as lc
 from knownat.operators import quality as qu
-from knownat.functions.hashing import model_fingerprint
+from knownat.functions.hashing import digest_tree, model_fingerprint
 from knownat.schemas import DAILY_MARKET_API
 from knownat.session import scratch_folder
 from knownat.sources import landing as la
@@ -116,6 +116,75 @@ def _(t):
     return qu.verify_rebuild(again, stored).unionByName(qu.verify_rebuild(lacking, stored))
 
 
+MODEL_COLUMNS = {
+    "identifiers": "raw_version_id security_id short_code source_row_number standard_code valid_from valid_to",
+    "intervals": "issuer_id market name raw_version_id security_id security_kind short_code source_row_number standard_code valid_from valid_to",
+    "names": "name raw_version_id security_id source_row_number valid_from valid_to",
+}
+MODEL_DAYS = {name: "valid_from" for name in MODEL_COLUMNS}
+
+
+def tree_sql(rows: str) -> str:
+    """Leaves of the model built from the given table of source rows."""
+    parts_ = " UNION ALL ".join(parts.leaves(name, "intervals", columns, "valid_from") for name, columns in MODEL_COLUMNS.items())
+    return f"(WITH {INTERVALS.replace('lifecycle_rows', rows)} {parts_})"
+
+
+PLACES = f"""chosen_rows AS MATERIALIZED (SELECT * FROM lifecycle_rows WHERE raw_version_id <> 4),
+    e AS MATERIALIZED {tree_sql('lifecycle_rows')}, a AS MATERIALIZED {tree_sql('chosen_rows')},
+    places AS MATERIALIZED (
+        SELECT coalesce(e.table_name, a.table_name) AS table_name, coalesce(e.day, a.day) AS day, coalesce(e.bucket, a.bucket) AS bucket,
+               coalesce(e.n, 0) AS expected_rows, coalesce(a.n, 0) AS actual_rows
+        FROM e FULL JOIN a ON a.table_name = e.table_name AND a.day = e.day AND a.bucket = e.bucket
+        WHERE (e.n, e.w0, e.w1, e.w2, e.w3) IS DISTINCT FROM (a.n, a.w0, a.w1, a.w2, a.w3))"""
+
+
+def rebuilt(t: Inputs, versions):
+    """The stored tree is of all versions; the rebuild takes those selected."""
+    def build(rows):
+        made = lc.build_model(rows)
+        return {"identifiers": made.identifiers, "intervals": made.intervals, "names": made.names}
+
+    stored = digest_tree(build(t.lifecycle_rows), MODEL_DAYS)
+    known = t.lifecycle_rows.select("raw_version_id").distinct()
+    return qu.rebuild(t.lifecycle_rows, versions(known), build, MODEL_DAYS, stored)
+
+
+@query("rebuild_places", "lifecycle_rows", oracle=f"WITH {PLACES} SELECT * FROM places")
+def _(t):
+    return rebuilt(t, lambda known: known.filter("raw_version_id <> 4"))[1]
+
+
+@query("rebuild_verdicts", "lifecycle_rows", oracle=f"""WITH {PLACES}, names AS (SELECT unnest(['identifiers', 'intervals', 'names']) AS table_name)
+    SELECT 'all' AS selection, table_name, 'verified' AS status, 0 AS differing_days, cast(NULL AS date) AS first_day FROM names
+    UNION ALL SELECT 'less', n.table_name, CASE WHEN count(day) > 0 THEN 'mismatch' ELSE 'verified' END, count(DISTINCT day), min(day)
+    FROM names n LEFT JOIN places p USING (table_name) GROUP BY n.table_name
+    UNION ALL SELECT 'more', table_name, 'failed', 0, NULL FROM names""")
+def _(t):
+    ways = {"all": lambda known: known, "less": lambda known: known.filter("raw_version_id <> 4"),
+            "more": lambda known: known.unionByName(known.limit(1).select((F.lit(99)).cast("long").alias("raw_version_id")))}
+    found = None
+    for name, versions in ways.items():
+        own = rebuilt(t, versions)[0].withColumn("selection", F.lit(name))
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
+@query("stored_fingerprint", "daily_market", oracle=f"""
+    SELECT count(h) AS row_count, {parts.FINGERPRINT} AS fingerprint FROM (
+        {parts.digests('(SELECT trade_date, code, name, market, cast(listed_shares AS bigint) AS shares FROM daily_market)',
+                       'code market name shares trade_date')})""")
+def _(t):
+    rows = t.daily_market.select("trade_date", "code", "name", "market", F.col("listed_shares").cast("long").alias("shares"))
+    root = scratch_folder(t.spark, "promoted")
+    # Every day is promoted without its last code first, then each day that had one anew.
+    tail = F.col("code") == F.lit(rows.agg(F.max("code")).first()[0])
+    tb.promote_days(rows.filter(~tail), f"{root}/market", sums=f"{root}/sums")
+    again = rows.join(rows.filter(tail).select("trade_date"), "trade_date", "left_semi")
+    tb.promote_days(again, f"{root}/market", sums=f"{root}/sums")
+    return tb.stored_fingerprint(t.spark, f"{root}/sums")
+
+
 @query("verify_archive", "documents", oracle="""
     SELECT 'raw/page-' || name || '.json' AS path, name AS expected, sha256(text) AS actual,
            CASE WHEN doc_id % 11 = 0 THEN 'bad_name' WHEN doc_id % 7 = 0 THEN 'checksum_mismatch' END AS reason
