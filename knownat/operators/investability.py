@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +18,7 @@ from knownat.functions.hashing import evidence_id
 from knownat.functions.ordered import running, small_side
 from knownat.operators.lifecycle import listed_on
 from knownat.schemas import Policy
+from knownat.sources.tables import store_tables
 
 V1 = Policy()
 FLAGS = list(V1.blocking_flags)
@@ -35,10 +37,15 @@ class StatusModel:
     lifecycle: DataFrame
     sessions: DataFrame
     findings: DataFrame
+    #: Coverage runs of the sessions, where they are kept; made from sessions and coverage otherwise.
+    days: DataFrame | None = None
 
     def tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in ("assertions", "intervals", "coverage", "lifecycle", "sessions", "findings")}
 
+    def runs(self) -> DataFrame:
+        return cal.coverage_runs(self.sessions, self.coverage) if self.days is None else self.days
+
 
 def with_known_at(rows: DataFrame, sessions: DataFrame | cal.DateList) -> DataFrame:
     """Add ``known_at``: the publication time, else midnight in Seoul of the session after the effective date.
@@ -156,6 +163,11 @@ def build_model(rows: DataFrame, lifecycle: DataFrame, sessions: DataFrame) -> S
     )
 
 
+def stored_model(model: StatusModel, path: str) -> StatusModel:
+    """The model as tables below ``path``: decisions, universes and reconciliations then scan it instead of building it again."""
+    return StatusModel(**store_tables(model.tables() | {"days": model.runs()}, path, ["security_id"]))
+
+
 def status_intervals(assertions: DataFrame, sessions: DataFrame | cal.DateList) -> DataFrame:
     """Each assertion with the session after its requested date as its end."""
     dated = cal.with_next_session(assertions, F.col("requested_date"), sessions, "effective_to")
@@ -179,29 +191,35 @@ def _claims(assertions: DataFrame) -> DataFrame:
     )
 
 
-def decide(model: StatusModel, requests: DataFrame, policy: Policy = V1, model_fingerprint: Column | None = None) -> DataFrame:
-    """State of each (security_id, as_of) request with reasons and evidence.
+def decide(
+    model: StatusModel, requests: DataFrame, policy: Policy = V1, model_fingerprint: Column | None = None, carry: Sequence[str] = (),
+) -> DataFrame:
+    """State of each (security_id, as_of) request with reasons and evidence; ``carry`` names columns of requests that come along.
 
     An assertion can be used from the latest of its known time, effective day and requested day on.
     Ordered by that instant, the running greatest (requested date, known time) is the evidence a request
     sees, so requests, assertions and listings are merged into one ordered scan per security, cut
     into days, instead of pairing every request with every assertion.
     """
-    asked = requests.select("security_id", "as_of").distinct()
+    asked = requests.select("security_id", "as_of", F.struct(*carry, F.lit(0).alias("_none")).alias("_carry"))
+    if not carry:
+        asked = asked.distinct()
     usable_from = F.greatest(F.col("known_at"), cal.at_seoul(F.col("effective_from")), cal.at_seoul(F.col("requested_date")))
     claim_type = "struct<requested_date:date,known_at:timestamp>"
     span_type = "struct<valid_from:date,valid_to:date>"
+    nothing = F.lit(None).cast(asked.schema["_carry"].dataType)
     known = model.assertions.filter("known_at IS NOT NULL").select(
         "security_id", usable_from.alias("as_of"), F.lit(1).alias("_kind"), F.lit(None).cast(span_type).alias("_span"),
         F.struct("requested_date", "known_at").cast(claim_type).alias("_claim"),
-    ).distinct()
+    ).distinct().withColumn("_carry", nothing)
     spans = model.lifecycle.select(
         "security_id", cal.at_seoul(F.col("valid_from")).alias("as_of"), F.lit(0).alias("_kind"),
         F.struct("valid_from", "valid_to").cast(span_type).alias("_span"), F.lit(None).cast(claim_type).alias("_claim"),
+        nothing.alias("_carry"),
     )
     wanted = asked.select(
         "security_id", "as_of", F.lit(2).alias("_kind"), F.lit(None).cast(span_type).alias("_span"),
-        F.lit(None).cast(claim_type).alias("_claim"),
+        F.lit(None).cast(claim_type).alias("_claim"), "_carry",
     )
     merged = spans.unionByName(known).unionByName(wanted)
     scanned = running(
@@ -209,7 +227,7 @@ def decide(model: StatusModel, requests: DataFrame, policy: Policy = V1, model_f
         {"_listing": ("last", F.col("_span")), "_seen": ("max", F.col("_claim"))},
     ).filter("_kind = 2")
 
-    days = small_side(cal.coverage_runs(model.sessions, model.coverage))
+    days = small_side(model.runs())
     today = days.select(F.col("session_date").alias("_day"), F.col("covered").alias("_covered"), "gaps_to")
     then = days.select(F.col("session_date").alias("_requested"), "gaps_before")
     staged = (
@@ -255,6 +273,7 @@ def decide(model: StatusModel, requests: DataFrame, policy: Policy = V1, model_f
     )
     shown = F.when(covered & listed & evidence, F.col("_ids")).otherwise(none)
     return found.select(
+        *[F.col(f"_carry.{c}").alias(c) for c in carry],
         "security_id", "as_of", state.alias("state"), reasons.alias("reason_codes"), shown.alias("evidence_ids"),
         F.lit(policy_fingerprint(policy)).alias("policy_fingerprint"),
         (F.lit(None).cast("string") if model_fingerprint is None else model_fingerprint).alias("model_fingerprint"),
@@ -264,9 +283,7 @@ def decide(model: StatusModel, requests: DataFrame, policy: Policy = V1, model_f
 def decision_sheet(model: StatusModel, stamps: DataFrame, policy: Policy = V1) -> DataFrame:
     """Decisions of all listed securities at given times: ``stamps`` (date, as_of), one time per day."""
     listed = listed_on(model.lifecycle, stamps, "date").join(small_side(stamps), "date")
-    decisions = decide(model, listed, policy)
-    identity = listed.select("date", "as_of", "security_id", "short_code", "name", "market", "security_kind")
-    return identity.join(decisions, ["security_id", "as_of"])
+    return decide(model, listed, policy, carry=["date", "short_code", "name", "market", "security_kind"])
 
 
 def universe(model: StatusModel, stamps: DataFrame, policy: Policy = V1) -> DataFrame:
@@ -279,8 +296,7 @@ def execution_status(model: StatusModel, requests: DataFrame, policy: Policy | N
 
     ``requests`` (security_id, session_date, as_of).
     """
-    decisions = decide(model, requests, policy or V1)
-    joined = requests.select("security_id", "session_date", "as_of").join(decisions, ["security_id", "as_of"])
+    joined = decide(model, requests, policy or V1, carry=["session_date"])
     other_day = F.col("session_date") != cal.seoul_day(F.col("as_of"))
     none = F.array().cast("array<string>")
     refused = F.when(other_day, "execution_date_mismatch")
@@ -316,7 +332,7 @@ def reconcile(model: StatusModel, market: DataFrame, start: str, end: str, polic
     spoken = allowed.join(asserted, ["requested_date", "security_id"], "left_semi").withColumn(
         "as_of", cal.at_seoul(F.col("requested_date"), cal.DAY_END)
     )
-    decided = spoken.join(decide(model, spoken, policy), ["security_id", "as_of"]).select(
+    decided = decide(model, spoken, policy, carry=["requested_date"]).select(
         "requested_date", "security_id", "state", "reason_codes", "evidence_ids"
     )
     inside = market.filter(F.col("trade_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))

@@ -129,6 +129,21 @@ def load_model(spark: SparkSession, path: str, names: Sequence[str]) -> dict[str
     return {name: spark.read.parquet(f"{path}/{name}/revision={revision}") for name in names}
 
 
+def store_tables(tables: Mapping[str, DataFrame], path: str, keys: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """Write named tables once and read them back, so that each reader scans a table instead of making it anew.
+
+    Tables that have all ``keys`` are dealt and sorted by them: a reader that asks for few keys skips most row groups.
+    """
+    stored = {}
+    for name, table in tables.items():
+        if keys and set(keys) <= set(table.columns):
+            # Rebalancing splits a key that is too large for one task.
+            table = table.hint("rebalance", *keys).sortWithinPartitions(*keys)
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+        stored[name] = table.sparkSession.read.schema(table.schema).parquet(f"{path}/{name}")
+    return stored
+
+
 def append_journal(proposal: DataFrame, path: str, note: str, settings: str) -> None:
     """Add a proposal with its note and settings to the journal."""
     stamped = proposal.withColumns({"note": F.lit(note), "settings": F.lit(settings), "saved_at": F.current_timestamp()})

@@ -37,6 +37,11 @@ def built(t: Inputs) -> iv.StatusModel:
     return iv.build_model(t.status_rows, lifecycle_model(t).intervals, t.status_days)
 
 
+def stored(t: Inputs) -> iv.StatusModel:
+    """The model as its readers find it: built once and kept as tables."""
+    return iv.stored_model(built(t), scratch_folder(t.spark, "status-model"))
+
+
 @query("status_assertions", *TABLES, oracle=f"WITH {ASSERTIONS} SELECT * FROM asserted")
 def _(t):
     return built(t).assertions.drop("observed_at")
@@ -141,7 +146,7 @@ def stamps(t: Inputs):
 @query("decide", *TABLES, "decision_requests", oracle=f"""WITH {ASSERTIONS}, {REQUESTS}, {DECIDED}
     SELECT security_id, as_of, state, reasons, evidence FROM decided""")
 def _(t):
-    return joined_text(iv.decide(built(t), t.decision_requests)).select("security_id", "as_of", "state", "reasons", "evidence")
+    return joined_text(iv.decide(stored(t), t.decision_requests)).select("security_id", "as_of", "state", "reasons", "evidence")
 
 
 BATCHES = """batches AS MATERIALIZED (
@@ -178,13 +183,13 @@ def _(t):
     SELECT d.day AS date, d.security_id, l.short_code, l.name, d.state, d.reasons FROM decided d
     JOIN listed l ON l.requested_date = d.day AND l.security_id = d.security_id""")
 def _(t):
-    return joined_text(iv.decision_sheet(built(t), stamps(t))).select("date", "security_id", "short_code", "name", "state", "reasons")
+    return joined_text(iv.decision_sheet(stored(t), stamps(t))).select("date", "security_id", "short_code", "name", "state", "reasons")
 
 
 @query("universe", *TABLES, oracle=f"""WITH {ASSERTIONS}, {SHEET}, {DECIDED}
     SELECT day AS date, security_id, evidence FROM decided WHERE state = 'eligible'""")
 def _(t):
-    return joined_text(iv.universe(built(t), stamps(t))).select("date", "security_id", "evidence")
+    return joined_text(iv.universe(stored(t), stamps(t))).select("date", "security_id", "evidence")
 
 
 @query("execution_status", *TABLES, "decision_requests", oracle=f"""WITH {ASSERTIONS}, {REQUESTS}, {DECIDED}
@@ -192,7 +197,7 @@ def _(t):
            CASE WHEN day <> cast(as_of AS date) THEN 'execution_date_mismatch' ELSE reasons END AS reasons FROM decided""")
 def _(t):
     asked = t.decision_requests.withColumn("session_date", F.to_date("as_of"))
-    return joined_text(iv.execution_status(built(t), asked)).select("security_id", "as_of", "state", "reasons")
+    return joined_text(iv.execution_status(stored(t), asked)).select("security_id", "as_of", "state", "reasons")
 
 
 MARKET = """mkt AS (
@@ -223,7 +228,7 @@ found AS (
 
 def reconciled(t: Inputs):
     market = t.sql(["events"], f", {MARKET.replace('varchar', 'string')} SELECT * FROM mkt")
-    return iv.reconcile(built(t), market, "2024-01-01", "2024-12-31")
+    return iv.reconcile(stored(t), market, "2024-01-01", "2024-12-31")
 
 
 @query("reconcile_investability", *TABLES, "events", oracle=f"WITH {RECONCILED} SELECT * FROM results")
