@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from knownat.findings import union_all
 from knownat.operators import lifecycle as lc
 from knownat.operators import quality as qu
 from knownat.functions.hashing import digest_tree, model_fingerprint
@@ -139,20 +140,28 @@ PLACES = f"""chosen_rows AS MATERIALIZED (SELECT * FROM lifecycle_rows WHERE raw
         WHERE (e.n, e.w0, e.w1, e.w2, e.w3) IS DISTINCT FROM (a.n, a.w0, a.w1, a.w2, a.w3))"""
 
 
-def rebuilt(t: Inputs, versions):
-    """The stored tree is of all versions; the rebuild takes those selected."""
+class Archive:
+    """Source rows and the stored digest tree of the model of all versions, each written once."""
+
+    def __init__(self, t: Inputs):
+        self.root = scratch_folder(t.spark, "rebuild")
+        self.rows = tb.store_tables({"rows": t.lifecycle_rows}, self.root)["rows"]
+        self.tree = tb.store_tables({"tree": digest_tree(self.build(self.rows), MODEL_DAYS)}, self.root)["tree"]
+        self.known = self.rows.select("raw_version_id").distinct()
+
+    @staticmethod
     def build(rows):
         made = lc.build_model(rows)
         return {"identifiers": made.identifiers, "intervals": made.intervals, "names": made.names}
 
-    stored = digest_tree(build(t.lifecycle_rows), MODEL_DAYS)
-    known = t.lifecycle_rows.select("raw_version_id").distinct()
-    return qu.rebuild(t.lifecycle_rows, versions(known), build, MODEL_DAYS, stored)
+    def rebuilt(self, versions):
+        return qu.rebuild(self.rows, versions, self.build, MODEL_DAYS, self.tree)
 
 
 @query("rebuild_places", "lifecycle_rows", oracle=f"WITH {PLACES} SELECT * FROM places")
 def _(t):
-    return rebuilt(t, lambda known: known.filter("raw_version_id <> 4"))[1]
+    archive = Archive(t)
+    return archive.rebuilt(archive.known.filter("raw_version_id <> 4"))[1]
 
 
 @query("rebuild_verdicts", "lifecycle_rows", oracle=f"""WITH {PLACES}, names AS (SELECT unnest(['identifiers', 'intervals', 'names']) AS table_name)
@@ -161,13 +170,12 @@ def _(t):
     FROM names n LEFT JOIN places p USING (table_name) GROUP BY n.table_name
     UNION ALL SELECT 'more', table_name, 'failed', 0, NULL FROM names""")
 def _(t):
-    ways = {"all": lambda known: known, "less": lambda known: known.filter("raw_version_id <> 4"),
-            "more": lambda known: known.unionByName(known.limit(1).select((F.lit(99)).cast("long").alias("raw_version_id")))}
-    found = None
-    for name, versions in ways.items():
-        own = rebuilt(t, versions)[0].withColumn("selection", F.lit(name))
-        found = own if found is None else found.unionByName(own)
-    return found
+    archive = Archive(t)
+    other = archive.known.limit(1).select(F.lit(99).cast("long").alias("raw_version_id"))
+    ways = {"all": archive.known, "less": archive.known.filter("raw_version_id <> 4"), "more": archive.known.unionByName(other)}
+    # Each rebuild is a job of its own, whose verdicts are kept.
+    done = {name: archive.rebuilt(versions)[0].withColumn("selection", F.lit(name)) for name, versions in ways.items()}
+    return union_all(list(tb.store_tables(done, archive.root).values()))
 
 
 @query("stored_fingerprint", "daily_market", oracle=f"""
