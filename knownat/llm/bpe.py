@@ -13,9 +13,11 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
+#: White space as the pattern's library counts it; Python's own class also holds the separators U+001C to U+001F.
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Where a run of white space begins, a match of the pattern ends: no alternative goes on from a visible character to white
 #: space.  A text may be cut there and encoded in parts.
-CUT = re.compile(r"(?<=\S)\s")
+CUT = re.compile(f"(?<=[^{SPACE}])[{SPACE}]")
 
 
 @lru_cache(maxsize=2)

@@ -73,6 +73,14 @@ def lower_table() -> bytes:
     return bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the first of ``name_``, ``name__``, ... that ``df`` has no column of, whatever its case."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_scores(docs: DataFrame, scorer, threshold: float) -> DataFrame:
     """All columns of ``docs``, then ``_score`` double and ``_predicted`` int; ``scorer`` maps a column of texts to an array.
 
@@ -92,29 +100,39 @@ def with_scores(docs: DataFrame, scorer, threshold: float) -> DataFrame:
     return docs.mapInArrow(run, T.StructType(fields))
 
 
+def keep_predicted(docs: DataFrame, judge, wanted: int) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` predicts as ``wanted``, with all their columns, also those named like its own two."""
+    hidden = {name: free_name(docs, name) for name in docs.columns if name.lower() in ("_score", "_predicted")}
+    judged = judge(docs.withColumnsRenamed(hidden)).where(F.col("_predicted") == wanted)
+    return judged.select(*[F.col(hidden.get(name, name)).alias(name) for name in docs.columns])
+
+
 def bounded_sample(docs: DataFrame, labels: DataFrame, rows: int, chars: int) -> list[tuple[str, float]]:
     """Text and label of at most ``rows`` labelled documents, of at most ``chars`` characters in all.
 
-    ``labels`` has ``doc_id, _label``, one row per id.  Documents come in the order of a hash of their id; one that is longer than
-    an eighth of ``chars`` is passed over.  Ids and lengths are chosen first, at most ``rows`` of them, and only the chosen texts
-    are read for the driver.
+    ``labels`` has ``doc_id, _label``, one row per id.  Each id gives one text, its shortest (of equal lengths the one with the smallest
+    hash), however many rows carry the id.  Documents come in the order of a hash of their id; one that is longer than an
+    eighth of ``chars`` is passed over.  Ids, lengths and hashes are chosen first, at most ``rows`` of them, and only the chosen
+    texts are read for the driver.  The same rows give the same sample in any order and partitioning.
     """
-    lengths = docs.select("doc_id", F.length(normal_text()).alias("_size")).where(F.col("_size") <= chars // 8)
-    order = lengths.join(labels, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(7)), "_size").limit(rows)
+    sized = docs.select("doc_id", "text", F.length(normal_text()).alias("_size"), F.xxhash64("doc_id", normal_text()).alias("_print"))
+    sized = sized.where(F.col("doc_id").isNotNull() & (F.col("_size") <= chars // 8))
+    each = sized.groupBy("doc_id").agg(F.min(F.struct("_size", "_print")).alias("_one")).select("doc_id", "_one.*")
+    order = each.join(labels, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(rows)
     chosen: dict = {}
     used = 0
     for row in order.collect():
         used += row["_size"]
-        if used > chars and chosen:
+        if used > chars:
             break
-        chosen[row["doc_id"]] = float(row["_label"])
+        chosen[row["doc_id"]] = (row["_size"], row["_print"], float(row["_label"]))
     if not chosen:
         return []
-    # Bounded by ``rows`` ids, so the list may go along with the scan.
-    texts = docs.select("doc_id", "text").where(F.col("doc_id").isin(list(chosen)) & (F.length(normal_text()) <= chars // 8))
-    found = texts.limit(rows).collect()
-    place = {key: k for k, key in enumerate(chosen)}
-    return [(r["text"] or "", chosen[r["doc_id"]]) for r in sorted(found, key=lambda r: (place[r["doc_id"]], r["text"] or ""))]
+    # Bounded by ``rows`` ids and hashes, so the lists may go along with the scan.  Repeats of one text are one row after the grouping.
+    picked = sized.where(F.col("doc_id").isin(list(chosen)) & F.col("_print").isin([p for _, p, _ in chosen.values()]))
+    texts = picked.groupBy("doc_id", "_size", "_print").agg(F.min("text").alias("text")).collect()
+    found = {r["doc_id"]: r["text"] or "" for r in texts if chosen[r["doc_id"]][:2] == (r["_size"], r["_print"])}
+    return [(found[key], label) for key, (_, _, label) in chosen.items()]
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knownat.llm.common import SPACES, normal_text, stored
+from knownat.llm.common import SPACES, free_name, normal_text, stored
 
 
 @dataclass
@@ -95,6 +95,16 @@ def unpacked(raw: bytes, bits: int) -> np.ndarray:
     return whole.ravel().view("<u8")
 
 
+def add_filter(waiting: list[CountingQuotientFilter], new: CountingQuotientFilter) -> None:
+    """Put ``new`` on the pile, merged with those above that are not much larger.
+
+    What stays on the pile at least doubles from top to bottom, so each fingerprint is merged a logarithmic number of times.
+    """
+    while waiting and len(waiting[-1].counts) <= 2 * len(new.counts):
+        new = waiting.pop().merge(new)
+    waiting.append(new)
+
+
 PARTS = ("quotients", "lengths", "remainders", "counts")
 
 
@@ -102,10 +112,12 @@ def count_fingerprints(rows: DataFrame, column: str, bits: int, width: int) -> D
     """``fingerprint, copies`` of every fingerprint, through one filter per task and a merge per slice."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: CountingQuotientFilter | None = None
+        waiting: list[CountingQuotientFilter] = []
         for batch in batches:
-            own = CountingQuotientFilter.build(np.asarray(batch.column(0)).view(np.uint64), bits)
-            found = own if found is None else found.merge(own)
+            add_filter(waiting, CountingQuotientFilter.build(np.asarray(batch.column(0)).view(np.uint64), bits))
+        while len(waiting) > 1:
+            waiting.append(waiting.pop().merge(waiting.pop()))
+        found = waiting[0] if waiting else None
         if found is not None and len(found.counts):
             tops, parts = zip(*((top, part.to_bytes()) for top, part in found.slices(width)))
             yield pa.RecordBatch.from_pydict({"slice": pa.array(tops, pa.int32())} | {
@@ -158,8 +170,15 @@ def exact_duplicates(docs: DataFrame, bits: int = 24, width: int = 0) -> DataFra
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: the smallest doc_id of each group of equal texts, once."""
-    kept = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    marked = docs.withColumn("_sha", F.sha2(normalised(), 256))
-    same = (F.col("_sha") == F.col("_kept_sha")) & F.col("doc_id").eqNullSafe(F.col("_kept_id"))
-    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    """The rows of ``docs`` that stay: the smallest doc_id of each group of equal texts, once.
+
+    All columns of ``docs`` are handed on, whatever their names.  Rows that agree in id and text are reduced in each task before whole
+    rows are sent, and the join with the kept ones uses the same digest of id and text, so texts are shuffled once.
+    """
+    def key(sha: Column) -> Column:
+        return F.sha2(F.concat_ws("/", sha, F.col("doc_id").cast("string")), 256)
+
+    name = free_name(docs, "_key")
+    kept = exact_duplicates(docs).where("kept").select(key(F.col("text_sha256")).alias(name))
+    once = docs.withColumn(name, key(F.sha2(normalised(), 256))).dropDuplicates([name])
+    return once.join(kept, name, "left_semi").select(*docs.columns)

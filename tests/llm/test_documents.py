@@ -17,6 +17,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from knownat.llm import bpe, ctw, encode, exact, nearcopies, packing, quality, tokens, toxicity
+from knownat.llm.common import bounded_sample, keep_predicted
 from knownat.llm.queries import BYTE_BPE, MULTI_RANKS
 
 random.seed(5)
@@ -107,6 +108,14 @@ def test_parts_cut_where_matches_end():
     assert [i for p in cut for i in own.encode_ordinary(p)] == own.encode_ordinary(text)
 
 
+def test_separators_are_no_white_space_to_the_pattern():
+    text = "".join(random.choice(["ab", "7", "!", " ", "\n", "\x1c", "\x1d\x1e", "\x85", "\u3000", "\x1f"]) for _ in range(6000))
+    own = bpe.encoding(MULTI_RANKS, public_tokenizers.PATTERN)
+    cut = list(bpe.parts(text, 40))
+    assert len(cut) > 50 and "".join(cut) == text and not any(p[0] in "\x1c\x1d\x1e\x1f" for p in cut)
+    assert [i for p in cut for i in own.encode_ordinary(p)] == own.encode_ordinary(text)
+
+
 def test_exact_duplicates(odd):
     normal = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
     groups = {}
@@ -121,6 +130,26 @@ def test_exact_duplicates(odd):
     assert Counter(r["text_sha256"] for r in found if r["kept"]) == Counter(list(by_sha))
     stay = exact.keep_one(odd)
     assert stay.columns == odd.columns and stay.count() == len(groups)
+    clashing = odd.selectExpr("*", "fingerprint AS _key", "lang AS _sha", "lang AS _text")
+    stay = exact.keep_one(clashing)
+    assert stay.columns == clashing.columns and {(r["_key"], r["_sha"]) for r in stay.collect()} == {(1, "en")}
+    wanted = {(min((i for i in ids if i is not None), default=None), text) for text, ids in groups.items()}
+    assert {(r["doc_id"], normal(r["text"])) for r in stay.collect()} == wanted
+
+
+def test_filters_pile_up_in_doubling_sizes():
+    prints = np.random.default_rng(4).integers(0, 5000, 20_000).astype(np.uint64) << np.uint64(40)
+    pile, merged = [], 0
+    for batch in np.split(prints, 200):
+        sizes = sum(len(f.counts) for f in pile)
+        exact.add_filter(pile, exact.CountingQuotientFilter.build(batch, 12))
+        merged += sizes != sum(len(f.counts) for f in pile[:-1])
+        assert all(len(a.counts) > 2 * len(b.counts) for a, b in zip(pile, pile[1:]))
+    assert merged and len(pile) <= 13
+    while len(pile) > 1:
+        pile.append(pile.pop().merge(pile.pop()))
+    keys, counts = np.unique(prints, return_counts=True)
+    assert (pile[0].fingerprints() == keys).all() and (pile[0].counts == counts).all()
 
 
 def test_exact_duplicates_of_nothing(tiny):
@@ -466,6 +495,41 @@ def test_gradients_are_slopes():
         assert (up - down) / 2e-2 == pytest.approx(slope[k], rel=0.1)
 
 
+def test_sample_keeps_its_bound_under_a_repeated_id(spark, tiny):
+    rows = [(7, f"{k} " + sentence(100)) for k in range(600)] + [(7, None)] * 2 + [(i, sentence(20)) for i in range(100, 1300)]
+    rows += [(None, "no id"), (5000, "z" * 2000)]
+    labels = spark.createDataFrame([(i, float(i % 2)) for i in [7, 5000, *range(100, 1300)]], "doc_id long, _label double")
+    for bound, places in ((8000, 400), (1 << 20, 40), (1 << 20, 4000), (10, 4000)):
+        found = bounded_sample(tiny(rows), labels, places, bound)
+        assert sum(len(text) for text, _ in found) <= bound and len(found) <= places
+        assert found == bounded_sample(tiny(rows[::-1]).repartition(3), labels, places, bound)
+    whole = bounded_sample(tiny(rows), labels, 4000, 1 << 20)
+    assert len(whole) == 1202 and "" in [text for text, _ in whole]
+    texts = {text: i for i, text in rows if i != 7}
+    assert all(label == texts[text] % 2 for text, label in whole if text)
+    assert bounded_sample(tiny([]), labels, 4000, 1 << 20) == []
+
+
+def test_third_of_rows_under_one_id_leaves_both_models_sound(spark, tiny):
+    good = [(i, sentence(80)) for i in range(2, 302)]
+    rude = [" ".join(random.sample(sentence(80).split() + ["oaf", "lout", "oaf"], 83)) for _ in range(300)]
+    bad = junk(zip(range(1002, 1302), rude))
+    crowd = [(1, sentence(80)) for _ in range(300)]
+    docs = tiny(good + bad + crowd)
+    labels = spark.createDataFrame([(i, int(i < 1000), int(i >= 1000)) for i, _ in good + bad] + [(1, 1, 0)],
+                                   "doc_id long, quality int, toxic int")
+    for model in (quality, toxicity):
+        held = [r for r in model.score(docs, model.fit(docs, labels)).collect() if r["held_out"] and r["doc_id"] != 1]
+        right = [r["predicted"] == ((r["doc_id"] >= 1000) if model is toxicity else (r["doc_id"] < 1000)) for r in held]
+        assert len(held) > 100 and sum(right) >= 0.95 * len(right)
+
+
+def test_kept_rows_keep_columns_named_like_the_judges_own(tiny, odd):
+    found = toxicity.fit(tiny([]), odd.sparkSession.createDataFrame([], "doc_id long, quality int, toxic int"))
+    kept = keep_predicted(odd.withColumnRenamed("score", "_Predicted"), lambda d: toxicity.judged(d, found), 0)
+    assert kept.count() == len(ODD) and {(r["_score"], r["_Predicted"]) for r in kept.collect()} == {(4.0, 2.0)}
+
+
 def test_grammar_scores_clauses():
     found = toxicity.Grammar({"fool": 1.0}, {"blockh": 1.0})
     plain, aimed, denied, quoted = map(found.evidence, ("a fool stood", "you fool", "not a fool", "she said nothing. fool"))
