@@ -5,38 +5,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from knownat.llm import exact, nearcopies, packing, quality, toxicity
-from knownat.llm.common import stored, table
+from knownat.llm.common import keep_predicted, stored, table
 from knownat.llm.queries import BYTE_BPE, configured
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.5."""
+    """Documents whose toxicity score is below 0.5.
+
+    Null and empty texts hold no evidence and stay; repeated rows are judged alike; an empty table stays empty.  Columns that clash with
+    the score's own names are handed on as they came.
+    """
     configured(spark)
     found = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.judged(docs, found, threshold=0.5).where("_predicted = 0").select(*docs.columns)
+    return keep_predicted(docs, lambda rows: toxicity.judged(rows, found, threshold=0.5), wanted=0)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is 0.3 or more."""
+    """Documents whose quality score is 0.3 or more.
+
+    Null and empty texts are scored as one empty chunk; repeated rows are judged alike; an empty table stays empty.  Columns that
+    clash with the score's own names are handed on as they came.
+    """
     configured(spark)
     network = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.judged(docs, network, threshold=0.3).where("_predicted = 1").select(*docs.columns)
+    return keep_predicted(docs, lambda rows: quality.judged(rows, network, threshold=0.3), wanted=1)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of texts that are equal up to white space."""
+    """The first document of each group of texts that are equal up to white space.
+
+    Null counts as empty, null ids rank last, of repeated rows one stays, an empty table stays empty; all columns are handed on.
+    """
     configured(spark)
     return exact.keep_one(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies."""
+    """The first document of each group of near copies.
+
+    Texts without words, null ones among them, are copies of nothing; rows with a null id stay; rows that repeat a kept id stay; an empty
+    table stays empty; all columns are handed on.
+    """
     configured(spark)
     return nearcopies.keep_one(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document stands in sequences of 2048 tokens."""
+    """Where each piece of each document stands in sequences of 2048 tokens.
+
+    Null and empty texts are their end token alone; repeated rows are packed each; an empty table gives no piece.
+    """
     configured(spark)
     return packing.pack(docs, BYTE_BPE, capacity=2048, end_id=0)
 
