@@ -208,6 +208,22 @@ def timeline(model: LifecycleModel, ids: DataFrame | None = None) -> DataFrame:
     return both if ids is None else both.join(ids.select("security_id").distinct(), "security_id", "left_semi")
 
 
+def linked_versions(entries: DataFrame, versions: DataFrame, selections: DataFrame) -> DataFrame:
+    """Timeline entries with the source version behind each: ``dataset, sha256, state``.
+
+    ``versions`` (raw_version_id, dataset, sha256); ``selections`` (dataset, raw_version_id), at most one per dataset.  A version is
+    ``selected``, ``superseded`` (older than the selected one of its dataset) or ``pending`` (newer, or nothing is selected);
+    an entry whose version is not known keeps its row with the state ``unknown``.
+    """
+    chosen = selections.select("dataset", F.col("raw_version_id").alias("_chosen"))
+    placed = versions.join(chosen, "dataset", "left").select(
+        "raw_version_id", "dataset", "sha256",
+        F.when(F.col("raw_version_id") == F.col("_chosen"), "selected")
+        .when(F.col("raw_version_id") < F.col("_chosen"), "superseded").otherwise("pending").alias("state"),
+    )
+    return entries.join(placed, "raw_version_id", "left").withColumn("state", F.coalesce("state", F.lit("unknown")))
+
+
 def reconcile_market(intervals: DataFrame, market: DataFrame, raw_dates: DataFrame) -> DataFrame:
     """Findings where the listed securities and the daily market rows of a day disagree.
 
@@ -245,9 +261,14 @@ def reconcile_market(intervals: DataFrame, market: DataFrame, raw_dates: DataFra
     )
 
 
-def market_coverage(market: DataFrame, raw_dates: DataFrame) -> DataFrame:
-    """Share of landed days that have market rows: ``(landed, covered, coverage)``."""
+def market_coverage(market: DataFrame, raw_dates: DataFrame, by: str | None = None) -> DataFrame:
+    """Share of landed days that have market rows: ``(landed, covered, coverage)``, or one such row per value of ``by``."""
     landed = raw_dates.select("trade_date").distinct()
+    if by is not None:
+        days = market.select(by, "trade_date").distinct().join(landed.withColumn("_landed", F.lit(True)), "trade_date", "left")
+        return days.groupBy(by).agg(F.count("_landed").alias("covered")).select(
+            by, landed.agg(F.count(F.lit(1))).scalar().alias("landed"), "covered").withColumn(
+            "coverage", F.when(F.col("landed") > 0, F.col("covered") / F.col("landed")).otherwise(0.0))
     covered = market.select("trade_date").distinct().withColumn("_seen", F.lit(True))
     joined = landed.join(covered, "trade_date", "left")
     return joined.agg(F.count(F.lit(1)).alias("landed"), F.count("_seen").alias("covered")).withColumn(

@@ -55,6 +55,44 @@ def append_new(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame
     return first.join(old.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def touched_partitions(path: str, new: DataFrame, part: str, most: int = 10_000) -> DataFrame | None:
+    """Stored rows of the partitions of ``part`` that ``new`` has rows in, or None before the first write.
+
+    At most ``most`` values are read for the driver and prune the scan; beyond that a join by ``part`` picks them.
+    """
+    spark = new.sparkSession
+    if read_if_present(spark, path) is None:
+        return None
+    stored = spark.read.schema(new.schema).parquet(path)
+    values = [row[0] for row in new.select(part).distinct().limit(most + 1).collect()]
+    if len(values) > most:
+        return stored.join(new.select(part).distinct(), stored[part].eqNullSafe(new[part]), "left_semi")
+    known = F.col(part).isin([v for v in values if v is not None])
+    return stored.filter(known | F.col(part).isNull() if None in values else known)
+
+
+def upsert_into(new: DataFrame, path: str, keys: Sequence[str], part: str) -> None:
+    """Put ``new`` into the stored table: its rows win per key, of several the one of the highest ``seq``.
+
+    ``part`` is a column that all rows of one key share, such as the month of a key's date.  Only partitions that ``new`` has rows in are
+    read and written; files of all others stay as they are.  Repeating a write that stopped half-way gives the same table.
+    """
+    old = touched_partitions(path, new, part)
+    rows = upsert(new.filter("false") if old is None else old, new, keys)
+    (rows.hint("rebalance", part).sortWithinPartitions(part, *keys).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path))
+
+
+def append_into(new: DataFrame, path: str, keys: Sequence[str], part: str) -> None:
+    """Add the rows of ``new`` whose key is not stored, one per key (the lowest ``seq``); stored files stay as they are.
+
+    Only partitions that ``new`` has rows in are searched for keys; ``part`` is as in ``upsert_into``.
+    """
+    old = touched_partitions(path, new, part)
+    fresh = append_new(new.filter("false") if old is None else old, new, keys)
+    fresh.hint("rebalance", part).sortWithinPartitions(part, *keys).write.mode("append").partitionBy(part).parquet(path)
+
+
 def export_csv(df: DataFrame, path: str, headers: Mapping[str, str]) -> None:
     """CSV with renamed headers; each part starts with its header and the UTF-8 mark office programs expect."""
     mark = "\ufeff"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from knownat.findings import BlockingFindings, findings, require_clean
 from knownat.operators.normalize import MissingColumns, normalize_daily_market
 from knownat.sources import landing as la
+from knownat.sources import lookups as lk
 from knownat.sources import tables as tb
 
 
@@ -106,3 +107,68 @@ def test_missing_headers_and_strict_mode(spark):
     with pytest.raises(BlockingFindings):
         require_clean(found)
     require_clean(found.filter("false"))
+
+
+def test_upserts_and_appends_touch_only_their_partitions(spark, tmp_path):
+    path = str(tmp_path / "prices")
+
+    def rows(*values):
+        return spark.createDataFrame(values, "code string, trade_date string, close double, seq long, month string")
+
+    def files(month):
+        return sorted((p.name, p.stat().st_mtime_ns) for p in (tmp_path / "prices" / f"month={month}").glob("*.parquet"))
+
+    def stored():
+        return sorted(tuple(r) for r in spark.read.parquet(path).select("code", "trade_date", "close", "seq").collect())
+
+    keys = ["code", "trade_date"]
+    tb.upsert_into(rows(("a", "2025-01-02", 1.0, 1, "01"), ("a", "2025-01-02", 2.0, 2, "01"), ("b", "2025-02-03", 3.0, 1, "02")), path, keys, "month")
+    assert stored() == [("a", "2025-01-02", 2.0, 2), ("b", "2025-02-03", 3.0, 1)]
+    before = files("01")
+    late = rows(("b", "2025-02-03", 4.0, 1, "02"), ("c", "2025-02-04", 5.0, 1, "02"), ("c", "2025-03-04", 6.0, 1, "03"))
+    for _ in range(2):
+        tb.upsert_into(late, path, keys, "month")
+        assert files("01") == before
+        assert stored() == [("a", "2025-01-02", 2.0, 2), ("b", "2025-02-03", 4.0, 1), ("c", "2025-02-04", 5.0, 1), ("c", "2025-03-04", 6.0, 1)]
+    kept = {m: files(m) for m in ("01", "02", "03")}
+    for _ in range(2):
+        tb.append_into(rows(("c", "2025-03-04", 9.0, 1, "03"), ("d", "2025-03-05", 8.0, 2, "03"), ("d", "2025-03-05", 7.0, 1, "03")), path, keys, "month")
+        assert ("c", "2025-03-04", 6.0, 1) in stored() and ("d", "2025-03-05", 7.0, 1) in stored() and len(stored()) == 5
+        assert files("01") == kept["01"] and files("02") == kept["02"] and set(kept["03"]) <= set(files("03"))
+    tb.upsert_into(rows().filter("false"), path, keys, "month")
+    assert len(stored()) == 5
+    plan = tb.touched_partitions(path, late, "month")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [month" in plan
+    many = tb.touched_partitions(path, late, "month", most=1)
+    assert {r["month"] for r in many.collect()} == {"02", "03"} and tb.touched_partitions(str(tmp_path / "none"), late, "month") is None
+
+
+def test_point_reads_skip_most_of_a_sorted_table(spark, tmp_path):
+    days = spark.range(200).selectExpr("date_add(DATE '2020-01-01', cast(id AS int)) AS trade_date")
+    bars = spark.range(300).selectExpr("lpad(cast(id AS string), 6, '0') AS code").crossJoin(days).withColumn("close", F.rand(3))
+    stored = lk.store_sorted(bars, str(tmp_path / "bars"), ["code", "trade_date"], group_bytes=1 << 14, page_rows=500)
+
+    def scanned(df):
+        plan = df._jdf.queryExecution().executedPlan()
+        df.collect()
+        leaf = plan.collectLeaves().head()
+        return leaf.metrics().get("numOutputRows").get().value()
+
+    one = lk.prices(stored, "000123", "2020-02-01", "2020-02-10")
+    assert one.count() == 10 and lk.prices(stored, "000123").count() == 200 and lk.prices(stored, "none").count() == 0
+    assert 10 <= scanned(lk.prices(stored, "000123", "2020-02-01", "2020-02-10")) < 60_000 / 20
+    assert lk.prices(stored, "000123", start="2020-07-01").count() == lk.prices(stored, "000123", end="2020-01-18").count()
+    assert stored.count() == bars.count()
+
+
+def test_lookups_by_date(spark):
+    snapshots = spark.createDataFrame([("2025-01-03", "a"), ("2025-01-10", "a"), ("2025-01-10", "b")], "d string, code string").select(
+        F.to_date("d").alias("signal_date"), "code")
+    assert [r["code"] for r in lk.historical_snapshot(snapshots, "2025-01-03").collect()] == ["a"]
+    assert sorted(r["code"] for r in lk.snapshot_before(snapshots, "2025-01-12").collect()) == ["a", "b"]
+    assert lk.snapshot_before(snapshots, "2025-01-01").count() == 0 and lk.historical_snapshot(snapshots, "2025-01-04").count() == 0
+    actions = spark.createDataFrame([("a", "2025-01-02", "split", 1), ("a", "2025-01-02", "split", 2), ("a", "2025-01-09", "split", 3)],
+                                    "code string, effective_date string, action_type string, seq long")
+    assert [r["seq"] for r in lk.actions_between(actions, "2025-01-01", "2025-01-02").collect()] == [2]
+    typed = actions.withColumn("effective_date", F.to_date("effective_date"))
+    assert sorted(r["seq"] for r in lk.actions_between(typed, "2025-01-02", "2025-01-09").collect()) == [2, 3]

@@ -178,10 +178,16 @@ TABLES: dict[str, tuple[list[str], str]] = {
                + CASE WHEN (c_custkey + l_suppkey) % 701 = 1 THEN 0.5 ELSE 0.0 END AS quantity
         FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey
         GROUP BY c_custkey, l_suppkey"""),
-    "open_prices": (["bars", "last_signals"], """
-        SELECT s.signal_date, b.code, max_by(b.open, b.trade_date) AS price
-        FROM bars b JOIN last_signals s ON s.back BETWEEN 2 AND 5 AND b.trade_date <= s.signal_date
-        GROUP BY s.signal_date, b.code"""),
+    # The signal of a bar's own week is the first that sees it; it then serves the later ones, too.
+    "open_prices": (["bars", "weeks", "last_signals"], """
+        SELECT s.signal_date, p.code, max_by(p.price, p.last_date) AS price
+        FROM (SELECT code, price, last_date, unnest(generate_series(2, seen)) AS back
+              FROM (SELECT b.code, least(l.back, 5) AS seen, max_by(b.open, b.trade_date) AS price, max(b.trade_date) AS last_date
+                    FROM bars b JOIN weeks w ON cast(date_trunc('week', b.trade_date + 2) AS date) = w.week_key
+                         JOIN last_signals l ON l.signal_date = w.signal_date
+                    WHERE l.back >= 2 GROUP BY b.code, least(l.back, 5))) p
+             JOIN last_signals s ON s.back = p.back
+        GROUP BY s.signal_date, p.code"""),
     "board": (["snapshots", "open_prices"], """
         SELECT s.signal_date, s.code, s.name, s.sector, p.price,
                cast(row_number() OVER (PARTITION BY s.signal_date ORDER BY s.marcap DESC, s.code) AS int) AS rank

@@ -150,6 +150,27 @@ def _(t):
     return lc.timeline(model(t))
 
 
+VERSIONS = """versions_known AS (
+    SELECT raw_version_id, 'source_' || cast(raw_version_id % 2 AS varchar) AS dataset, sha256(cast(raw_version_id AS varchar)) AS sha256
+    FROM lifecycle_rows WHERE raw_version_id < 4 OR source_row_number % 5 > 0 GROUP BY raw_version_id)"""
+
+
+@query("timeline_versions", "lifecycle_rows", oracle=f"""WITH {INTERVALS}, {VERSIONS},
+    {EVENTS[len(FACTS) + 2:]}, entries AS (
+    SELECT security_id, 'event' AS entry, effective_date AS date, cast(NULL AS date) AS until, event_type AS detail,
+           raw_version_id, source_row_number FROM ev
+    UNION ALL SELECT security_id, 'interval', valid_from, valid_to, concat_ws('/', short_code, name, market),
+           raw_version_id, source_row_number FROM intervals)
+    SELECT e.*, v.dataset, v.sha256, CASE WHEN v.dataset IS NULL THEN 'unknown' WHEN e.raw_version_id = 1 THEN 'selected'
+           WHEN v.dataset = 'source_1' THEN 'pending' WHEN e.raw_version_id < 4 THEN 'superseded' ELSE 'selected' END AS state
+    FROM entries e LEFT JOIN versions_known v USING (raw_version_id)""")
+def _(t):
+    """Of source 1 the first version is selected and the third pending; of source 0 the fourth replaced the second."""
+    versions = t.sql(["lifecycle_rows"], f", {VERSIONS.replace('varchar', 'string')} SELECT * FROM versions_known")
+    ends = F.when(F.col("dataset") == "source_1", F.min("raw_version_id")).otherwise(F.max("raw_version_id"))
+    return lc.linked_versions(lc.timeline(model(t)), versions, versions.groupBy("dataset").agg(ends.alias("raw_version_id")))
+
+
 MARKET_ROWS = """mk AS (
     SELECT w.signal_date AS trade_date, lpad(cast(o_custkey AS varchar), 6, '0') AS code,
            'corp ' || cast(o_custkey AS varchar) || '-' || cast(min(o_orderkey) % 3 AS varchar) AS name,
@@ -183,12 +204,11 @@ def _(t):
 
 
 @query("market_coverage", "session_days", "daily_market", oracle="""
-    SELECT count(*) AS landed, count(m.trade_date) AS covered, count(m.trade_date) / count(*) AS coverage
-    FROM session_days s LEFT JOIN (SELECT DISTINCT trade_date FROM daily_market WHERE market = 'KONEX') m
-    ON m.trade_date = s.session_date""")
+    SELECT market, (SELECT count(*) FROM session_days) AS landed, count(DISTINCT session_date) AS covered,
+           count(DISTINCT session_date) / (SELECT count(*) FROM session_days) AS coverage
+    FROM daily_market LEFT JOIN session_days ON session_date = trade_date GROUP BY market""")
 def _(t):
-    landed = t.session_days.select(F.col("session_date").alias("trade_date"))
-    return lc.market_coverage(t.daily_market.filter("market = 'KONEX'"), landed)
+    return lc.market_coverage(t.daily_market, t.session_days.select(F.col("session_date").alias("trade_date")), by="market")
 
 
 @query("market_coverage_all_markets", "session_days", "daily_market", oracle="""

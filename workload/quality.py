@@ -8,6 +8,8 @@ from knownat.functions import text as tx
 from knownat.functions.hashing import table_fingerprint
 from knownat.operators import normalize as nm
 from knownat.operators import quality as qu
+from knownat.session import scratch_folder
+from knownat.sources import lookups as lk
 from workload import parts
 from workload.registry import Inputs, query
 
@@ -184,11 +186,43 @@ def _(t):
 
 
 @query("corporate_actions_between", "actions", oracle="""
-    SELECT code, effective_date, action_type, seq FROM actions
-    WHERE effective_date BETWEEN '1998-01-01' AND '1998-03-31'""")
+    SELECT code, effective_date, action_type, seq FROM actions WHERE effective_date BETWEEN '1998-01-01' AND '1998-03-31'
+    QUALIFY row_number() OVER (PARTITION BY code, effective_date, action_type ORDER BY seq DESC) = 1""")
 def _(t):
-    return t.actions.filter(F.col("effective_date").between("1998-01-01", "1998-03-31")).select(
-        "code", "effective_date", "action_type", "seq")
+    return lk.actions_between(t.actions, "1998-01-01", "1998-03-31").select("code", "effective_date", "action_type", "seq")
+
+
+@query("prices_of_code", "bars", oracle="""
+    SELECT * FROM bars WHERE code = '000007' AND trade_date BETWEEN '1994-02-01' AND '1997-11-30'""")
+def _(t):
+    stored = lk.store_sorted(t.bars, scratch_folder(t.spark, "bars"), ["code", "trade_date"])
+    return lk.prices(stored, "000007", "1994-02-01", "1997-11-30")
+
+
+@query("index_prices", "index_bars", oracle="SELECT trade_date, open, close FROM index_bars WHERE symbol = 'KOSDAQ'")
+def _(t):
+    return lk.index_prices(lk.store_sorted(t.index_bars, scratch_folder(t.spark, "index"), ["symbol", "trade_date"]), "KOSDAQ")
+
+
+@query("historical_snapshot", "snapshots", oracle="""
+    SELECT signal_date, code, name, market, round(marcap, 2) AS marcap FROM snapshots WHERE signal_date = '1997-06-20'""")
+def _(t):
+    return lk.historical_snapshot(t.snapshots, "1997-06-20").select(
+        "signal_date", "code", "name", "market", F.round("marcap", 2).alias("marcap"))
+
+
+@query("snapshot_before", "snapshots", oracle="""
+    SELECT signal_date, code, name, market, round(marcap, 2) AS marcap FROM snapshots
+    WHERE signal_date = (SELECT max(signal_date) FROM snapshots WHERE signal_date <= '1997-06-24')""")
+def _(t):
+    stored = lk.store_sorted(t.snapshots, scratch_folder(t.spark, "snapshots"), ["signal_date", "code"])
+    return lk.snapshot_before(stored, "1997-06-24").select("signal_date", "code", "name", "market", F.round("marcap", 2).alias("marcap"))
+
+
+@query("canonical_day", "daily_market", oracle="SELECT code, name, market, close, listed_shares FROM daily_market WHERE trade_date = '1997-06-20'")
+def _(t):
+    stored = lk.store_sorted(t.daily_market, scratch_folder(t.spark, "market"), ["trade_date", "code"])
+    return lk.canonical_day(stored, "1997-06-20").select("code", "name", "market", "close", "listed_shares")
 
 
 def asked_market(t: Inputs):

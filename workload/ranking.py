@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from knownat.findings import union_all
 from knownat.functions import calendar as cal
 from knownat.operators import fundamentals as fu
 from knownat.operators import ranking as rk
@@ -170,10 +171,12 @@ def _(t):
 
 
 @query("pending_statements", "statements", "companies", oracle="""
-    SELECT stock FROM companies WHERE stock NOT IN (SELECT stock FROM statements WHERE year = 1994 AND basis = 'CFS')""")
+    SELECT b.basis, c.stock FROM companies c, (SELECT unnest(['CFS', 'OFS']) AS basis) b
+    WHERE NOT EXISTS (SELECT 1 FROM statements s WHERE s.stock = c.stock AND s.year = 1994 AND s.basis = b.basis)""")
 def _(t):
-    consolidated = t.statements.filter("basis = 'CFS'")
-    return fu.pending_statements(t.companies.select(F.col("stock").alias("code")), consolidated, 1994)
+    codes = t.companies.select(F.col("stock").alias("code"))
+    return union_all([fu.pending_statements(codes, t.statements.filter(F.col("basis") == basis), 1994).withColumn("basis", F.lit(basis))
+                      for basis in ("CFS", "OFS")])
 
 
 @query("pending_statements_any_basis", "statements", "companies", oracle="""

@@ -39,6 +39,7 @@ class Inputs:
 def spark_text(text: str) -> str:
     """Spark spellings of the few functions whose names differ."""
     text = re.sub(r"\bsha256\(([^()]*(?:\([^()]*(?:\([^()]*\)[^()]*)*\)[^()]*)*)\)", r"sha2(\1, 256)", text)
+    text = text.replace("unnest(generate_series(", "explode(sequence(")
     return re.sub(r'"([^"]+)"', r"`\1`", text)
 
 

@@ -87,6 +87,42 @@ def _(t):
     return tb.append_new(rows.filter("o_orderpriority = '1-URGENT'"), rows.filter("o_orderstatus = 'P'"), ["o_custkey"]).select("o_custkey", "seq")
 
 
+#: What lands after the bars are stored: two versions of each late bar, and a code that is new.
+LATE = """late AS (
+    SELECT code, trade_date, close * 2 AS close, cast(1 AS bigint) AS seq FROM bars WHERE trade_date >= DATE '1998-06-01'
+    UNION ALL SELECT code, trade_date, close * 3, cast(2 AS bigint) FROM bars WHERE trade_date >= DATE '1998-09-01'
+    UNION ALL SELECT 'new', trade_date, max(close), cast(1 AS bigint) FROM bars WHERE trade_date >= DATE '1998-06-01' GROUP BY trade_date)"""
+
+
+def stored_and_late(t: Inputs):
+    """All bars but the last codes' in month partitions, and the rows that land later."""
+    month = F.date_format("trade_date", "yyyy-MM").alias("month")
+    bars = t.bars.select("code", "trade_date", "close", F.lit(0).cast("long").alias("seq"), month)
+    root = scratch_folder(t.spark, "monthly")
+    tb.upsert_into(bars.filter("code > '000003'"), root, ["code", "trade_date"], "month")
+    return root, t.sql(["bars"], f", {LATE} SELECT * FROM late").select("code", "trade_date", "close", "seq", month)
+
+
+@query("upsert_stored", "bars", oracle=f"""WITH {LATE}, rows_ AS (
+        SELECT code, trade_date, close, cast(0 AS bigint) AS seq FROM bars WHERE code > '000003' UNION ALL SELECT * FROM late)
+    SELECT code, trade_date, round(close, 6) AS close, seq FROM rows_
+    QUALIFY row_number() OVER (PARTITION BY code, trade_date ORDER BY seq DESC) = 1""")
+def _(t):
+    root, late = stored_and_late(t)
+    tb.upsert_into(late, root, ["code", "trade_date"], "month")
+    return t.spark.read.schema(late.schema).parquet(root).select("code", "trade_date", F.round("close", 6).alias("close"), "seq")
+
+
+@query("append_stored", "bars", oracle=f"""WITH {LATE}, rows_ AS (
+        SELECT code, trade_date, close, cast(0 AS bigint) AS seq FROM bars WHERE code > '000003' UNION ALL SELECT * FROM late)
+    SELECT code, trade_date, round(close, 6) AS close, seq FROM rows_
+    QUALIFY row_number() OVER (PARTITION BY code, trade_date ORDER BY seq) = 1""")
+def _(t):
+    root, late = stored_and_late(t)
+    tb.append_into(late, root, ["code", "trade_date"], "month")
+    return t.spark.read.schema(late.schema).parquet(root).select("code", "trade_date", F.round("close", 6).alias("close"), "seq")
+
+
 def stored_model(condition: str = "true") -> str:
     """SQL of the fingerprint of the identifiers and names of the lifecycle model."""
     return parts.model_fingerprint({
