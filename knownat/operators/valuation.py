@@ -231,58 +231,115 @@ def compare(nav: DataFrame, benchmark: DataFrame, indices: DataFrame) -> DataFra
     )
 
 
+def price_states(bars: DataFrame, splits: DataFrame | None, dates: cal.DateList) -> DataFrame:
+    """State of each code at every session from its first bar or split on, in one pass over the bars.
+
+    ``(code, date, open, close, factor, bad_splits)``: the open of that very day, the last valid close that no later split has
+    made stale, the product of all split ratios so far, and the number of splits so far that were published after 09:00 Seoul
+    on their day or whose day has not exactly one bar with valid prices.  Of repeated bars of a day the highest prices count.
+    """
+    valid = {c: F.when(finite(F.col(c)) & (F.col(c) > 0), F.col(c).cast("double")) for c in ("open", "close")}
+    facts = bars.select("code", F.col("trade_date").alias("_on"), F.lit(1).alias("_bar"), valid["open"].alias("open"),
+                        valid["close"].alias("close"))
+    empty = {"_ratio": "double", "_late": "boolean"}
+    facts = facts.select("*", *[F.lit(None).cast(kind).alias(c) for c, kind in empty.items()])
+    if splits is not None:
+        late = F.col("published_at") > cal.at_seoul(F.col("effective_date"), cal.OPEN_TIME)
+        facts = facts.unionByName(splits.select(
+            "code", F.col("effective_date").alias("_on"), F.col("ratio").cast("double").alias("_ratio"), late.alias("_late"),
+        ), allowMissingColumns=True)
+    days = facts.groupBy("code", "_on").agg(
+        F.count("_bar").alias("_bars"), F.max("open").alias("open"), F.max("close").alias("close"),
+        F.product("_ratio").alias("_ratio"), F.bool_or("_late").alias("_late"))
+    sound = (F.col("_bars") == 1) & F.col("open").isNotNull() & F.col("close").isNotNull() & ~F.col("_late")
+    marked = days.withColumns({
+        "_bad": F.when(F.col("_ratio").isNotNull(), (~sound).cast("int")).otherwise(0),
+        "_split": F.when(F.col("_ratio").isNotNull(), F.col("_on")),
+        "_priced": F.when(F.col("close").isNotNull(), F.col("_on")),
+    })
+    # Days between sessions count for the session after them.
+    placed = dates.with_next_no(marked, F.col("_on"), "_from_no").filter(F.col("_from_no") <= dates.count)
+    steps = placed.groupBy("code", "_from_no").agg(
+        F.max_by("open", "_on").alias("open"), F.max("_on").alias("_opened"), F.max_by("close", "_priced").alias("close"),
+        F.max("_priced").alias("_priced"), F.max("_split").alias("_split"), F.product("_ratio").alias("_ratio"), F.sum("_bad").alias("_bad"))
+    so_far = Window.partitionBy("code").orderBy("_from_no").rowsBetween(Window.unboundedPreceding, 0)
+    last = {c: F.last(c, ignorenulls=True).over(so_far) for c in ("close", "_priced", "_split")}
+    states = steps.select(
+        "code", "_from_no", "open", "_opened",
+        F.when(last["_split"].isNull() | (last["_priced"] >= last["_split"]), last["close"]).alias("close"),
+        F.coalesce(F.product("_ratio").over(so_far), F.lit(1.0)).alias("factor"), F.sum("_bad").over(so_far).alias("bad_splits"))
+    return dates.carry_forward(states, ["code"], "_from_no", "date").select(
+        "code", "date", F.when(F.col("_opened") == F.col("date"), F.col("open")).alias("open"), "close", "factor", "bad_splits")
+
+
+def equal_weight_runs(
+    universe: DataFrame, bars: DataFrame, schedule: DataFrame, sessions: DataFrame, initial: float, splits: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Zero-cost equal-weight indices of many weekly universes at once, and the weeks that block them.
+
+    ``universe`` (portfolio, signal_date, code); ``splits`` validated events.  A run goes from a portfolio's first week to its last
+    one: ``(portfolio, date, equity)``.  Value at an execution multiplies by the mean open-to-open growth of the names held; between
+    executions by the mean of close over entry open, the last valid close being carried.  A split inside a holding week multiplies
+    the quantity from its day on, and no close is carried across it.  A run stops before the first day on which a name to be bought
+    or sold has no open, a split of a held name is unusable, or a week is left out.  A day on which a name has no price has no value.
+    ``blocked`` (portfolio, signal_date, execution_date, missing_opens, bad_splits, left_out) counts names, whether or not the run
+    still went on then.
+    """
+    dates = cal.DateList.of(sessions, "session_date")
+    weeks = schedule.withColumn("next_execution", F.lead("execution_date").over(Window.orderBy("signal_date")))
+    held = universe.select("portfolio", "signal_date", "code").distinct().join(
+        weeks.select("signal_date", "execution_date", "next_execution"), "signal_date")
+    # The day of the next execution closes the week as well.
+    daily = cal.expand_intervals(held, F.col("execution_date"), F.date_add("next_execution", 1), dates, "date")
+    week = ["portfolio", "signal_date"]
+    span = Window.partitionBy(*week, "code")
+    entering, leaving = F.col("date") == F.col("execution_date"), F.coalesce(F.col("date") == F.col("next_execution"), F.lit(False))
+
+    def at_entry(column: str):
+        return F.max(F.when(entering, F.col(column))).over(span)
+
+    priced = daily.join(price_states(bars, splits, dates), ["code", "date"], "left").withColumns({
+        "_entry": at_entry("open"), "_factor": F.col("factor") / at_entry("factor"),
+        "_bad": F.coalesce(F.col("bad_splits"), F.lit(0)) > F.coalesce(at_entry("bad_splits"), F.lit(0)),
+    })
+    worth = F.when(leaving, F.col("open")).otherwise(F.col("close")) * F.col("_factor") / F.col("_entry")
+    rows = priced.groupBy(*week, "execution_date", "date", entering.alias("_enters"), leaving.alias("_leaves")).agg(
+        F.avg(worth).alias("_move"), F.count_if(worth.isNull()).alias("_unpriced"),
+        F.count_if((entering | leaving) & F.col("open").isNull()).alias("_no_open"), F.count_if("_bad").alias("_bad"))
+    # One row per portfolio and session, and one more per week: the closing day stands before the entry of the same day.
+    order = Window.partitionBy("portfolio").orderBy("date", "signal_date")
+    before, upto = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+    ends = F.col("_leaves") & ~F.coalesce(F.lead("date").over(order) == F.col("date"), F.lit(False))
+    chain = rows.withColumns({
+        "_left_out": F.col("_enters") & F.coalesce(F.lag("date").over(order) < F.col("date"), F.lit(False)), "_ends": ends,
+        "_level": F.exp(F.coalesce(F.sum(F.when(F.col("_leaves"), F.ln("_move"))).over(before), F.lit(0.0))) * float(initial),
+    })
+    chain = chain.withColumns({c: F.when(F.col("_ends"), 0).otherwise(F.col(c)) for c in ("_no_open", "_bad")})
+    stopped = F.sum(F.col("_no_open") + F.col("_bad") + F.col("_left_out").cast("int")).over(upto)
+    index = chain.withColumn("_stopped", stopped).filter("_stopped = 0 AND _unpriced = 0 AND NOT _leaves").select(
+        "portfolio", "date", (F.col("_level") * F.col("_move")).alias("equity"))
+    blocked = chain.groupBy(*week, "execution_date").agg(
+        F.sum("_no_open").alias("missing_opens"), F.max("_bad").alias("bad_splits"), F.bool_or("_left_out").alias("left_out"),
+    ).filter("missing_opens > 0 OR bad_splits > 0 OR left_out")
+    return index, blocked
+
+
 def equal_weight_index(
-    universe: DataFrame, bars: DataFrame, schedule: DataFrame, sessions: DataFrame, initial: float, start: str
+    universe: DataFrame, bars: DataFrame, schedule: DataFrame, sessions: DataFrame, initial: float, start: str,
+    splits: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Zero-cost equal-weight index of the weekly universe: ``(date, equity)`` and the weeks that block it.
+    """The run of one universe: ``(date, equity)`` with an opening row at ``start``, and the weeks that block it.
 
-    Value at an execution multiplies by the mean open-to-open growth of the names held;
-    between executions by the mean of close over entry open, the last valid close being carried.  A missing open stops the index
-    there; a day on which a name has no price yet has no value.
+    See ``equal_weight_runs``, whose rules hold.
     """
-    weeks = schedule.withColumn("next_execution", F.lead("execution_date").over(Window.orderBy("signal_date")))
-    opens = bars.filter("open > 0").select("code", "trade_date", "open")
-    held = universe.select("signal_date", "code").join(weeks, "signal_date")
-    held = held.join(
-        opens.withColumnsRenamed({"trade_date": "execution_date", "open": "entry"}), ["code", "execution_date"], "left"
-    ).join(
-        opens.withColumnsRenamed({"trade_date": "next_execution", "open": "exit"}), ["code", "next_execution"], "left"
-    )
-    growth = held.groupBy("signal_date", "execution_date", "next_execution").agg(
-        F.avg(F.col("exit") / F.col("entry")).alias("_growth"),
-        F.count_if(F.col("entry").isNull()).alias("_no_entry"),
-        F.count_if(F.col("exit").isNull() & F.col("next_execution").isNotNull()).alias("_no_exit"),
-    )
-    order = Window.orderBy("signal_date")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    chain = growth.withColumns(
-        {
-            "_level": F.exp(F.coalesce(F.sum(F.ln("_growth")).over(before), F.lit(0.0))) * initial,
-            "_broken": F.coalesce(F.sum(F.col("_no_entry") + F.col("_no_exit")).over(before), F.lit(0)) + F.col("_no_entry"),
-        }
-    )
-    live = chain.filter("_broken = 0").select("signal_date", "_level")
-    dates = cal.DateList.of(sessions, "session_date")
-    daily = cal.expand_intervals(held, F.col("execution_date"), F.col("next_execution"), dates, "date")
-    closes = bars.filter("close > 0").select("code", F.col("trade_date").alias("date"), "close")
-    seeds = carried_closes(bars, cal.DateList(schedule, "signal_date")).select(
-        "code", F.col("date").alias("signal_date"), F.col("close").alias("_seed"))
-    path = Window.partitionBy("signal_date", "code").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    valued = (
-        daily.join(closes, ["code", "date"], "left")
-        .join(seeds, ["code", "signal_date"], "left")
-        .withColumn("_price", F.coalesce(F.last("close", ignorenulls=True).over(path), "_seed"))
-        .groupBy("signal_date", "date")
-        .agg(F.avg(F.col("_price") / F.col("entry")).alias("_move"), F.count_if(F.col("_price").isNull()).alias("_unpriced"))
-        .filter("_unpriced = 0")
-        .join(live, "signal_date")
-        .select("date", (F.col("_level") * F.col("_move")).alias("equity"))
-    )
-    opening = schedule.agg(F.lit(start).cast("date").alias("date"), F.lit(float(initial)).alias("equity"))
-    blocked = chain.filter("_no_entry + _no_exit > 0").select(
-        "signal_date", "execution_date", (F.col("_no_entry") + F.col("_no_exit")).alias("missing_opens")
-    )
-    return valued.unionByName(opening.join(valued.select("date"), "date", "left_anti")), blocked
+    named = universe.select(F.lit("").alias("portfolio"), "signal_date", "code")
+    valued, blocked = equal_weight_runs(named, bars, schedule, sessions, initial, splits)
+    first = F.lit(start).cast("date")
+    opening = valued.sparkSession.range(1).select(first.alias("date"), F.lit(float(initial)).alias("equity"))
+    # A value of the starting day itself takes the place of the opening row.
+    rows = valued.select("date", "equity", F.lit(1).alias("_own")).unionByName(opening.withColumn("_own", F.lit(0)))
+    index = rows.groupBy("date").agg(F.max_by("equity", "_own").alias("equity"))
+    return index, blocked.drop("portfolio")
 
 
 def official_metrics(metrics: DataFrame, readiness: DataFrame, research: bool = False) -> DataFrame:

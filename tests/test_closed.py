@@ -106,3 +106,49 @@ def test_an_index_needs_a_price_of_every_name(spark):
 
     assert values() == {1: 100.0, 7: 250.0, 8: 250.0}
     assert values([("b", D(2025, 1, 2), 1.0, 40.0)]) == {1: 100.0, 6: 300.0, 7: 250.0, 8: 250.0}
+
+
+def test_runs_convert_at_splits_and_stop_at_unsound_days(spark):
+    """Three weeks of one name a run: a split inside a week, a late one, one without a bar, a week left out, an open that lacks."""
+    days = [D(2025, 1, d) for d in (3, 6, 7, 8, 10, 13, 14, 17, 20, 21)]
+    weeks = [(days[0], days[1]), (days[4], days[5]), (days[7], days[8])]
+    schedule = spark.createDataFrame(weeks, "signal_date date, execution_date date")
+    sessions = spark.createDataFrame([(d,) for d in days], "session_date date")
+    held = [(p, week[0], p[0]) for p in ("a", "b", "c", "d", "e") for week in weeks] + [("a out", weeks[0][0], "a"), ("a out", weeks[2][0], "a")]
+    universe = spark.createDataFrame(held, "portfolio string, signal_date date, code string")
+    # A split of two on the 7th halves prices; the 8th has no bar, and d has none on the day of its split.
+    rows = [(c, d, 10.0 if d < days[2] else 5.0, 12.0 if d < days[2] else 6.0) for c in "abcde" for d in days
+            if d != days[3] and (c, d) != ("d", days[2]) and (c, d) != ("e", days[5])]
+    bars = spark.createDataFrame(rows, "code string, trade_date date, open double, close double")
+    public = {"a": 1, "b": 7, "d": 1, "e": 1}
+    splits = spark.createDataFrame([(c, days[2], dt.datetime(2025, 1, n, 1), 2.0) for c, n in public.items()],
+                                   "code string, effective_date date, published_at timestamp, ratio double")
+    index, blocked = va.equal_weight_runs(universe, bars, schedule, sessions, 100.0, splits)
+    found = {}
+    for row in index.orderBy("portfolio", "date").collect():
+        found.setdefault(row["portfolio"], {})[row["date"].day] = round(row["equity"], 9)
+    assert found["a"] == {d.day: 120.0 for d in days[1:]}
+    assert found["a out"] == {d.day: 120.0 for d in days[1:5]}
+    assert found["b"] == {6: 120.0} and found["d"] == {6: 120.0}
+    # Without an event the fall of the price is a loss, which the next weeks carry on.
+    assert found["c"] == {6: 120.0} | {d.day: 60.0 for d in days[2:]}
+    assert found["e"] == {d.day: 120.0 for d in days[1:5]}
+    reasons = {(r["portfolio"], r["signal_date"].day): (r["missing_opens"], r["bad_splits"], r["left_out"]) for r in blocked.collect()}
+    assert reasons == {("a out", 17): (0, 0, True), ("b", 3): (0, 1, False), ("d", 3): (0, 1, False), ("e", 3): (1, 0, False),
+                       ("e", 10): (1, 0, False)}
+
+
+def test_no_close_is_carried_across_a_split(spark):
+    days = [D(2025, 1, d) for d in (3, 6, 7, 8)]
+    schedule = spark.createDataFrame([(days[0], days[1])], "signal_date date, execution_date date")
+    sessions = spark.createDataFrame([(d,) for d in days], "session_date date")
+    universe = spark.createDataFrame([("p", days[0], "a")], "portfolio string, signal_date date, code string")
+    bars = spark.createDataFrame([("a", days[0], 10.0, 10.0), ("a", days[1], 5.0, None), ("a", days[2], 5.0, 6.0)],
+                                 "code string, trade_date date, open double, close double")
+    split = spark.createDataFrame([("a", days[1], dt.datetime(2025, 1, 2), 2.0)],
+                                  "code string, effective_date date, published_at timestamp, ratio double")
+    # The split is on the day of entry: what is bought then is in new units already, only the old close is stale.
+    index, blocked = va.equal_weight_runs(universe, bars, schedule, sessions, 100.0, split)
+    assert {r["date"].day: r["equity"] for r in index.collect()} == {7: 120.0, 8: 120.0} and blocked.count() == 0
+    empty = va.equal_weight_runs(universe.limit(0), bars.limit(0), schedule, sessions, 100.0, split.limit(0))
+    assert empty[0].count() == 0 and empty[1].count() == 0

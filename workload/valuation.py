@@ -374,4 +374,80 @@ def _(t):
     LEFT JOIN bars n ON n.code = c.code AND n.trade_date = w.next_execution
     GROUP BY w.signal_date, w.execution_date HAVING missing_opens > 0""")
 def _(t):
-    return va.equal_weight_index(rk.candidate_universe(t.snapshots), t.bars, schedule(t), sessions(t), 1e7, "1995-01-01")[1]
+    blocked = va.equal_weight_index(rk.candidate_universe(t.snapshots), t.bars, schedule(t), sessions(t), 1e7, "1995-01-01")[1]
+    return blocked.filter("missing_opens > 0").select("signal_date", "execution_date", "missing_opens")
+
+
+# Quarterly runs of each sector and of each name on the bars as they are, so that runs stop, carry prices and meet splits.
+RUNS = f"""{parts.SCHEDULE}, {parts.CANDIDATES},
+wk AS (SELECT *, lead(execution_date) OVER (ORDER BY signal_date) AS next_execution FROM sched),
+u AS MATERIALIZED (
+    SELECT unnest([sector, code]) || ' ' || year(signal_date) || ' ' || quarter(signal_date) AS portfolio, signal_date, code FROM candidates),
+pw AS MATERIALIZED (
+    SELECT *, coalesce(lead(execution_date) OVER w = next_execution, false) AS goes_on,
+           coalesce(lag(next_execution) OVER w < execution_date, false) AS left_out
+    FROM (SELECT DISTINCT portfolio, signal_date FROM u) JOIN wk USING (signal_date)
+    WINDOW w AS (PARTITION BY portfolio ORDER BY signal_date)),
+h AS MATERIALIZED (
+    SELECT pw.*, u.code, o.open AS entry, x.open AS leave
+    FROM pw JOIN u USING (portfolio, signal_date)
+    LEFT JOIN bars o ON o.code = u.code AND o.trade_date = pw.execution_date
+    LEFT JOIN bars x ON x.code = u.code AND x.trade_date = pw.next_execution),
+e AS MATERIALIZED (
+    SELECT v.code, v.effective_date, v.ratio,
+           b.code IS NULL OR cast(replace(left(v.published_at, 19), 'T', ' ') AS timestamp)
+                             > cast(v.effective_date AS timestamp) + INTERVAL 9 HOUR AS bad
+    FROM split_events v LEFT JOIN bars b ON b.code = v.code AND b.trade_date = v.effective_date),
+days AS MATERIALIZED (
+    SELECT h.*, d.session_date AS date, coalesce(d.session_date = h.next_execution, false) AS leaves
+    FROM h JOIN session_days d ON d.session_date >= h.execution_date AND (h.next_execution IS NULL OR d.session_date <= h.next_execution)),
+closes AS (
+    SELECT g.code, g.date, b.close, b.trade_date AS price_date
+    FROM (SELECT DISTINCT code, date FROM days) g ASOF JOIN bars b ON b.code = g.code AND g.date >= b.trade_date),
+split_days AS (
+    SELECT g.code, g.date, e.effective_date
+    FROM (SELECT DISTINCT code, date FROM days) g ASOF JOIN e ON e.code = g.code AND g.date >= e.effective_date),
+inside AS (
+    SELECT g.code, g.execution_date, g.date, product(cast(e.ratio AS double)) AS factor, bool_or(e.bad) AS bad
+    FROM (SELECT DISTINCT code, execution_date, date FROM days) g
+    JOIN e ON e.code = g.code AND e.effective_date > g.execution_date AND e.effective_date <= g.date GROUP BY ALL),
+moves AS (
+    SELECT days.*, coalesce(i.bad, false) AS bad, coalesce(i.factor, 1) / entry
+           * CASE WHEN leaves THEN leave WHEN s.effective_date IS NULL OR c.price_date >= s.effective_date THEN c.close END AS move
+    FROM days LEFT JOIN closes c USING (code, date) LEFT JOIN split_days s USING (code, date)
+         LEFT JOIN inside i USING (code, execution_date, date)),
+steps AS MATERIALIZED (
+    SELECT portfolio, signal_date, execution_date, date, leaves, goes_on, left_out, avg(move) AS move,
+           count(*) FILTER (move IS NULL) AS unpriced,
+           count(*) FILTER (date = execution_date AND entry IS NULL OR leaves AND goes_on AND leave IS NULL) AS no_open,
+           count(*) FILTER (bad AND (goes_on OR NOT leaves)) AS bad
+    FROM moves GROUP BY ALL),
+stops AS (SELECT portfolio, min(date) AS stop FROM steps WHERE no_open > 0 OR bad > 0 OR left_out GROUP BY portfolio),
+levels AS (
+    SELECT portfolio, signal_date, 1e7 * exp(coalesce(sum(ln(move)) OVER (
+               PARTITION BY portfolio ORDER BY signal_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
+    FROM (SELECT portfolio, signal_date, max(move) FILTER (leaves) AS move FROM steps GROUP BY portfolio, signal_date))"""
+RUN_TABLES = ["session_days", "snapshots", "bars", "split_events"]
+
+
+def quarterly_runs(t: Inputs):
+    names = rk.candidate_universe(t.snapshots)
+    quarter = F.concat_ws(" ", F.lit(""), F.year("signal_date"), F.quarter("signal_date"))
+    universe = names.select("signal_date", "code", F.explode(F.array("sector", "code")).alias("_of")).select(
+        F.concat("_of", quarter).alias("portfolio"), "signal_date", "code")
+    return va.equal_weight_runs(universe, t.bars, schedule(t), sessions(t), 1e7, timed_events(t))
+
+
+@query("equal_weight_runs", *RUN_TABLES, oracle=f"""WITH {RUNS}
+    SELECT portfolio, date, round(level * move, 2) AS equity FROM steps JOIN levels USING (portfolio, signal_date)
+    LEFT JOIN stops USING (portfolio) WHERE NOT leaves AND unpriced = 0 AND (stop IS NULL OR date < stop)""")
+def _(t):
+    return quarterly_runs(t)[0].withColumn("equity", F.round("equity", 2))
+
+
+@query("equal_weight_runs_blocked", *RUN_TABLES, oracle=f"""WITH {RUNS}
+    SELECT portfolio, signal_date, execution_date, cast(sum(no_open) AS bigint) AS missing_opens, max(bad) AS bad_splits,
+           bool_or(left_out) AS left_out
+    FROM steps GROUP BY portfolio, signal_date, execution_date HAVING sum(no_open) > 0 OR max(bad) > 0 OR bool_or(left_out)""")
+def _(t):
+    return quarterly_runs(t)[1]
