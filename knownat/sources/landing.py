@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import csv
 import gzip
 import hashlib
-import io
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,10 +19,14 @@ SECRET_KEYS = ["servicekey", "service_key", "authorization", "api_key", "apikey"
 URL_KEYS = ["url", "source_url", "request_url"]
 ENCODINGS = ["utf-8-sig", "cp949"]
 
-FILE_ROWS = T.StructType([
-    T.StructField("path", T.StringType()), T.StructField("source_row_number", T.LongType()),
-    T.StructField("values", T.MapType(T.StringType(), T.StringType())), T.StructField("rule_id", T.StringType()),
-])
+#: Characters of a piece of a decoded file, after which the next record begins another piece.
+PIECE = 1 << 20
+PIECES = "path string, digest string, piece int, header string, first_row long, records array<string>, rule_id string"
+# A field in quotes (they open at the start of a field only, and may hold line ends), or a line end.
+MARKS = re.compile(r'(?<![^,\r\n])"[^"]*(?:""[^"]*)*(?:"|\Z)|\r\n|\n|\r')
+# The same in the JVM's spelling: fields of a record that is followed by a comma, and the quoted part of a field.
+FIELD = r'("[^"]*+(?:""[^"]*+)*+"[^,]*+|[^,]*+),'
+QUOTED = r'^"([^"]*+(?:""[^"]*+)*+)"'
 
 
 def read_landing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -86,58 +89,96 @@ def verify_archive(files: DataFrame) -> DataFrame:
     )
 
 
-def _decode_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of each CSV file; a file that cannot be used gives one row with the reason."""
+def _text(body: bytes) -> tuple[str, str | None]:
+    """Decoded text and, where it cannot be used, the reason."""
+    if not body:
+        return "", "empty_file"
+    for encoding in ENCODINGS:
+        try:
+            text = body.decode(encoding)
+        except UnicodeDecodeError:
+            continue
+        return text, "html_response" if text.lstrip()[:9].lower().startswith(("<html", "<!doctype")) else None
+    return "", "unknown_encoding"
+
+
+def _records(text: str) -> Iterator[str]:
+    """Records of a text: line ends inside quoted fields do not end one."""
+    start = 0
+    for mark in MARKS.finditer(text):
+        if text[mark.start()] != '"':
+            yield text[start:mark.start()]
+            start = mark.end()
+    yield text[start:]
+
+
+def _cut_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pieces of about ``PIECE`` characters, each with the file's header and its place; one empty piece of a file without rows."""
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
-            rows, rule = [], None
-            body = bytes(content)
-            text = None
-            for encoding in ENCODINGS:
-                try:
-                    text = body.decode(encoding)
-                    break
-                except UnicodeDecodeError:
+            body = b"" if content is None else bytes(content)
+            text, rule = _text(body)
+            name = (path, hashlib.sha256(body).hexdigest())
+            records = _records(text)
+            header, piece, first, held, size = next(records), 0, 1, [], 0
+            for record in records:
+                if not record:
                     continue
-            if not body:
-                rule = "empty_file"
-            elif text is None:
-                rule = "unknown_encoding"
-            elif text.lstrip().lower().startswith(("<html", "<!doctype")):
-                rule = "html_response"
-            else:
-                reader = csv.reader(io.StringIO(text))
-                header = next(reader, [])
-                body_rows = [row for row in reader if row]
-                if len(header) < 2:
-                    rule = "too_few_columns"
-                elif not body_rows:
-                    rule = "no_rows"
-                elif any(len(row) != len(header) for row in body_rows):
-                    rule = "ragged_row"
-                else:
-                    rows = [dict(zip(header, row)) for row in body_rows]
-            if rule:
-                yield pd.DataFrame({"path": [path], "source_row_number": [None], "values": [None], "rule_id": [rule]})
-            else:
-                yield pd.DataFrame({"path": path, "source_row_number": range(1, len(rows) + 1), "values": rows, "rule_id": None})
-
-
-def decode_files(files: DataFrame) -> DataFrame:
-    """Rows of CSV files as maps of texts, and one row with its ``rule_id`` per file that cannot be used."""
-    return files.select("path", "content").mapInPandas(_decode_files, FILE_ROWS)
+                held.append(record)
+                size += len(record)
+                if size >= PIECE:
+                    yield pd.DataFrame([(*name, piece, header, first, held, rule)], columns=PIECE_COLUMNS)
+                    piece, first, held, size = piece + 1, first + len(held), [], 0
+            if held or not piece:
+                yield pd.DataFrame([(*name, piece, header, first, held, rule)], columns=PIECE_COLUMNS)
+
+
+PIECE_COLUMNS = [c.split()[0] for c in PIECES.split(", ")]
+
+
+def _fields(record: Column) -> Column:
+    """Fields of a CSV record without their quotes; a quote that never closes is a character like others."""
+    found = F.regexp_extract_all(F.concat(record, F.lit(",")), F.lit(FIELD), F.lit(1))
+    return F.transform(found, lambda f: F.when(f.startswith('"'), F.concat(
+        F.replace(F.regexp_extract(f, QUOTED, 1), F.lit('""'), F.lit('"')), F.regexp_replace(f, QUOTED, ""))).otherwise(f))
+
+
+def decode_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows ``(path, source_row_number, header, fields)`` of CSV files, and ``(path, rule_id)`` of files that cannot be used.
+
+    Python only decodes bytes (Spark does not know CP949) and cuts texts between records.  The pieces are dealt to all tasks, which
+    split them into fields and count rows and widths; a large file is many tasks' work, and its verdict is a sum over its pieces.
+    Empty lines do not count.  A null content is an empty file; copies of one file under one path give its rows as often.
+    """
+    keys = ["path", "digest", "piece"]
+    pieces = files.select("path", "content").mapInPandas(_cut_files, PIECES).repartition(*keys)
+    lines = pieces.select(*keys, "rule_id", _fields(F.col("header")).alias("header"), "first_row",
+                          F.posexplode_outer("records").alias("_at", "_record")).select(
+        *keys, "rule_id", "header", (F.col("first_row") + F.col("_at")).alias("source_row_number"), _fields(F.col("_record")).alias("fields"))
+    counts = lines.groupBy(*keys).agg(
+        F.max("rule_id").alias("_broken"), F.max(F.size("header")).alias("_width"), F.count("fields").alias("_rows"),
+        F.count_if(F.size("fields") != F.size("header")).alias("_ragged"))
+    file = Window.partitionBy("path", "digest")
+    judged = counts.select(*keys, F.coalesce(
+        "_broken", F.when(F.col("_width") < 2, "too_few_columns"), F.when(F.sum("_rows").over(file) == 0, "no_rows"),
+        F.when(F.sum("_ragged").over(file) > 0, "ragged_row")).alias("_rule"))
+    rows = lines.join(judged.filter("_rule IS NULL").select(*keys), keys).select("path", "source_row_number", "header", "fields")
+    unusable = judged.filter("_rule IS NOT NULL").groupBy("path", "digest").agg(F.max("_rule").alias("rule_id"))
+    return rows, unusable.select("path", "rule_id")
 
 
 def read_official_csv(files: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """Text rows of official CSV files (UTF-8 with or without mark, then CP949) and findings per unusable file.
 
-    Files are decoded where they lie, one at a time: Spark's reader does not know CP949.
+    Of columns with one name the last counts; a column that the file lacks is null.
     """
-    decoded = decode_files(files)
-    rows = decoded.filter("rule_id IS NULL").select(
-        "path", "source_row_number", *[F.element_at("values", F.lit(c)).alias(c) for c in columns]
-    )
-    return rows, decoded.filter("rule_id IS NOT NULL").select("path", "rule_id")
+    decoded, unusable = decode_files(files)
+
+    def value(column: str) -> Column:
+        place = F.array_position(F.reverse("header"), F.lit(column))
+        return F.when(place > 0, F.get("fields", (F.size("header") - place).cast("int")))
+
+    return decoded.select("path", "source_row_number", *[value(c).alias(c) for c in columns]), unusable
 
 
 def read_paged_json(pages: DataFrame, columns: list[str], content: str = "content") -> tuple[DataFrame, DataFrame]:

@@ -82,8 +82,9 @@ def file_columns(files: DataFrame) -> DataFrame:
     pages = files.filter("path LIKE '%.json'").withColumn("_text", text).select(
         "path", F.sort_array(first).alias("columns"),
         F.when(F.get_json_object("_text", "$.pages").isNull(), "unreadable_envelope").alias("rule_id"))
-    decoded = la.decode_files(files.filter("path LIKE '%.csv'")).filter("source_row_number = 1 OR rule_id IS NOT NULL").select(
-        "path", F.sort_array(F.map_keys("values")).alias("columns"), "rule_id")
+    rows, unusable = la.decode_files(files.filter("path LIKE '%.csv'"))
+    decoded = rows.filter("source_row_number = 1").select("path", F.sort_array(F.array_distinct("header")).alias("columns")).unionByName(
+        unusable, allowMissingColumns=True)
     other = files.filter("path NOT LIKE '%.json' AND path NOT LIKE '%.csv'").select(
         "path", F.lit(None).cast("array<string>").alias("columns"), F.lit("unknown_format").alias("rule_id"))
     return pages.unionByName(decoded).unionByName(other)

@@ -1,7 +1,9 @@
 """Files, published tables and streaming ingest, in a temporary folder."""
 
+import csv
 import gzip
 import hashlib
+import io
 
 import pytest
 from pyspark.sql import functions as F
@@ -26,6 +28,35 @@ def test_csv_in_both_encodings_and_unusable_files(spark, tmp_path):
     assert {(r["path"][-5], r["rule_id"]) for r in bad.collect()} == {("c", "html_response"), ("d", "ragged_row"), ("e", "unknown_encoding")}
 
 
+def test_csv_pieces_equal_a_plain_reader(spark):
+    """Records with quoted commas, quotes and line ends, blank lines and repeated headers; a long file is cut into many pieces."""
+    rows = [[str(i), f'say "{i}", twice\r\nor\nmore' if i % 3 else "", f"x{i}", f'mid"{i}'] for i in range(60_000)]
+    out = io.StringIO()
+    csv.writer(out).writerows([["id", "note", "same", "same"], *rows])
+    body = out.getvalue().replace("\r\n7,", "\r\n\r\n7,")
+    bare = 'a,b\n1,x"y\n2,"z"w\n\n'
+    contents = {"long": body.encode("cp949"), "bare": bare.encode(), "late": (body + "one,two\r\n").encode(), "none": b"a,b\n\n",
+                "thin": b"a\n1\n", "void": None, "blank": b""}
+    files = spark.createDataFrame(list(contents.items()), "path string, content binary")
+    # Three pieces are little: adaptive execution would put them together again or broadcast them.
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert la.decode_files(files)[0].filter("path = 'long'").select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    got, bad = la.read_official_csv(files, ["id", "note", "same", "lacking"])
+    expected = [tuple(r) for r in list(csv.reader(io.StringIO(body)))[1:] if r]
+    found = {r["source_row_number"]: (r["id"], r["note"], r["same"], r["lacking"]) for r in got.filter("path = 'long'").collect()}
+    assert found == {n: (r[0], r[1], r[3], None) for n, r in enumerate(expected, 1)}
+    two, _ = la.read_official_csv(files.filter("path = 'bare'"), ["a", "b"])
+    assert sorted((r["a"], r["b"]) for r in two.collect()) == [("1", 'x"y'), ("2", "zw")]
+    assert {r["path"]: r["rule_id"] for r in bad.collect()} == {
+        "late": "ragged_row", "none": "no_rows", "thin": "too_few_columns", "void": "empty_file", "blank": "empty_file"}
+    assert la.decode_files(files.limit(0))[0].count() == 0
+
+
 def test_archive_names_are_checked_against_unpacked_content(spark, tmp_path):
     good = b"payload"
     digest = hashlib.sha256(good).hexdigest()

@@ -246,27 +246,28 @@ CODE_949 = bytes.fromhex("c1beb8f1c4dab5e5")
 
 
 def order_files(t: Inputs):
-    """One file of orders per customer: plain, marked, in code page 949, ragged, or an error page."""
+    """A file of orders per customer and ten thousand order keys: plain, marked, in code page 949, ragged, or an error page."""
     line = F.concat_ws(",", F.col("o_orderkey").cast("string"), F.concat(F.lit('"'), F.col("o_orderpriority"), F.lit('"')))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line")))), lambda x: x["line"]), "\r\n")
-    text = t.orders.groupBy("o_custkey").agg(lines.alias("lines"))
+    text = t.orders.groupBy("o_custkey", F.floor(F.col("o_orderkey") / 10_000).alias("block")).agg(lines.alias("lines"))
     kind = F.col("o_custkey") % 5
     body = F.encode(F.concat(F.lit(",note\r\n"), F.col("lines"), F.when(kind == 3, "\r\nx").otherwise("")), "UTF-8")
     head = F.when(kind == 1, F.lit(CODE_949)).when(kind == 2, F.encode(F.lit("\ufeff종목코드"), "UTF-8")).otherwise(
         F.encode(F.lit("종목코드"), "UTF-8"))
     content = F.when(kind == 0, F.encode(F.lit("<html>busy</html>"), "UTF-8")).otherwise(F.concat(head, body))
-    return text.select(F.col("o_custkey").cast("string").alias("path"), content.alias("content"))
+    return text.select(F.concat_ws("-", F.col("o_custkey").cast("string"), F.col("block").cast("string")).alias("path"), content.alias("content"))
 
 
 @query("read_official_csv", "orders", oracle="""
-    SELECT cast(o_custkey AS varchar) AS path, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS source_row_number,
+    SELECT o_custkey || '-' || o_orderkey // 10000 AS path,
+           row_number() OVER (PARTITION BY o_custkey, o_orderkey // 10000 ORDER BY o_orderkey) AS source_row_number,
            cast(o_orderkey AS varchar) AS code, o_orderpriority AS note FROM orders WHERE o_custkey % 5 NOT IN (0, 3)""")
 def _(t):
     return la.read_official_csv(order_files(t), ["종목코드", "note"])[0].withColumnRenamed("종목코드", "code")
 
 
 @query("unusable_files", "orders", oracle="""
-    SELECT DISTINCT cast(o_custkey AS varchar) AS path, CASE o_custkey % 5 WHEN 0 THEN 'html_response' ELSE 'ragged_row' END AS rule_id
+    SELECT DISTINCT o_custkey || '-' || o_orderkey // 10000 AS path, CASE o_custkey % 5 WHEN 0 THEN 'html_response' ELSE 'ragged_row' END AS rule_id
     FROM orders WHERE o_custkey % 5 IN (0, 3)""")
 def _(t):
     return la.read_official_csv(order_files(t), ["종목코드", "note"])[1]
