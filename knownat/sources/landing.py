@@ -21,6 +21,8 @@ ENCODINGS = ["utf-8-sig", "cp949"]
 
 #: Characters of a piece of a decoded file, after which the next record begins another piece.
 PIECE = 1 << 20
+#: Pieces of small files that leave a task together.
+PIECES_AT_ONCE = 10_000
 PIECES = "path string, digest string, piece int, header string, first_row long, records array<string>, rule_id string"
 # A field in quotes (they open at the start of a field only, and may hold line ends), or a line end.
 MARKS = re.compile(r'(?<![^,\r\n])"[^"]*(?:""[^"]*)*(?:"|\Z)|\r\n|\n|\r')
@@ -113,7 +115,11 @@ def _records(text: str) -> Iterator[str]:
 
 
 def _cut_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pieces of about ``PIECE`` characters, each with the file's header and its place; one empty piece of a file without rows."""
+    """Pieces of about ``PIECE`` characters, each with the file's header and its place; one empty piece of a file without rows.
+
+    Pieces are handed on together until they hold ``PIECE`` characters or ``PIECES_AT_ONCE`` of them wait, so small files cost no frame each.
+    """
+    made, waiting = [], 0
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
             body = b"" if content is None else bytes(content)
@@ -127,10 +133,18 @@ def _cut_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 held.append(record)
                 size += len(record)
                 if size >= PIECE:
-                    yield pd.DataFrame([(*name, piece, header, first, held, rule)], columns=PIECE_COLUMNS)
+                    made.append((*name, piece, header, first, held, rule))
+                    yield pd.DataFrame(made, columns=PIECE_COLUMNS)
+                    made, waiting = [], 0
                     piece, first, held, size = piece + 1, first + len(held), [], 0
             if held or not piece:
-                yield pd.DataFrame([(*name, piece, header, first, held, rule)], columns=PIECE_COLUMNS)
+                made.append((*name, piece, header, first, held, rule))
+                waiting += size + len(header)
+            if waiting >= PIECE or len(made) >= PIECES_AT_ONCE:
+                yield pd.DataFrame(made, columns=PIECE_COLUMNS)
+                made, waiting = [], 0
+    if made:
+        yield pd.DataFrame(made, columns=PIECE_COLUMNS)
 
 
 PIECE_COLUMNS = [c.split()[0] for c in PIECES.split(", ")]

@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import io
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +58,17 @@ def test_csv_pieces_equal_a_plain_reader(spark):
     assert la.decode_files(files.limit(0))[0].count() == 0
 
 
+def test_small_files_leave_the_cutter_together():
+    """A frame for each small file took most of the time of a folder of many files."""
+    contents = [f"a,b\n{i},x\n".encode() for i in range(3_000)]
+    files = pd.DataFrame({"path": [str(i) for i in range(3_000)], "content": contents})
+    frames = list(la._cut_files(iter([files[:2_000], files[2_000:], files[:0]])))
+    assert len(frames) <= 3
+    made = pd.concat(frames)
+    assert list(made["path"]) == list(files["path"])
+    assert [list(r) for r in made["records"]] == [[f"{i},x"] for i in range(3_000)]
+
+
 def test_archive_names_are_checked_against_unpacked_content(spark, tmp_path):
     good = b"payload"
     digest = hashlib.sha256(good).hexdigest()
