@@ -298,6 +298,11 @@ def equal_weight_runs(
     def at_entry(column: str):
         return F.max(F.when(entering, F.col(column))).over(span)
 
+    # Only names that some week holds need prices: the bars of all others are left out before any of them is moved or carried.
+    names = held.select("code").distinct()
+    bars = bars.join(names, "code", "left_semi")
+    if splits is not None:
+        splits = splits.join(names, "code", "left_semi")
     priced = daily.join(price_states(bars, splits, dates), ["code", "date"], "left").withColumns({
         "_entry": at_entry("open"), "_factor": F.col("factor") / at_entry("factor"),
         "_bad": F.coalesce(F.col("bad_splits"), F.lit(0)) > F.coalesce(at_entry("bad_splits"), F.lit(0)),

@@ -356,9 +356,11 @@ lv AS (SELECT *, exp(coalesce(sum(ln(growth)) OVER (ORDER BY signal_date ROWS BE
     LEFT JOIN dense x ON x.code = h.code AND x.trade_date = d.session_date GROUP BY d.session_date""")
 def _(t):
     dates = cal.DateList(sessions(t), "session_date")
-    placed = dates.with_next_no(t.bars, F.col("trade_date"), "_from_no").drop("trade_date")
-    dense = dates.carry_forward(placed, ["code"], "_from_no", "trade_date")
     universe = rk.candidate_universe(t.snapshots)
+    # A row a session is made only for names of the universe, the only ones whose prices the index reads.
+    bars = t.bars.join(universe.select("code").distinct(), "code", "left_semi")
+    placed = dates.with_next_no(bars, F.col("trade_date"), "_from_no").drop("trade_date")
+    dense = dates.carry_forward(placed, ["code"], "_from_no", "trade_date")
     index, _ = va.equal_weight_index(universe, dense, schedule(t), dates, 1e7, "1995-01-01")
     return index.withColumn("equity", F.round("equity", 2))
 
