@@ -52,12 +52,17 @@ def _is_account(names: dict[str, str], sections: list[str]) -> Column:
     return F.coalesce(named & F.col("sj_div").isin(sections), F.lit(False))
 
 
+def _with_values(accounts: DataFrame, match: Column, fields: list[str]) -> DataFrame:
+    """Amounts of the matching rows, read from text once a row: aggregates that name the parsing again would repeat it for each."""
+    return accounts.withColumns({f"_value_{name}": F.when(match, amount(F.col(name))) for name in fields})
+
+
 def _picked(label: str, match: Column, fields: list[str]) -> list[Column]:
-    """Aggregates that decide whether an account is present, in won, numeric and unambiguous."""
+    """Aggregates over ``_with_values`` that decide whether an account is present, in won, numeric and unambiguous."""
     bad_number = F.lit(False)
     columns = []
     for name in fields:
-        value = amount(F.col(name))
+        value = F.col(f"_value_{name}")
         bad_number = bad_number | value.isNull()
         columns += [F.min(F.when(match, value)).alias(f"_{label}_{name}"),
                     F.max(F.when(match, value)).alias(f"_{label}_{name}_top")]
@@ -83,7 +88,7 @@ def _pick_reason(label: str, fields: list[str]) -> Column:
 def pick_account(accounts: DataFrame, label: str, names: dict[str, str], sections: list[str], fields: list[str]) -> DataFrame:
     """One row per filing with the account's values, or the reason it cannot be used."""
     match = _is_account(names, sections)
-    picked = accounts.groupBy(*FILING).agg(*_picked(label, match, fields))
+    picked = _with_values(accounts, match, fields).groupBy(*FILING).agg(*_picked(label, match, fields))
     reason = _pick_reason(label, fields)
     return picked.select(
         *FILING,
@@ -100,7 +105,7 @@ def statement_metrics(accounts: DataFrame) -> DataFrame:
     profit, equity = _is_account(PROFIT, PROFIT_SECTIONS), _is_account(EQUITY, EQUITY_SECTIONS)
     one, two = ["thstrm_amount"], ["thstrm_amount", "frmtrm_amount"]
     corp = F.nullif(F.col("corp_code"), F.lit(""))
-    picked = accounts.groupBy(*FILING).agg(
+    picked = _with_values(accounts, profit | equity, two).groupBy(*FILING).agg(
         *_picked("profit", profit, one),
         *_picked("equity", equity, two),
         F.min(corp).alias("min_corp"),
