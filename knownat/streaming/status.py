@@ -45,11 +45,11 @@ def _write(df: DataFrame, path: str, batch_id: int) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(target)
 
 
-def _assertions(rows: DataFrame, standing: Standing, coverage: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Assertions of landed rows, with ``date_only`` where the time was left to the calendar, and their findings."""
-    tied, ambiguous = iv.resolve_identity(rows, standing.lifecycle, coverage)
+def _assertions(joined: DataFrame, standing: Standing) -> tuple[DataFrame, DataFrame]:
+    """Assertions of identified rows, with ``date_only`` where the time was left to the calendar, and their findings."""
+    tied, ambiguous = iv.split_identity(joined)
     given = F.col("published_at").isNotNull()
-    if dict(rows.dtypes)["published_at"] == "string":
+    if dict(joined.dtypes)["published_at"] == "string":
         given = tx.clean(F.col("published_at")) != ""
     dated = iv.with_known_at(tied, standing.sessions).select(
         "evidence_id", "security_id", "requested_date", F.col("effective_date").alias("effective_from"), "known_at", "observed_at",
@@ -95,8 +95,8 @@ def reached(requests: DataFrame, new: DataFrame, days: DataFrame) -> DataFrame:
 def status_batch(rows: DataFrame, batch_id: int, root: str, standing: Standing) -> None:
     """Append the assertions of landed status rows (as ``normalize_status`` gives them) and decide anew what they reach.
 
-    Tables below ``root``, one partition a batch: ``coverage`` (days newly asked for), ``assertions``, ``findings`` and
-    ``decisions`` (only the ones made anew).  A batch reads what earlier batches wrote, so a replay writes the same partition again.
+    Tables below ``root``, one partition a batch: ``coverage`` (days newly asked for), ``identified`` (landed rows with their
+    matches), ``assertions``, ``findings``, ``reached`` (requests to decide anew) and ``decisions`` (of these).  A batch reads what earlier batches wrote, so a replay writes the same partition again.
     Before the first batch every standing request counts as undecided; ``current_decisions`` says what such requests get.
     """
     spark = rows.sparkSession
@@ -104,7 +104,8 @@ def status_batch(rows: DataFrame, batch_id: int, root: str, standing: Standing)
     asked = rows.select("requested_date").distinct()
     fresh_days = asked if seen_days is None else asked.join(seen_days.select("requested_date"), "requested_date", "left_anti")
     new_days = _write(fresh_days, f"{root}/coverage", batch_id)
-    made, found = _assertions(rows, standing, asked)
+    # Assertions and findings both read the tied rows, which are kept for that.
+    made, found = _assertions(_write(iv.identified(rows, standing.lifecycle, asked), f"{root}/identified", batch_id), standing)
     if seen is not None:
         # A row that lands twice is one assertion; one whose next session is known by now becomes usable.
         again = newest_assertions(seen)
@@ -116,7 +117,7 @@ def status_batch(rows: DataFrame, batch_id: int, root: str, standing: Standing)
 
     coverage = new_days if seen_days is None else new_days.unionByName(seen_days.select("requested_date"))
     days = joined_days(standing.sessions, coverage, new_days)
-    todo = reached(standing.requests, new, days)
+    todo = _write(reached(standing.requests, new, days), f"{root}/reached", batch_id)
     if seen is None:
         known = new
     else:
