@@ -221,6 +221,8 @@ def _(t):
 def _(t):
     rows = t.daily_market.select("trade_date", "code", "name", "market", F.col("listed_shares").cast("long").alias("shares"))
     root = scratch_folder(t.spark, "promoted")
+    # The rows are made once; each promotion reads them several times.
+    rows = tb.store_tables({"rows": rows}, root)["rows"]
     # Every day is promoted without its last code first, then each day that had one anew.
     tail = F.col("code") == F.lit(rows.agg(F.max("code")).first()[0])
     tb.promote_days(rows.filter(~tail), f"{root}/market", sums=f"{root}/sums")
