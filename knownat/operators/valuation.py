@@ -40,25 +40,22 @@ def positions(trades: DataFrame, splits: DataFrame | None = None) -> DataFrame:
     series = daily.withColumns({"_ratio": F.lit(1.0), "_side": F.lit(1)})
     if splits is not None:
         pairs = daily.groupBy("portfolio", "code").agg(F.min("from_date").alias("_first"))
-        events = pairs.join(splits.select("code", "effective_date", "ratio"), "code").filter(
-            F.col("effective_date") > F.col("_first")
-        )
+        ratios = splits.groupBy("code", "effective_date").agg(F.product(F.col("ratio").cast("double")).alias("_ratio"))
+        events = pairs.join(ratios, "code").filter(F.col("effective_date") > F.col("_first"))
         series = series.unionByName(
             events.select(
-                "portfolio", "code", F.col("effective_date").alias("from_date"), F.lit(0.0).alias("_change"),
-                F.col("ratio").cast("double").alias("_ratio"), F.lit(0).alias("_side"),
+                "portfolio", "code", F.col("effective_date").alias("from_date"), F.lit(0.0).alias("_change"), "_ratio",
+                F.lit(0).alias("_side"),
             )
         )
+    # One sort serves the running sums, the choice of a day's last row and the end of its interval.
     order = Window.partitionBy("portfolio", "code").orderBy("from_date", "_side")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    tracked = series.withColumn("_growth", F.product("_ratio").over(upto)).withColumn(
+    tracked = series.withColumns({"_growth": F.product("_ratio").over(upto), "to_date": F.lead("from_date").over(order)}).withColumn(
         "quantity", F.sum(F.col("_change") / F.col("_growth")).over(upto) * F.col("_growth")
     )
-    last = tracked.groupBy("portfolio", "code", "from_date").agg(F.max_by("quantity", "_side").alias("quantity"))
-    by_day = Window.partitionBy("portfolio", "code").orderBy("from_date")
-    return last.withColumn("to_date", F.lead("from_date").over(by_day)).filter("quantity <> 0").select(
-        "portfolio", "code", "from_date", "to_date", "quantity"
-    )
+    ends_day = ~F.coalesce(F.col("to_date") == F.col("from_date"), F.lit(False))
+    return tracked.filter(ends_day & (F.col("quantity") != 0)).select("portfolio", "code", "from_date", "to_date", "quantity")
 
 
 def cash_balances(trades: DataFrame, flows: DataFrame, opening: DataFrame) -> DataFrame:

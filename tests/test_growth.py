@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from knownat import session
 from knownat.operators import fundamentals as fu
 from knownat.operators import valuation as va
 from workload import fixtures
@@ -69,3 +70,38 @@ def test_only_held_names_are_priced(spark, monkeypatch):
     index, _ = va.equal_weight_runs(universe, bars, schedule, sessions, 100.0)
     assert seen == [{"a"}]
     assert index.filter(F.col("date") == D(2024, 1, 3)).first()["equity"] == pytest.approx(120.0)
+
+
+def test_positions_sort_a_series_once(spark):
+    trades = spark.createDataFrame(
+        [("p", "a", D(2024, 1, 1), "buy", 10.0), ("p", "a", D(2024, 1, 3), "sell", 5.0), ("p", "a", D(2024, 1, 3), "buy", 1.0),
+         ("p", "a", D(2024, 1, 5), "sell", 16.0), ("p", "b", None, "buy", 2.0), (None, "a", D(2024, 1, 2), "buy", 1.0)],
+        "portfolio string, code string, trade_date date, side string, quantity double")
+    splits = spark.createDataFrame(
+        [("a", D(2024, 1, 3), 2.0), ("a", D(2024, 1, 3), 0.5), ("a", D(2024, 1, 4), 2.0), ("a", D(2024, 1, 4), None), ("a", D(2024, 1, 1), 9.0),
+         ("b", D(2024, 1, 4), 2.0), (None, D(2024, 1, 4), 2.0)], "code string, effective_date date, ratio double")
+    held = va.positions(trades, splits)
+    assert sorted(map(str, map(tuple, held.collect()))) == sorted(map(str, [
+        ("p", "a", D(2024, 1, 1), D(2024, 1, 3), 10.0), ("p", "a", D(2024, 1, 3), D(2024, 1, 4), 6.0),
+        ("p", "a", D(2024, 1, 4), D(2024, 1, 5), 12.0), ("p", "a", D(2024, 1, 5), None, -4.0), ("p", "b", None, None, 2.0),
+        (None, "a", D(2024, 1, 2), D(2024, 1, 3), 1.0), (None, "a", D(2024, 1, 3), D(2024, 1, 4), 1.0),
+        (None, "a", D(2024, 1, 4), None, 2.0)]))
+    alone = va.positions(trades)
+    assert plan(alone).count("Aggregate [") == 1 and plan(alone).count("lead(") == 1
+    assert alone._jdf.queryExecution().sparkPlan().toString().count("Aggregate") == 2
+    physical = alone._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("Sort [") == 1
+
+
+def test_shuffles_are_cut_by_size(spark, tmp_path):
+    kept = {key: spark.conf.get(key, None) for key in session.SIZED}
+    first, second = session.SIZED
+    try:
+        for key in session.SIZED:
+            spark.conf.unset(key)
+        spark.conf.set(second, "5m")
+        Inputs(spark, str(tmp_path))
+        assert spark.conf.get(first) == session.SIZED[first] and spark.conf.get(second) == "5m"
+    finally:
+        for key, value in kept.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
