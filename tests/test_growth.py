@@ -105,3 +105,19 @@ def test_shuffles_are_cut_by_size(spark, tmp_path):
     finally:
         for key, value in kept.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_filings_are_dealt_to_many_tasks(spark, tmp_path):
+    statement_tables(spark, str(tmp_path))
+    signals = spark.createDataFrame([(D(1996, 1, 6),), (D(1996, 1, 13),)], "signal_date date")
+    given = {key: spark.conf.get(key, None) for key in session.SIZED}
+    try:
+        for key in session.SIZED:
+            spark.conf.unset(key)
+        chosen = fu.select_filings(Inputs(spark, str(tmp_path)).statements, signals)
+        exchanges = [line for line in chosen._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning(" in line]
+        assert exchanges and all(", 1024)" in line for line in exchanges)
+        assert chosen.count() > 0
+    finally:
+        for key, value in given.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
