@@ -84,16 +84,64 @@ def cash_balances(trades: DataFrame, flows: DataFrame, opening: DataFrame) -> Da
     )
 
 
-def carried_closes(bars: DataFrame, dates: cal.DateList) -> DataFrame:
-    """Last valid close per code at every session: ``(code, date, close, price_date)``."""
+def price_spans(bars: DataFrame, splits: DataFrame | None, dates: cal.DateList) -> DataFrame:
+    """Which close holds from session ``_at`` to before session ``_end``: ``(code, _at, _end, close, price_date)``.
+
+    The last valid close is carried, but not across a split.  The spans of a code cover every session; those without a
+    usable close have a null one.
+    """
     valid = bars.filter(finite(F.col("close")) & (F.col("close") > 0)).select(
-        "code", "close", F.col("trade_date").alias("price_date")
-    )
-    placed = dates.with_next_no(valid, F.col("price_date"), "_from_no").filter(F.col("_from_no") <= dates.count)
-    latest = placed.groupBy("code", "_from_no").agg(
-        F.max_by("close", "price_date").alias("close"), F.max("price_date").alias("price_date")
+        "code", F.col("trade_date").alias("_on"), F.col("close").cast("double").alias("close"), F.col("trade_date").alias("_priced"),
+        F.lit(None).cast("date").alias("_split"),
     )
-    return dates.carry_forward(latest, ["code"], "_from_no", "date")
+    if splits is not None:
+        none = F.lit(None)
+        valid = valid.unionByName(splits.select(
+            "code", F.col("effective_date").alias("_on"), none.cast("double").alias("close"), none.cast("date").alias("_priced"),
+            F.col("effective_date").alias("_split"),
+        ))
+    placed = dates.with_next_no(valid, F.col("_on"), "_from_no").filter(F.col("_from_no") <= dates.count)
+    steps = placed.groupBy("code", "_from_no").agg(
+        F.max_by("close", "_priced").alias("close"), F.max("_priced").alias("_priced"), F.max("_split").alias("_split"))
+    order = Window.partitionBy("code").orderBy("_from_no")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    last = {c: F.last(c, ignorenulls=True).over(so_far) for c in ("close", "_priced", "_split")}
+    known = steps.select(
+        "code", "_from_no", F.coalesce(F.lead("_from_no").over(order), F.lit(dates.count + 1)).alias("_end"),
+        F.lag("_from_no").over(order).isNull().alias("_opens"), *[column.alias(c) for c, column in last.items()])
+    close = F.when(F.col("_split").isNull() | (F.col("_priced") >= F.col("_split")), F.col("close"))
+    span = F.struct(F.col("_from_no").alias("_at"), "_end", close.alias("close"), F.col("_priced").alias("price_date"))
+    unknown = F.when(F.col("_opens") & (F.col("_from_no") > 1), F.struct(
+        F.lit(1).alias("_at"), F.col("_from_no").alias("_end"), F.lit(None).cast("double").alias("close"),
+        F.lit(None).cast("date").alias("price_date")))
+    return known.select("code", F.explode(F.array_compact(F.array(span, unknown))).alias("_span")).select("code", "_span.*")
+
+
+#: Sessions of a block in which holdings and prices of a code meet.
+BLOCK = 16
+
+
+def in_blocks(spans: DataFrame, start: str, end: str) -> DataFrame:
+    """Spans of session numbers, the end exclusive, cut where a block of sessions ends, with the number of their ``_block``."""
+    first, last = F.floor(F.col(start) / BLOCK), F.floor((F.col(end) - 1) / BLOCK)
+    return spans.withColumn("_block", F.explode(F.sequence(first.cast("int"), last.cast("int")))).withColumns({
+        start: F.greatest(F.col(start), F.col("_block") * BLOCK), end: F.least(F.col(end), (F.col("_block") + 1) * BLOCK)})
+
+
+def priced_spans(holdings: DataFrame, prices: DataFrame, dates: cal.DateList) -> DataFrame:
+    """Stretches of sessions ``_at`` to before ``_end`` in which a holding has one close, or a null one where none is known.
+
+    Holdings and prices meet per code and block of sessions, so days are made only after the last shuffle.
+    """
+    kept = [c for c in ("portfolio", "code", "quantity", "seed_date") if c in holdings.columns]
+    held = cal.numbered_intervals(holdings, F.col("from_date"), F.col("to_date"), dates).select(*kept, "_from_no", "_to_no")
+    left, right = in_blocks(held, "_from_no", "_to_no").alias("h"), in_blocks(prices, "_at", "_end").alias("p")
+    meets = (F.col("h.code") == F.col("p.code")) & (F.col("h._block") == F.col("p._block")) & (
+        F.col("p._at") < F.col("h._to_no")) & (F.col("h._from_no") < F.col("p._end"))
+    # Prices cover all sessions of their code: a holding without any keeps its whole stretch.
+    return left.join(right, meets, "left").select(
+        *[F.col(f"h.{c}") for c in kept], F.greatest("h._from_no", "p._at").alias("_at"), F.least("h._to_no", "p._end").alias("_end"),
+        "p.close", "p.price_date")
 
 
 def value_positions(
@@ -106,25 +154,19 @@ def value_positions(
     """Daily cash, position value and equity per portfolio, and positions no price can be found for.
 
     The close of the day counts, else the last valid close.  Carrying runs once per
-    code, not per portfolio.  A close from before a split is not carried across it,
+    code, not per portfolio, and holdings meet prices as spans of sessions.  A close from before a split is not carried across it,
     nor is one older than ``seed_date`` where the positions have that column.
     """
     dates = cal.DateList.of(sessions, "session_date")
-    closes = carried_closes(bars, dates)
-    if splits is not None:
-        last_split = dates.carry_forward(
-            dates.with_next_no(splits, F.col("effective_date"), "_from_no")
-            .groupBy("code", "_from_no").agg(F.max("effective_date").alias("_split")),
-            ["code"], "_from_no", "date",
-        ).select("code", "date", "_split")
-        closes = closes.join(last_split, ["code", "date"], "left").filter(
-            F.col("_split").isNull() | (F.col("price_date") >= F.col("_split"))
-        ).drop("_split")
-    held = cal.expand_intervals(holdings, F.col("from_date"), F.col("to_date"), dates, "date")
-    priced = held.join(closes, ["code", "date"], "left")
+    spans = priced_spans(holdings, price_spans(bars, splits, dates), dates)
     if "seed_date" in holdings.columns:
         stale = F.col("price_date") < F.col("seed_date")
-        priced = priced.withColumn("close", F.when(~F.coalesce(stale, F.lit(False)), F.col("close")))
+        spans = spans.withColumn("close", F.when(~F.coalesce(stale, F.lit(False)), F.col("close")))
+
+    def daily(some: DataFrame) -> DataFrame:
+        return dates.with_date(some.withColumn("_no", F.explode(F.sequence(F.col("_at"), F.col("_end") - 1))), "_no", "date")
+
+    priced = daily(spans)
     worth = priced.groupBy("portfolio", "date").agg(
         F.sum(F.col("quantity") * F.col("close")).alias("positions_value"),
         F.count_if(F.col("close").isNotNull() & (F.col("price_date") < F.col("date"))).alias("carried_prices"),
@@ -141,7 +183,7 @@ def value_positions(
         F.coalesce("carried_prices", F.lit(0)).alias("carried_prices"),
     )
     missing = findings(
-        priced.filter("close IS NULL"), source="valuation", severity="blocking", rule="no_close", subject=F.col("code"),
+        daily(spans.filter("close IS NULL")), source="valuation", severity="blocking", rule="no_close", subject=F.col("code"),
         date=F.col("date"), observed=F.col("portfolio"),
     )
     negative = findings(

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from knownat import session
+from knownat.functions import calendar as cal
 from knownat.operators import fundamentals as fu
 from knownat.operators import valuation as va
 from workload import fixtures
@@ -121,3 +122,41 @@ def test_filings_are_dealt_to_many_tasks(spark, tmp_path):
     finally:
         for key, value in given.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_holdings_meet_prices_before_they_become_days(spark):
+    days = [D(2024, 1, 1) + dt.timedelta(i) for i in range(60)]
+    sessions = cal.numbered(spark.createDataFrame([(d,) for d in days if d.day % 7], "d date"), "d")
+    listed = [r["session_date"] for r in sessions.orderBy("session_date").collect()]
+    holdings = [("p", "a", days[2], days[40], 3.0), ("p", "a", days[10], None, 5.0), ("p", "a", days[10], None, 5.0), ("q", "b", days[0], days[59], 2.0),
+                ("q", "none", days[5], days[9], 1.0), ("q", None, days[5], days[7], 1.0), (None, "a", days[5], days[20], 1.0),
+                ("p", "b", days[6], days[6], 9.0), ("p", "b", None, days[6], 9.0)]
+    bars = [("a", days[0] - dt.timedelta(9), 7.0), ("a", days[6], 11.0), ("a", days[8], float("nan")), ("a", days[30], 13.0), ("a", days[31], 14.0),
+            ("b", days[20], 2.0), ("b", None, 5.0), (None, days[3], 5.0), ("b", days[58], None)]
+    splits = [("a", days[25]), ("a", days[25]), ("b", days[12]), ("b", days[40]), ("b", None), (None, days[1])]
+    cash = [("p", days[0], None, 100.0, 100.0, 0.0), ("q", days[1], None, 50.0, 50.0, 1.0)]
+    held = spark.createDataFrame(holdings, "portfolio string, code string, from_date date, to_date date, quantity double")
+    nav, missing = va.value_positions(
+        held, spark.createDataFrame(cash, "portfolio string, from_date date, to_date date, cash double, cash_change double, external_flow double"),
+        spark.createDataFrame(bars, "code string, trade_date date, close double"), sessions,
+        spark.createDataFrame(splits, "code string, effective_date date"))
+
+    def close_on(code, day):
+        seen = [(d, x) for c, d, x in bars if c == code and c and d and d <= day and x is not None and x == x]
+        cut = [d for c, d in splits if c == code and c and d and d <= day]
+        if not seen or (cut and max(seen)[0] < max(cut)):
+            return None
+        return max(seen)
+
+    expected, unpriced = {}, []
+    for portfolio, begin in (("p", days[0]), ("q", days[1]), (None, days[0])):
+        for day in listed:
+            own = [(c, q, close_on(c, day)) for p, c, a, b, q in holdings if p == portfolio and a and a <= day and (b is None or day < b)]
+            unpriced += [(c, day, portfolio) for c, _, close in own if close is None]
+            if portfolio and day >= begin and all(close for _, _, close in own):
+                expected[portfolio, day] = (sum(q * close[1] for _, q, close in own), sum(close[0] < day for _, _, close in own))
+    assert {(r["portfolio"], r["date"]): (r["positions_value"], r["carried_prices"]) for r in nav.collect()} == expected
+    assert sorted(map(str, unpriced)) == sorted(str((r["subject"], r["date"], r["observed"])) for r in missing.collect())
+    # Before, every holding became days first, and the days were joined with a close per code and day.
+    joins = [line for line in plan(nav).splitlines() if "Join LeftOuter" in line and "code#" in line]
+    assert len(joins) == 1 and "_block#" in joins[0]

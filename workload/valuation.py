@@ -9,6 +9,7 @@ from knownat.operators import ranking as rk
 from knownat.operators import orders as od
 from knownat.operators import splits as sp
 from knownat.operators import valuation as va
+from knownat.session import scratch_folder
 from workload import parts
 from workload.ranking import schedule, sessions
 from workload.registry import Inputs, query
@@ -183,15 +184,24 @@ cash AS (SELECT portfolio, d AS from_date, lead(d) OVER w AS to_date, cast(10000
 LEDGER_TABLES = ["trades", "split_events", "cashflows"]
 
 
-def ledger(t: Inputs):
-    gross = t.trades.withColumn("gross_amount", F.col("quantity") * F.col("price"))
+def stored_trades(t: Inputs):
+    """The trades written once, for queries that read them several times: what is made of them is three joined tables."""
+    made = t.trades.select("portfolio", "code", "trade_date", "side", "quantity", "price")
+    place = scratch_folder(t.spark, "trades")
+    made.write.parquet(place)
+    return t.spark.read.schema(made.schema).parquet(place)
+
+
+def ledger(trades):
+    gross = trades.withColumn("gross_amount", F.col("quantity") * F.col("price"))
     return od.with_costs(gross)
 
 
-def ledger_cash(t: Inputs):
+def ledger_cash(t: Inputs, trades=None):
+    trades = t.trades if trades is None else trades
     flows, _ = va.normalize_cashflows(t.cashflows)
-    opening = t.trades.select("portfolio").distinct().withColumn("cash", F.lit(1_000_000.0))
-    return va.cash_balances(ledger(t), flows, opening)
+    opening = trades.select("portfolio").distinct().withColumn("cash", F.lit(1_000_000.0))
+    return va.cash_balances(ledger(trades), flows, opening)
 
 
 @query("positions", "trades", "split_events", oracle=f"""WITH {LEDGER}
@@ -238,9 +248,9 @@ nav AS (
 NAV_TABLES = [*LEDGER_TABLES, "bars", "session_days"]
 
 
-def valued(t: Inputs):
-    held = va.positions(t.trades, t.split_events)
-    return va.value_positions(held, ledger_cash(t), t.bars, sessions(t), t.split_events)
+def valued(t: Inputs, trades):
+    held = va.positions(trades, t.split_events)
+    return va.value_positions(held, ledger_cash(t, trades), t.bars, sessions(t), t.split_events)
 
 
 @query("value_positions", *NAV_TABLES, oracle=f"""WITH {NAV}
@@ -249,7 +259,7 @@ def valued(t: Inputs):
            round(external_flow + 1.3e-5::double, 3) AS external_flow, carried_prices
     FROM nav WHERE unpriced = 0""")
 def _(t):
-    nav, _ = valued(t)
+    nav, _ = valued(t, stored_trades(t))
     # The small shift keeps exact halves from rounding apart in the two engines.
     money = ["cash", "positions_value", "equity", "external_flow"]
     return nav.withColumns({c: F.round(F.col(c) + 1.3e-5, 3) for c in money})
@@ -258,7 +268,7 @@ def _(t):
 @query("valuation_findings", *NAV_TABLES, oracle=f"""WITH {NAV}
     SELECT code AS subject, date, portfolio AS observed FROM priced WHERE close IS NULL""")
 def _(t):
-    return valued(t)[1].select("subject", "date", "observed")
+    return valued(t, stored_trades(t))[1].select("subject", "date", "observed")
 
 
 @query("reconcile_nav", *NAV_TABLES, oracle=f"""WITH {NAV}
@@ -266,8 +276,9 @@ def _(t):
         SELECT *, lag(cash) OVER (PARTITION BY portfolio ORDER BY date) AS before FROM nav WHERE unpriced = 0)
     WHERE abs(cash - before - cash_change) > 1e-3""")
 def _(t):
-    nav, _ = valued(t)
-    changes = ledger_cash(t).select("portfolio", F.col("from_date").alias("date"), "cash_change")
+    trades = stored_trades(t)
+    nav, _ = valued(t, trades)
+    changes = ledger_cash(t, trades).select("portfolio", F.col("from_date").alias("date"), "cash_change")
     joined = nav.join(changes, ["portfolio", "date"], "left").withColumn("cash_change", F.coalesce("cash_change", F.lit(0.0)))
     return va.reconcile_nav(joined, 1e-3).select("subject", "date", "rule_id")
 
