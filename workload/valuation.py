@@ -184,14 +184,17 @@ cash AS (SELECT portfolio, d AS from_date, lead(d) OVER w AS to_date, cast(10000
 LEDGER_TABLES = ["trades", "split_events", "cashflows"]
 
 
-def stored_trades(t: Inputs):
-    """The trades written once, for queries that read them several times: what is made of them is three joined tables."""
-    made = t.trades.select("portfolio", "code", "trade_date", "side", "quantity", "price")
-    place = scratch_folder(t.spark, "trades")
+def written_once(t: Inputs, made, name: str):
+    place = scratch_folder(t.spark, name)
     made.write.parquet(place)
     return t.spark.read.schema(made.schema).parquet(place)
 
 
+def stored_trades(t: Inputs):
+    """The trades written once, for queries that read them several times: three tables are joined to make them."""
+    return written_once(t, t.trades.select("portfolio", "code", "trade_date", "side", "quantity", "price"), "trades")
+
+
 def ledger(trades):
     gross = trades.withColumn("gross_amount", F.col("quantity") * F.col("price"))
     return od.with_costs(gross)
@@ -248,9 +251,9 @@ nav AS (
 NAV_TABLES = [*LEDGER_TABLES, "bars", "session_days"]
 
 
-def valued(t: Inputs, trades):
+def valued(t: Inputs, trades, cash=None):
     held = va.positions(trades, t.split_events)
-    return va.value_positions(held, ledger_cash(t, trades), t.bars, sessions(t), t.split_events)
+    return va.value_positions(held, ledger_cash(t, trades) if cash is None else cash, t.bars, sessions(t), t.split_events)
 
 
 @query("value_positions", *NAV_TABLES, oracle=f"""WITH {NAV}
@@ -277,8 +280,9 @@ def _(t):
     WHERE abs(cash - before - cash_change) > 1e-3""")
 def _(t):
     trades = stored_trades(t)
-    nav, _ = valued(t, trades)
-    changes = ledger_cash(t, trades).select("portfolio", F.col("from_date").alias("date"), "cash_change")
+    cash = written_once(t, ledger_cash(t, trades), "cash")
+    nav, _ = valued(t, trades, cash)
+    changes = cash.select("portfolio", F.col("from_date").alias("date"), "cash_change")
     joined = nav.join(changes, ["portfolio", "date"], "left").withColumn("cash_change", F.coalesce("cash_change", F.lit(0.0)))
     return va.reconcile_nav(joined, 1e-3).select("subject", "date", "rule_id")
 
