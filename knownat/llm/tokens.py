@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from knownat.llm.common import crc_of_ids, new_folder
-from knownat.llm.encode import encoder
+from knownat.llm.encode import encoder, gathered
 
 #: Documented layout: bytes of a row group and of a page before compression.
 ROW_GROUP, PAGE = 32 << 20, 256 << 10
@@ -32,8 +32,8 @@ def encode_sorted(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            ids = [found + end for found in own.encode_all(batch.column("text").to_pylist())]
+        for batch in gathered(batches):
+            ids = [found + end for found in own.encode_all(batch.column("text"))]
             counts = np.array([len(x) // 4 for x in ids], np.int64)
             edges = np.concatenate([[0], np.cumsum(counts)])
             values = pa.array(np.frombuffer(b"".join(ids), "<i4"))

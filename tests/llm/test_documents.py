@@ -64,6 +64,32 @@ def test_encoder_equals_whole_texts():
     assert [array("I", b).tolist() for b in found] == [ids_of(BYTE_BPE, t) for t in texts]
 
 
+def test_encoder_hands_fresh_chunks_on_together():
+    own, handed = encode.Encoder(BYTE_BPE), []
+
+    class Counting:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, texts, **options):
+            handed.extend(texts)
+            return self.inner.encode_batch_fast(texts, **options)
+
+    own.tokenizer, own.words = Counting(own.tokenizer), Counting(own.words)
+    texts = [" ".join(f"w{k}x{n}&&\nend{k}é, {k}" for n in range(40)) for k in range(50)] + ["a  b\n c"]
+    found = own.encode_all(pa.array(texts))
+    assert [array("I", b).tolist() for b in found] == [ids_of(BYTE_BPE, t) for t in texts]
+    assert len(handed) < 4 * len(texts)
+
+
+def test_gathered_batches_keep_rows_and_order():
+    texts = [None if n % 7 == 0 else "t" * (n % 50) for n in range(1000)]
+    column = pa.record_batch({"doc_id": pa.array(range(1000)), "text": pa.array(texts)})
+    batches = list(encode.gathered((column.slice(a, 30) for a in range(0, 1000, 30)), least=2000))
+    assert 1 < len(batches) < 34
+    assert pa.Table.from_batches(batches).equals(pa.Table.from_batches([column]))
+
+
 def test_token_table(odd):
     found = sorted(tokens.token_table(odd, BYTE_BPE, 2).collect(), key=lambda r: r["start"])
     assert [r["doc_id"] for r in found] == sorted((i for i, _ in ODD), key=lambda i: (i is not None, i or 0))
