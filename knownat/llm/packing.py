@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knownat.llm.common import crc_of_ids, stored
-from knownat.llm.encode import encoder
+from knownat.llm.encode import encoder, gathered
 
 Pattern = tuple[int, ...]
 
@@ -208,9 +208,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in gathered(batches):
             rows: dict[str, list] = {name: [] for name in ("row", "piece", "start", "length", "ids_crc32", "rank")}
-            for row, found in enumerate(own.encode_all(batch.column("text").to_pylist())):
+            for row, found in enumerate(own.encode_all(batch.column("text"))):
                 ids = found + end
                 for number, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     crc = crc_of_ids(ids[4 * start:4 * (start + length)])
