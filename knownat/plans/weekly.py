@@ -1,4 +1,4 @@
-"""The weekly ranking as one lazy plan over all weeks."""
+"""The weekly ranking as one plan over all weeks."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from knownat.functions import calendar as cal
 from knownat.operators import fundamentals as fu
 from knownat.operators import ranking as rk
 from knownat.schemas import RankingRules
+from knownat.session import scratch_folder
+from knownat.sources.tables import store_tables
 
 
 @dataclass(frozen=True)
@@ -25,6 +27,43 @@ class Desk:
     companies: DataFrame
 
 
+@dataclass(frozen=True)
+class Choice:
+    """The names that the weeks rank and what belongs to them: small tables kept in the scratch folder, and the lazy rest."""
+
+    candidates: DataFrame
+    filings: DataFrame
+    factors: DataFrame
+    metrics: DataFrame
+
+
+def choose(
+    desk: Desk, rules: RankingRules, start: str | None, end: str | None, eligible: DataFrame | None, splits: DataFrame | None,
+) -> Choice:
+    """Candidates first: bars, statements and accounts are read only for names and filings that a week can rank.
+
+    Candidates (at most ``limit`` names a week) and their filings are written once; read back, their size is known, so the tables that
+    they thin out need no shuffle for it.
+    """
+    root = scratch_folder(desk.sessions.sparkSession, "ranking")
+    schedule = store_tables({"schedule": cal.weekly_schedule(desk.sessions, start, end)}, root)["schedule"]
+    listing = desk.snapshots.join(schedule.select("signal_date"), "signal_date", "left_semi")
+    if eligible is not None:
+        listing = listing.join(eligible.select("signal_date", "code").distinct(), ["signal_date", "code"], "left_semi")
+    candidates = store_tables({"candidates": rk.candidate_universe(listing, rules).drop("cap_rank")}, root)["candidates"]
+    codes, weeks = candidates.select("code").distinct(), candidates.select("signal_date", "code")
+    dates = cal.DateList(schedule, "signal_date")
+    # A filter, unlike a semi-join, also moves below the derivations that these tables may be made by.
+    of_candidates = F.col("stock").isin(codes)
+    factors = rk.price_factors(desk.bars.filter(F.col("code").isin(codes)), dates, rules.history, splits)
+    filings = fu.select_filings(desk.statements.filter(of_candidates), dates).join(weeks, ["signal_date", "code"], "left_semi")
+    filings = store_tables({"filings": filings}, root)["filings"]
+    used = filings.select(F.col("code").alias("stock"), "year", "basis", "receipt").distinct()
+    accounts = desk.accounts.filter(of_candidates & F.col("receipt").isin(used.select("receipt").distinct()))
+    metrics = fu.statement_metrics(accounts.join(used, fu.FILING, "left_semi"))
+    return Choice(candidates, filings, factors.join(weeks, ["signal_date", "code"], "left_semi"), metrics)
+
+
 def rank_weeks(
     desk: Desk,
     rules: RankingRules = rk.RULES,
@@ -38,15 +77,11 @@ def rank_weeks(
 
     ``eligible`` (signal_date, code) restricts the listing to names the status decisions allow.
     """
-    schedule = cal.weekly_schedule(desk.sessions, start, end)
-    listing = desk.snapshots.join(schedule.select("signal_date"), "signal_date", "left_semi")
-    if eligible is not None:
-        listing = listing.join(eligible.select("signal_date", "code").distinct(), ["signal_date", "code"], "left_semi")
-    dates = cal.DateList(schedule, "signal_date")
-    factors = rk.price_factors(desk.bars, dates, rules.history, splits)
-    filings = fu.select_filings(desk.statements, dates)
-    metrics = fu.statement_metrics(desk.accounts)
-    return rk.build_ranking(listing, factors, filings, metrics, desk.companies, rules)
+    return rank_choice(desk, choose(desk, rules, start, end, eligible, splits), rules)
+
+
+def rank_choice(desk: Desk, chosen: Choice, rules: RankingRules) -> tuple[DataFrame, DataFrame]:
+    return rk.build_ranking(chosen.candidates, chosen.factors, chosen.filings, chosen.metrics, desk.companies, rules)
 
 
 def readiness_report(

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from knownat import session
 from knownat.functions import calendar as cal
 from knownat.operators import fundamentals as fu
+from knownat.operators import ranking as rk
 from knownat.operators import valuation as va
+from knownat.plans import weekly
+from knownat.schemas import RankingRules
 from workload import fixtures
 from workload.registry import Inputs, spark_text
 
@@ -160,3 +163,40 @@ def test_holdings_meet_prices_before_they_become_days(spark):
     # Before, every holding became days first, and the days were joined with a close per code and day.
     joins = [line for line in plan(nav).splitlines() if "Join LeftOuter" in line and "code#" in line]
     assert len(joins) == 1 and "_block#" in joins[0]
+
+
+RULES = RankingRules(limit=1, history=3, minimum_ready=1)
+
+
+def small_desk(spark, with_filings=True):
+    """Two weeks of two names; the larger one, 000001, is the only candidate and files twice, the first time seen by no week."""
+    days = [D(2024, 1, d) for d in (2, 3, 4, 5, 8, 9, 10, 11, 12, 15)]
+    weeks, codes = [D(2024, 1, 5), D(2024, 1, 12)], ["000001", "000002"]
+    listing = [(w, c, f"name {c}", "KOSPI", "s", 9e12 / int(c), 5e9) for w in weeks for c in codes]
+    bars = [(c, d, 100.0 + i * int(c)) for c in codes for i, d in enumerate(days)]
+    filings = [(c, 2023, "OFS", f"{n}{c}", D(2024, 1, 2 + n)) for c in codes for n in (0, 1)] if with_filings else []
+    accounts = [(c, y, b, r, f"0000000{c[-1]}", account, section, "40", "60", "KRW") for c, y, b, r, _ in filings
+                for account, section in (("ifrs_ProfitLoss", "IS"), ("ifrs_Equity", "BS"))]
+    frame = spark.createDataFrame
+    return weekly.Desk(
+        sessions=cal.numbered(frame([(d,) for d in days], "d date"), "d"),
+        snapshots=frame(listing, "signal_date date, code string, name string, market string, sector string, marcap double, amount double"),
+        bars=frame(bars, "code string, trade_date date, close double"),
+        statements=frame(filings, "stock string, year int, basis string, receipt string, filed_at date"),
+        accounts=frame(accounts, "stock string, year int, basis string, receipt string, corp_code string, account_id string, "
+                                 "sj_div string, thstrm_amount string, frmtrm_amount string, currency string"),
+        companies=frame([(c, f"0000000{c[-1]}") for c in codes], "stock string, corp_code string"))
+
+
+def test_only_candidates_and_their_filings_are_read(spark, monkeypatch):
+    met = {}
+    for module, name, column in ((rk, "price_factors", "code"), (fu, "select_filings", "stock"), (fu, "statement_metrics", "receipt")):
+        def watched(rows, *rest, name=name, column=column, own=getattr(module, name)):
+            met[name] = {row[0] for row in rows.select(column).distinct().collect()}
+            return own(rows, *rest)
+        monkeypatch.setattr(module, name, watched)
+    ranked, excluded = weekly.rank_weeks(small_desk(spark), RULES)
+    assert met == {"price_factors": {"000001"}, "select_filings": {"000001"}, "statement_metrics": {"1000001"}}
+    found = {(r["signal_date"], r["code"], r["receipt"], r["rank"]) for r in ranked.collect()}
+    assert found == {(w, "000001", "1000001", 1) for w in (D(2024, 1, 5), D(2024, 1, 12))}
+    assert excluded.count() == 0
