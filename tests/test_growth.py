@@ -200,3 +200,13 @@ def test_only_candidates_and_their_filings_are_read(spark, monkeypatch):
     found = {(r["signal_date"], r["code"], r["receipt"], r["rank"]) for r in ranked.collect()}
     assert found == {(w, "000001", "1000001", 1) for w in (D(2024, 1, 5), D(2024, 1, 12))}
     assert excluded.count() == 0
+
+
+def test_sectors_are_counted_from_candidates_alone(spark, monkeypatch):
+    met = []
+    own = fu.statement_metrics
+    monkeypatch.setattr(fu, "statement_metrics", lambda rows: met.append(rows.select("receipt").distinct().count()) or own(rows))
+    ranked, _ = weekly.rank_weeks(small_desk(spark), RULES)
+    assert met == [1]
+    counted = rk.sector_counts(ranked.filter("rank <= 20"), ["signal_date"]).collect()
+    assert sorted(tuple(r) for r in counted) == [(D(2024, 1, 5), "s", 1), (D(2024, 1, 12), "s", 1)]
