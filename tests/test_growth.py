@@ -210,3 +210,13 @@ def test_sectors_are_counted_from_candidates_alone(spark, monkeypatch):
     assert met == [1]
     counted = rk.sector_counts(ranked.filter("rank <= 20"), ["signal_date"]).collect()
     assert sorted(tuple(r) for r in counted) == [(D(2024, 1, 5), "s", 1), (D(2024, 1, 12), "s", 1)]
+
+
+def test_exclusions_come_from_candidates_alone(spark, monkeypatch):
+    met = []
+    own = rk.price_factors
+    monkeypatch.setattr(rk, "price_factors", lambda rows, *rest: met.append(rows.select("code").distinct().count()) or own(rows, *rest))
+    excluded = weekly.rank_weeks(small_desk(spark, with_filings=False), RULES)[1]
+    assert met == [1]
+    assert {(r["signal_date"], r["code"], r["reason"]) for r in excluded.collect()} == {
+        (w, "000001", "no_visible_filing") for w in (D(2024, 1, 5), D(2024, 1, 12))}
