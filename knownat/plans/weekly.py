@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,16 +93,18 @@ def readiness_report(
     locks: dict[str, bool] | None = None,
 ) -> DataFrame:
     """One row: weeks with and without enough names, warm-up start, missing inputs, locks."""
+    root = scratch_folder(desk.sessions.sparkSession, "readiness")
+    desk = replace(desk, **store_tables({"sessions": desk.sessions}, root))
     schedule = cal.weekly_schedule(desk.sessions, start, end).filter(F.col("execution_date") <= F.lit(end).cast("date"))
     ranked, _ = rank_weeks(desk, rules, start=start, end=end)
-    weeks = rk.week_readiness(schedule, ranked, rules)
-    presence = {
-        "snapshots": desk.snapshots, "bars": desk.bars, "statements": desk.statements, "companies": desk.companies,
-        "index_KOSPI": index_bars.filter("symbol = 'KOSPI'"), "index_KOSDAQ": index_bars.filter("symbol = 'KOSDAQ'"),
-    }
-    absent = [
-        F.when(table.limit(1).agg(F.count(F.lit(1))).scalar() == 0, F.lit(name)) for name, table in presence.items()
-    ]
+    weeks = store_tables({"weeks": rk.week_readiness(schedule, ranked, rules)}, root)["weeks"]
+    symbols = {row[0] for row in index_bars.filter("symbol IN ('KOSPI', 'KOSDAQ')").select("symbol").distinct().collect()}
+    # A ranked name has a snapshot, bars, a filing and a company; without one the tables themselves are looked at.
+    if weeks.filter("ranked > 0").isEmpty():
+        absent = [name for name in ("snapshots", "bars", "statements", "companies") if getattr(desk, name).isEmpty()]
+    else:
+        absent = []
+    absent += [f"index_{symbol}" for symbol in ("KOSPI", "KOSDAQ") if symbol not in symbols]
     before = desk.sessions.filter(F.col("session_date") < F.lit(start).cast("date")).orderBy(F.col("session_date").desc())
     warmup = before.limit(rules.history).agg(
         F.when(F.count(F.lit(1)) >= rules.history, F.min("session_date"))
@@ -111,7 +113,7 @@ def readiness_report(
     counts = weeks.agg(
         F.count_if("ready").alias("valid_weeks"), F.count_if(~F.col("ready")).alias("invalid_weeks")
     )
-    missing = F.array_join(F.array_compact(F.array(*absent)), ",")
+    missing = F.lit(",".join(absent))
     return counts.select(
         "valid_weeks",
         "invalid_weeks",

@@ -220,3 +220,14 @@ def test_exclusions_come_from_candidates_alone(spark, monkeypatch):
     assert met == [1]
     assert {(r["signal_date"], r["code"], r["reason"]) for r in excluded.collect()} == {
         (w, "000001", "no_visible_filing") for w in (D(2024, 1, 5), D(2024, 1, 12))}
+
+
+def test_readiness_looks_at_tables_only_where_nothing_ranks(spark):
+    index = spark.createDataFrame([("KOSPI", D(2024, 1, 2), 1.0)], "symbol string, trade_date date, close double")
+    report = weekly.readiness_report(small_desk(spark), index, "2024-01-05", "2024-01-15", RULES)
+    # The inputs were read before; none is read again for the report.
+    assert "close#" not in plan(report) and "thstrm_amount#" not in plan(report)
+    row = report.first()
+    assert (row["valid_weeks"], row["invalid_weeks"], row["warmup_start"], row["missing_inputs"]) == (2, 0, D(2024, 1, 2), "index_KOSDAQ")
+    row = weekly.readiness_report(small_desk(spark, with_filings=False), index.limit(0), "2024-01-05", "2024-01-15", RULES).first()
+    assert (row["valid_weeks"], row["invalid_weeks"], row["missing_inputs"]) == (0, 2, "statements,index_KOSPI,index_KOSDAQ")
