@@ -1,6 +1,7 @@
 """Values and places that must be exact: amounts, refused orders, stored fingerprints, rebuilds."""
 
 import datetime as dt
+import hashlib
 import random
 
 import pytest
@@ -46,6 +47,29 @@ def test_a_target_too_dear_for_its_share_is_sold_and_refused(spark, execution):
     assert refused == ([("000001", "buy", "allocation_too_small")] if execution else [])
 
 
+def test_digest_words_are_summed_as_whole_numbers(spark):
+    digests = [None, "f" * 64, "f" * 64, "0" * 64] + [hashlib.sha256(str(k).encode()).hexdigest() for k in range(50)]
+    table = spark.createDataFrame([(k % 2, d) for k, d in enumerate(digests)], "k int, digest string")
+    sums = ha.digest_sums(table, "k")
+    for row in sums.collect():
+        own = [d for k, d in enumerate(digests) if k % 2 == row["k"] and d]
+        assert row["row_count"] == len(own)
+        assert [int(row[w]) for w in ha.WORDS] == [sum(int(d[15 * n:15 * n + 15], 16) for d in own) for n in range(4)]
+    # Decimals come in after the aggregation of longs.
+    assert "as bigint" in sums._jdf.queryExecution().optimizedPlan().toString()
+    assert [int(v) for v in ha.digest_sums(table.limit(0)).first()] == [0] * 5
+
+
+def test_days_are_digested_by_many_tasks(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(D(2024, 1, 1 + k % 5), f"{k:06d}") for k in range(50)], "trade_date date, code string")
+    joined, own = [], type(rows).join
+    monkeypatch.setattr(type(rows), "coalesce", lambda *_: pytest.fail("one task would digest all rows"))
+    monkeypatch.setattr(type(rows), "join", lambda self, *rest: joined.append(own(self, *rest)) or joined[-1])
+    tb.promote_days(rows, f"{tmp_path}/market", sums=f"{tmp_path}/sums")
+    assert any("broadcast" in found._jdf.queryExecution().analyzed().toString() for found in joined)
+    assert tb.stored_fingerprint(spark, f"{tmp_path}/sums").first() == ha.table_fingerprint(rows).first()
+
+
 def test_stored_fingerprint_equals_the_full_one_after_replacements(spark, tmp_path):
     random_ = random.Random(8)
     path, sums, rows = str(tmp_path / "m"), str(tmp_path / "s"), {}
