@@ -209,18 +209,18 @@ def read_paged_json(pages: DataFrame, columns: list[str], content: str = "conten
         return T.StructType([T.StructField("pages", T.ArrayType(response))])
 
     carried = [c for c in pages.columns if c != content]
-    parsed = pages.select(
-        *carried,
-        F.from_json(content, envelope(T.ArrayType(item))).alias("_many"),
-        F.from_json(content, envelope(item)).alias("_one"),
-    )
+    parsed = pages.select(*carried, content, F.from_json(content, envelope(T.ArrayType(item))).alias("_many"))
+    # Texts are read for single objects only where a page has no list.
+    unlisted = F.exists("_many.pages", lambda p: p["response"]["body"]["items"]["item"].isNull())
+    parsed = parsed.select(*carried, "_many", F.when(unlisted, F.from_json(content, envelope(item))).alias("_one"))
     broken = parsed.filter(F.col("_many.pages").isNull()).select(*carried, F.lit("unreadable_envelope").alias("rule_id"))
-    numbered = parsed.filter(F.col("_many.pages").isNotNull()).select(*carried, F.posexplode(F.arrays_zip(
-        F.col("_many.pages").alias("many"), F.col("_one.pages").alias("one")))).select(*carried, F.col("pos").alias("page"), "col")
-    many = F.filter(F.coalesce("col.many.response.body.items.item", F.array()), lambda i: i.isNotNull())
-    single = F.col("col.one.response.body.items.item")
-    one = F.when(single.isNotNull(), F.array(single)).otherwise(F.array().cast(T.ArrayType(item)))
-    rows = numbered.select(*carried, "page", F.posexplode(F.when(F.size(many) > 0, many).otherwise(one)))
+    # No pages give no rows; a filter that says so would move to the texts and read them once more.
+    numbered = parsed.select(*carried, "_one", F.posexplode("_many.pages").alias("page", "_page"))
+    many = F.filter(F.coalesce("_page.response.body.items.item", F.array()), lambda i: i.isNotNull())
+    single = F.get("_one.pages", F.col("page"))["response"]["body"]["items"]["item"]
+    paged = numbered.select(*carried, "page", many.alias("_list"), single.alias("_single"))
+    one = F.when(F.col("_single").isNotNull(), F.array("_single")).otherwise(F.array().cast(T.ArrayType(item)))
+    rows = paged.select(*carried, "page", F.posexplode(F.when(F.size("_list") > 0, F.col("_list")).otherwise(one)))
     filled = F.coalesce(*[F.col(f"col.{c}") for c in columns]).isNotNull()
     return rows.filter(filled).select(*carried, "page", F.col("pos").alias("item"), *[f"col.{c}" for c in columns]), broken
 

@@ -16,8 +16,9 @@ from knownat.functions.hashing import fingerprints_by
 from knownat.operators import normalize as nm
 from knownat.operators import quality as qu
 from knownat.schemas import DAILY_MARKET_API, DAILY_MARKET_COLUMNS, DAILY_MARKET_CSV
+from knownat.session import scratch_folder
 from knownat.sources import landing as la
-from knownat.sources.tables import promote_days, read_if_present
+from knownat.sources.tables import promote_days, read_if_present, store_tables
 
 #: Where a landed file lies: source, requested day, name.
 LAYOUT = r"/([^/]+)/(\d{4}-\d{2}-\d{2})/[^/]+$"
@@ -113,6 +114,8 @@ def register_files(files: DataFrame, batch_id: int, root: str) -> DataFrame:
     rows = described.select(
         "path", *key, "trade_date", "landing_seq", F.coalesce("raw_version_id", "_known_id").alias("raw_version_id"),
         F.col("raw_version_id").isNotNull().alias("fresh"), "columns", "rule_id")
+    # One row per file: what follows reads it several times, the contents once.
+    rows = store_tables({"described": rows}, scratch_folder(spark, "ingest"))["described"]
     versions = known.select("raw_version_id", "dataset", "scope", "columns").unionByName(
         rows.filter("fresh").select("raw_version_id", "dataset", "scope", "columns")).distinct()
     changed = la.changed_versions(versions.join(rows.select("dataset", "scope").distinct(), ["dataset", "scope"], "left_semi"))

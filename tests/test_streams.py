@@ -10,13 +10,20 @@ from knownat.functions import calendar as cal
 from knownat.operators import investability as iv
 from knownat.operators import quality as qu
 from knownat.schemas import DAILY_MARKET_API
+from knownat.sources import landing as la
 from knownat.streaming import ingest
 from knownat.streaming import status as st
+from workload.registry import Inputs
+from workload.sources import landed_files
 
 D = dt.date
 UTF8_HEAD = "기준일자,종목코드,종목명,시장구분,시가,고가,저가,종가,거래량,거래대금,시가총액,상장주식수"
 
 
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def item(day, code, market, close="1,000", cap="10", **more):
     values = [day.replace("-", ""), code, " A ", market, "", "1", "1", close, "0", "0", cap, "5"]
     return dict(zip(DAILY_MARKET_API, values)) | more
@@ -83,6 +90,50 @@ def test_landed_files_are_versions_judged_once(spark, tmp_path):
     assert tables == {n: sorted(map(str, box.table(n).collect())) for n in tables}
 
 
+def test_contents_are_read_once_for_the_ledger(spark, tmp_path, monkeypatch):
+    written, own = [], ingest._write
+    monkeypatch.setattr(ingest, "_write", lambda df, *rest: written.append(plan(df)) or own(df, *rest))
+    text = day("2024-01-02")
+    files = spark.createDataFrame(
+        [(f"/l/api/2024-01-02/{k}.json", dt.datetime(2024, 1, 2, k), text) for k in (1, 2)], "path string, modificationTime timestamp, content binary")
+    ledger = ingest.register_files(files, 0, str(tmp_path))
+    assert {(r["delivery"], r["fresh"], r["changed"]) for r in ledger.collect()} == {(1, True, False), (2, True, False)}
+    assert len(written) == 1 and "sha2(" not in written[0] and "content#" not in written[0]
+
+
+def test_pages_are_parsed_once_and_single_items_found(spark):
+    one, two, none = '{"a":"1"}', '[{"a":"2"},null,{"a":"3"},{}]', '[]'
+    pages = [f'{{"response":{{"body":{{"items":{{"item":{text}}}}}}}}}' for text in (two, one, none)] + ['{"response":null}']
+    texts = [f'{{"pages":[{",".join(pages)}]}}', f'{{"pages":[{pages[0]}]}}', f'{{"pages":[{pages[1]}]}}', '{"pages":[]}', '{"other":1}', "<html>", None]
+    rows, broken = la.read_paged_json(spark.createDataFrame(list(enumerate(texts)), "k int, content string"), ["a", "b"])
+    assert sorted((r["k"], r["page"], r["item"], r["a"]) for r in rows.collect()) == [
+        (0, 0, 0, "2"), (0, 0, 1, "3"), (0, 1, 0, "1"), (1, 0, 0, "2"), (1, 0, 1, "3"), (2, 0, 0, "1")]
+    assert sorted(r["k"] for r in broken.collect()) == [4, 5, 6]
+    lines = plan(rows).splitlines()
+    assert not any("Filter" in line and "from_json" in line for line in lines)
+    assert sum(line.count("from_json") for line in lines) == 2
+
+
+def test_landed_files_come_from_one_pass(spark, tmp_path):
+    stamps = [dt.datetime(1994 + k % 2, 1, d) for k, d in enumerate((15, 16, 20, 28, 30, 31))]
+    tables = {
+        "lineitem": ([(s, 100.0 * s, 2.0, t) for t in stamps for s in (1, 2)],
+                     "l_suppkey long, l_extendedprice double, l_quantity double, l_shipdate timestamp"),
+        "supplier": ([(1, "one", 0), (2, "two", 1)], "s_suppkey long, s_name string, s_nationkey long"),
+        "nation": ([(0, "a", 0), (1, "b", 2)], "n_nationkey long, n_name string, n_regionkey long")}
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    files = landed_files(Inputs(spark, str(tmp_path)))
+    # The lines are scanned once, not once for each delivery.
+    assert sum("Relation [" in line and "l_shipdate" in line for line in plan(files).splitlines()) == 1
+    found = {(r["path"].split("/")[3][-2:], r["path"][-6:], r["batch"]): bytes(r["content"]).decode() for r in files.collect()}
+    assert sorted((d, name[0], batch) for d, name, batch in found) == [
+        ("15", "1", 0), ("15", "3", 2), ("16", "1", 1), ("16", "3", 2), ("20", "1", 0), ("28", "/", 1), ("30", "1", 0),
+        ("31", "1", 1), ("31", "2", 1), ("31", "3", 2)]
+    caps = {key[0] + key[1][0]: text.count('"mrktTotAmt":"1000000"') - text.count('"mrktTotAmt":"1000001"') for key, text in found.items()}
+    assert caps == {"151": 2, "153": -2, "161": 2, "163": 2, "201": 2, "28/": 0, "301": 2, "311": 0, "312": 0, "313": 0}
+
+
 def test_drift_late_days_and_notices(spark, tmp_path):
     box = Landing(spark, tmp_path)
     assert box.land(api_2025_01_06_axj=day("2025-01-06")) == {(6, 1): "promoted"}

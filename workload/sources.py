@@ -329,8 +329,11 @@ def landed_files(t: Inputs):
         full = {h: value.get(h, F.lit(cap) if h == "mrktTotAmt" else one) for h in DAILY_MARKET_API}
         return F.to_json(F.struct(*[c.alias(h) for h, c in full.items()]))
 
+    # Of a day only the texts that its deliveries hold are made.
+    made, csv, other = ~day.isin(28, 31), day == 28, day == 15
     cells = [stamp, "code", "name", "market", one, one, one, "clpr", one, one, F.lit("1000000"), one]
-    row = F.struct("code", line("1000000").alias("json"), line("1000001").alias("other"), F.concat_ws(",", *cells).alias("csv"))
+    row = F.struct("code", F.when(made, line("1000000")).alias("json"), F.when(other, line("1000001")).alias("other"),
+                   F.when(csv, F.concat_ws(",", *cells)).alias("csv"))
     days = items.groupBy("trade_date").agg(F.array_sort(F.collect_list(row)).alias("rows"))
 
     def page(field: str):
@@ -342,18 +345,19 @@ def landed_files(t: Inputs):
     head = "기준일자,종목코드,종목명,시장구분,시가,고가,저가,종가,거래량,거래대금,시가총액,상장주식수\n"
     table = F.concat(F.lit(head), F.array_join(F.transform("rows", lambda r: r["csv"]), "\n"))
     own = F.when(F.year("trade_date") < 1995, 0).otherwise(1)
-    csv = day == 28
-    delivery = F.struct(F.col("k").alias("k"), F.col("batch").alias("batch"), F.col("text").alias("text"))
-    first = days.select("trade_date", F.lit(1).alias("k"), own.alias("batch"), F.when(csv, table).otherwise(page("json")).alias("text"))
-    second = days.filter(day == 31).select("trade_date", F.lit(2).alias("k"), own.alias("batch"), page("json").alias("text"))
-    last = days.filter(day.isin(15, 16, 31)).select("trade_date", F.lit(3).alias("k"), F.lit(2).alias("batch"), F.when(
-        day == 15, page("other")).otherwise(page("json")).alias("text"))
-    every = first.unionByName(second).unionByName(last).select("trade_date", delivery.alias("d"))
+
+    def delivery(k: int, batch):
+        return F.struct(F.lit(k).alias("k"), batch.alias("batch"))
+
+    delivered = F.array_compact(F.array(
+        delivery(1, own), F.when(day == 31, delivery(2, own)), F.when(day.isin(15, 16, 31), delivery(3, F.lit(2)))))
+    text = F.when(csv, table).when(other & (F.col("d.k") == 3), page("other")).otherwise(page("json"))
+    every = days.withColumn("d", F.explode(delivered)).select("trade_date", "d", text.alias("text"))
     path = F.concat(F.lit("/landing/"), F.when(csv, "csv").otherwise("api"), F.lit("/"), F.col("trade_date").cast("string"), F.lit("/"),
                     F.col("d.k").cast("string"), F.when(csv, ".csv").otherwise(".json"))
     return every.select(
         path.alias("path"), (F.col("trade_date").cast("timestamp") + F.make_dt_interval(mins=F.col("d.k"))).alias("modificationTime"),
-        F.encode("d.text", "UTF-8").alias("content"), F.col("d.batch").alias("batch"))
+        F.encode("text", "UTF-8").alias("content"), F.col("d.batch").alias("batch"))
 
 
 @query("ingest_landing", "daily_market", oracle="""WITH RECURSIVE d AS MATERIALIZED (
