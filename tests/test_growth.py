@@ -111,6 +111,20 @@ def test_shuffles_are_cut_by_size(spark, tmp_path):
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
+def test_generated_methods_stay_compiled(spark, tmp_path):
+    (key, value), = session.COMPILED.items()
+    given = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        Inputs(spark, str(tmp_path))
+        assert spark.conf.get(key) == value
+        spark.conf.set(key, "9000")
+        Inputs(spark, str(tmp_path))
+        assert spark.conf.get(key) == "9000"
+    finally:
+        spark.conf.unset(key) if given is None else spark.conf.set(key, given)
+
+
 def test_filings_are_dealt_to_many_tasks(spark, tmp_path):
     statement_tables(spark, str(tmp_path))
     signals = spark.createDataFrame([(D(1996, 1, 6),), (D(1996, 1, 13),)], "signal_date date")
